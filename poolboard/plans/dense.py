@@ -1,0 +1,22 @@
+"""Rows a small fixed list adds to every row of a frame, without a join."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def as_list(small: DataFrame, columns: list[str]) -> Column:
+    """A dimension of at most a contest's size as one array value, computed once.
+
+    Use it only on relations with a fixed bound: the fixtures of one contest
+    (at most 72) or its teams.
+    """
+    packed = F.array_sort(F.collect_list(F.struct(*columns)))
+    return small.agg(packed.alias("items")).scalar()
+
+
+def for_each(df: DataFrame, small: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row of ``df`` once per row of the bounded ``small``, as columns."""
+    listed = df.withColumn("__items", as_list(small, columns))
+    return listed.withColumn("__item", F.explode("__items")).select(*df.columns, "__item.*")
