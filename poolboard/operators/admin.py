@@ -11,10 +11,10 @@ from .maintain import insert_ignore
 
 
 def profile_from_signup(signups: DataFrame, users: DataFrame) -> DataFrame:
-    """Profiles for new sign-ups; a name in the metadata wins over the mail's local part."""
+    """Profiles for sign-ups (each id once) nobody has yet; a name in the metadata wins over the mail's local part."""
     meta = {k: F.get_json_object("raw_meta", f"$.{k}") for k in ("username", "nombre", "apellido")}
     new = signups.join(users.select("user_id"), "user_id", "left_anti")
-    return new.dropDuplicates(["user_id"]).select(
+    return new.select(
         "user_id", F.coalesce(meta["username"], F.split_part("email", F.lit("@"), F.lit(1))).alias("username"),
         "email", meta["nombre"].alias("nombre"), meta["apellido"].alias("apellido"),
         F.lit(False).alias("is_admin"), F.lit(False).alias("is_approved"))

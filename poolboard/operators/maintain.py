@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.dense import for_each
+from ..functions.wording import OUTCOMES
+from ..plans.dense import as_list
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -72,9 +73,13 @@ def synthetic_picks(users: DataFrame, fixtures: DataFrame, existing: DataFrame,
     """A pick for every user and match of a contest that has none yet.
 
     ``draw`` is 0, 1 or 2 from the row's own columns; uniform at random without it.
+    Only existing picks are shuffled; the new ones unfold from each user's row.
     """
     draw = F.floor(F.rand(seed) * 3) if draw is None else draw
-    choice = F.get(F.array(F.lit("1"), F.lit("X"), F.lit("2")), draw.cast("int"))
-    rows = for_each(users.select("user_id"), fixtures, ["match_id"]).select(
+    choice = F.get(F.array(*[F.lit(o) for o in OUTCOMES]), draw.cast("int"))
+    have = existing.groupBy("user_id").agg(F.collect_set("match_id").alias("have"))
+    listed = users.select("user_id").join(have, "user_id", "left").withColumn("every", as_list(fixtures, ["match_id"]))
+    none = F.array().cast("array<bigint>")
+    missing = F.array_except(F.col("every.match_id"), F.coalesce("have", none))
+    return listed.select("user_id", F.explode(missing).alias("match_id")).select(
         "user_id", "match_id", choice.alias("predicted_result"))
-    return rows.join(existing.select("user_id", "match_id"), ["user_id", "match_id"], "left_anti")

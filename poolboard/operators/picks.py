@@ -22,16 +22,22 @@ def all_picks(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures:
     """Picks of users and of sets nobody owns, in one list.
 
     ``ordered`` sorts the whole list for display; aggregates on top do not need it.
+    Pending rows may repeat, so their ``id``, where they have one, lets the sort split them.
     """
+    columns = ["user_id", "username", "match_id", "match_order", "predicted_result"]
     orders = fixtures.select("match_id", "match_order")
     names = users.select("user_id", "username")
+    row_id = F.col("id") if "id" in pending.columns else F.lit(None)
     own = picks.join(names, "user_id").select(
-        F.col("user_id").cast("string").alias("user_id"), "username", "match_id", "predicted_result")
+        F.col("user_id").cast("string").alias("user_id"), "username", "match_id", "predicted_result",
+        F.lit(None).cast("long").alias("row_id"))
     sets = pending.where(F.col("assigned_to").isNull()).select(
-        label_uuid("label").alias("user_id"), F.col("label").alias("username"), "match_id", "predicted_result")
-    rows = own.unionByName(sets).join(orders, "match_id").select(
-        "user_id", "username", "match_id", "match_order", "predicted_result")
-    return rows.orderBy("username", "match_order") if ordered else rows
+        label_uuid("label").alias("user_id"), F.col("label").alias("username"), "match_id", "predicted_result",
+        row_id.cast("long").alias("row_id"))
+    rows = own.unionByName(sets).join(orders, "match_id")
+    if not ordered:
+        return rows.select(*columns)
+    return rows.orderBy("username", "match_order", "row_id").select(*columns)
 
 
 def match_picks(picks: DataFrame, users: DataFrame, match_id, caller) -> DataFrame:

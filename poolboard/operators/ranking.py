@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.numbering import numbered, numbered_within
 from .scoring import pending_points
-from .social import friend_set
+from .social import friend_set, mutual
 
 
 def _by_points():
@@ -64,11 +64,16 @@ def rank_movement(previous: DataFrame, current: DataFrame) -> DataFrame:
         F.coalesce(F.abs(gain), F.lit(0)).alias("steps"))
 
 
-def friend_leaderboard(points: DataFrame, edges: DataFrame, viewers: DataFrame, **numbering) -> DataFrame:
-    """For every viewer: themselves and their friends by points, numbered from 1."""
-    wanted = viewers.select(F.col("user_id").alias("viewer_id"))
-    own = wanted.select("viewer_id", F.col("viewer_id").alias("user_id"))
-    seen = friend_set(edges).join(wanted, "viewer_id", "left_semi").withColumnRenamed("friend_id", "user_id")
-    board = seen.unionByName(own).join(points.select("user_id", "username", "total_points"), "user_id")
-    return numbered_within(board, ["viewer_id"], _by_points(), **numbering).select(
+def friend_leaderboard(points: DataFrame, edges: DataFrame, users: DataFrame, viewers: DataFrame | None = None,
+                       **numbering) -> DataFrame:
+    """For every viewer (all ``users`` without a list): themselves and their friends by points, from 1."""
+    own = (users if viewers is None else viewers).select(
+        F.col("user_id").alias("viewer_id"), F.col("user_id").alias("friend_id"))
+    both_ways = mutual(edges)
+    if viewers is not None:
+        both_ways = both_ways.join(own.select("viewer_id"), "viewer_id", "left_semi")
+    seen = both_ways.union(own)
+    board = seen.distinct().withColumnRenamed("friend_id", "user_id").join(
+        points.select("user_id", "username", "total_points"), "user_id")
+    return numbered_within(board, ["viewer_id"], _by_points(), sizes=seen, **numbering).select(
         "viewer_id", "user_id", "username", "total_points", "position")

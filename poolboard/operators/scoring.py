@@ -39,6 +39,11 @@ def user_points(users: DataFrame, picks: DataFrame, fixtures: DataFrame) -> Data
         *users.columns, F.coalesce("total_points", F.lit(0)).alias("total_points"))
 
 
+def points_of_pickers(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Live points of the users who have picks, zeros included."""
+    return pick_hits(picks, fixtures).groupBy("user_id").agg(F.count_if("hit").alias("total_points"))
+
+
 def pending_points(pending: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Live points of every set nobody owns yet; copies of a row count each time."""
     scored = pending.where(F.col("assigned_to").isNull()).join(

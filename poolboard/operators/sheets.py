@@ -1,6 +1,7 @@
 """Imported pick sheets: read the marks, list the errors, judge and stage whole sets.
 
 A sheet has one row per match: set_id, match_order, gana_local, empate, gana_visitante, old_pick.
+``match_order`` is a number, null where the cell holds none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ def _pick(marked: list[Column], old: Column) -> Column:
 
 def sheet_rows(sheet: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Every numbered row with its pick and match, or the error that rejects it."""
-    order = F.col("match_order").try_cast("long")
+    order = F.col("match_order").cast("long")
     marked = [mark(c) == "X" for c in MARK_COLUMNS]
     marks = sum(m.cast("int") for m in marked)
     read = sheet.where(order.isNotNull() & (order != 0)).select(

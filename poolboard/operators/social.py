@@ -10,9 +10,14 @@ def _pairs(edges: DataFrame, left: str, right: str) -> DataFrame:
     return edges.select(F.col(left).alias("viewer_id"), F.col(right).alias("friend_id"))
 
 
+def mutual(edges: DataFrame) -> DataFrame:
+    """Every edge seen from both ends; an edge both sides made shows twice."""
+    return _pairs(edges, "user_id", "friend_id").union(_pairs(edges, "friend_id", "user_id"))
+
+
 def friend_set(edges: DataFrame) -> DataFrame:
     """Everyone a viewer is connected with, whoever made the edge."""
-    return _pairs(edges, "user_id", "friend_id").union(_pairs(edges, "friend_id", "user_id")).distinct()
+    return mutual(edges).distinct()
 
 
 def friend_add(edges: DataFrame, requests: DataFrame) -> DataFrame:

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.outcomes import is_hit, percent, votes_for
 from ..functions.wording import DISTRIBUTION_NAMES, OUTCOMES
-from ..plans.dense import for_each
-from ..plans.numbering import numbered
+from ..plans.dense import as_list, for_each
 
 VOTES = {"1": "votes_1", "X": "votes_x", "2": "votes_2"}
 
@@ -107,10 +106,11 @@ def group_standings(users: DataFrame, picks: DataFrame, fixtures: DataFrame, tea
 
 
 def _hit_places(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Hits by place among the finished matches; what is missing between places breaks a run."""
+    """Hits by place among a contest's finished matches; what is missing between places breaks a run."""
     finished = fixtures.where(F.col("status") == "finished").select(
         "match_id", "match_order", "status", "actual_result")
-    places = numbered(finished, [F.col("match_order")], "place")
+    orders = as_list(finished, ["match_order"])
+    places = finished.withColumn("place", F.array_position(orders["match_order"], F.col("match_order")))
     return picks.join(places, "match_id").where(is_hit()).select("user_id", "place")
 
 

@@ -212,7 +212,7 @@ def friend_leaderboard(r):
 
 @query
 def all_picks(r):
-    return picks.all_picks(r.picks(), r.participants(), r.pending(), r.fixtures())
+    return picks.all_picks(r.picks(), r.participants(), r.pending_with_id(), r.fixtures())
 
 
 @query
@@ -434,7 +434,7 @@ def upsert_update(r):
 
 @query
 def update_from(r):
-    live = scoring.user_points(r.picks().select("user_id").distinct(), r.picks(), r.fixtures())
+    live = scoring.points_of_pickers(r.picks(), r.fixtures())
     return maintain.update_from(r.stored_points(), live, "user_id", "total_points").select(
         "user_id", "username", "total_points")
 

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most rows a relation may have to travel as one value; a contest has 72 fixtures and 48 teams.
+LIST_LIMIT = 1_000
+
 
 def as_list(small: DataFrame, columns: list[str]) -> Column:
-    """A dimension of at most a contest's size as one array value, computed once.
+    """The fixtures or teams of one contest as one sorted array value, computed once.
 
-    Use it only on relations with a fixed bound: the fixtures of one contest
-    (at most 72) or its teams.
+    A relation above ``LIST_LIMIT`` rows fails the query; it is never cut short.
     """
+    rows = small.select(*columns).limit(LIST_LIMIT + 1)
     packed = F.array_sort(F.collect_list(F.struct(*columns)))
-    return small.agg(packed.alias("items")).scalar()
+    too_long = F.raise_error(F.lit(f"more than {LIST_LIMIT} rows do not make a contest"))
+    return rows.agg(F.when(F.count("*") <= LIST_LIMIT, packed).otherwise(too_long).alias("items")).scalar()
 
 
 def for_each(df: DataFrame, small: DataFrame, columns: list[str]) -> DataFrame:

@@ -121,14 +121,18 @@ class Relations:
     def picks(self) -> DataFrame:
         return self.raw_picks(arrivals=1).drop("arrival")
 
-    def pending(self) -> DataFrame:
+    def pending_with_id(self) -> DataFrame:
         lines = self.table("lineitem").where(F.col("l_linestatus") == "O").select(
+            F.xxhash64("l_orderkey", "l_linenumber").alias("id"),
             "l_suppkey", "l_partkey", _outcome().alias("predicted_result"))
         labels = self.table("supplier").select("s_suppkey", "s_name")
         return lines.join(labels, F.col("s_suppkey") == F.col("l_suppkey")).select(
-            F.col("s_name").alias("label"), (F.col("l_partkey") + 1).alias("match_id"), "predicted_result",
+            "id", F.col("s_name").alias("label"), (F.col("l_partkey") + 1).alias("match_id"), "predicted_result",
             F.when(F.col("s_suppkey") % 4 == 0, F.col("s_suppkey")).alias("assigned_to"))
 
+    def pending(self) -> DataFrame:
+        return self.pending_with_id().drop("id")
+
     def d_picks(self) -> DataFrame:
         slot = F.col("l_partkey") % CONTEST_SIZE
         first = Window.partitionBy("l_suppkey", "slot").orderBy(
