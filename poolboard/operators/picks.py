@@ -6,7 +6,7 @@ fixtures, one pick per user and match, so what they gather per user is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import label_uuid
@@ -17,27 +17,31 @@ from ..plans.dense import as_list, for_each
 from .policy import require_admin
 
 
-def all_picks(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame,
-              ordered: bool = True) -> DataFrame:
-    """Picks of users and of sets nobody owns, in one list.
+def _shown_id() -> Column:
+    """The id of a row of the pick list: the user's, or the one a set's label stands for."""
+    return F.coalesce("user_id", label_uuid("username")).alias("user_id")
 
-    ``ordered`` sorts the whole list for display; aggregates on top do not need it.
-    Pending rows may repeat, so their ``id``, where they have one, lets the sort split them.
+
+def _pick_rows(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Picks of users and of sets nobody owns; sets have no user_id yet.
+
+    ``row_id`` is the ``id`` of pending rows, where they have one: those may repeat, and
+    it lets a sort split them.
     """
-    columns = ["user_id", "username", "match_id", "match_order", "predicted_result"]
-    orders = fixtures.select("match_id", "match_order")
-    names = users.select("user_id", "username")
     row_id = F.col("id") if "id" in pending.columns else F.lit(None)
-    own = picks.join(names, "user_id").select(
+    own = picks.join(users.select("user_id", "username"), "user_id").select(
         F.col("user_id").cast("string").alias("user_id"), "username", "match_id", "predicted_result",
         F.lit(None).cast("long").alias("row_id"))
     sets = pending.where(F.col("assigned_to").isNull()).select(
-        label_uuid("label").alias("user_id"), F.col("label").alias("username"), "match_id", "predicted_result",
-        row_id.cast("long").alias("row_id"))
-    rows = own.unionByName(sets).join(orders, "match_id")
-    if not ordered:
-        return rows.select(*columns)
-    return rows.orderBy("username", "match_order", "row_id").select(*columns)
+        F.lit(None).cast("string").alias("user_id"), F.col("label").alias("username"), "match_id",
+        "predicted_result", row_id.cast("long").alias("row_id"))
+    return own.unionByName(sets).join(fixtures.select("match_id", "match_order"), "match_id")
+
+
+def all_picks(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Picks of users and of sets nobody owns, in one list ordered for display."""
+    rows = _pick_rows(picks, users, pending, fixtures).orderBy("username", "match_order", "row_id")
+    return rows.select(_shown_id(), "username", "match_id", "match_order", "predicted_result")
 
 
 def match_picks(picks: DataFrame, users: DataFrame, match_id, caller) -> DataFrame:
@@ -51,29 +55,35 @@ def my_picks(picks: DataFrame, user_id) -> DataFrame:
     return picks.where(F.col("user_id") == user_id).select("match_id", "predicted_result")
 
 
-def pick_matrix(rows: DataFrame, orders: list[int] | None = None) -> DataFrame:
+def pick_matrix(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame,
+                orders: list[int] | None = None) -> DataFrame:
     """*contest*: users by match order, letters or blank. Keyed by user id, so equal names stay apart."""
     orders = orders or list(range(1, CONTEST_SIZE + 1))
     code = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("predicted_result"))
-    letters = F.array(*[F.lit(OUTCOME_LETTERS[o]) for o in OUTCOMES])
-    coded = rows.select("user_id", "username", "match_order", code.alias("code"))
+    coded = _pick_rows(picks, users, pending, fixtures).select(
+        "user_id", "username", "match_order", code.cast("int").alias("code"))
     grid = coded.groupBy("user_id", "username").pivot("match_order", orders).agg(F.max("code"))
-    cells = [F.coalesce(F.get(letters, (F.col(f"`{o}`") - 1).cast("int")), F.lit("")).alias(f"p{o}") for o in orders]
-    return grid.select("user_id", "username", *cells).orderBy("username")
+    letters = ", ".join(f"'{OUTCOME_LETTERS[o]}'" for o in OUTCOMES)
+    cells = [f"elt(coalesce(`{o}`, 0) + 1, '', {letters}) as p{o}" for o in orders]
+    shown = grid.withColumn("user_id", _shown_id())
+    return shown.selectExpr("user_id", "username", *cells).orderBy("username")
 
 
 def last_finished(fixtures: DataFrame) -> DataFrame:
     return fixtures.where(F.col("status") == "finished").agg(F.max("match_order").alias("match_order"))
 
 
-def pick_counts(rows: DataFrame) -> DataFrame:
+def pick_counts(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Number of rows of the pick list per id."""
-    return rows.groupBy("user_id").agg(F.count("*").alias("picks"))
+    counts = _pick_rows(picks, users, pending, fixtures).groupBy("user_id", "username").agg(
+        F.count("*").alias("picks"))
+    return counts.select(_shown_id(), "picks")
 
 
 def pick_completeness(users: DataFrame, picks: DataFrame, size: int = CONTEST_SIZE) -> DataFrame:
     done = F.coalesce("picks", F.lit(0))
-    return users.join(pick_counts(picks), "user_id", "left").select(
+    made = picks.groupBy("user_id").agg(F.count("*").alias("picks"))
+    return users.join(made, "user_id", "left").select(
         "user_id", "username", done.alias("picks"),
         F.concat(done, F.lit(f"/{size}")).alias("progress"), (done == size).alias("complete"))
 

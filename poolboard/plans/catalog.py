@@ -14,7 +14,7 @@ from ..sources.projections import Relations, attempt_columns, result_columns, su
 from ..streaming import intake
 from ..streaming import points as points_stream
 from ..streaming import subscriptions as subscription_stream
-from ..streaming.logs import table_stream
+from ..streaming.logs import BatchLog, table_stream
 
 VIEWER = 8
 ADMIN = 0
@@ -67,11 +67,12 @@ def _outcomes(r: Relations) -> DataFrame:
 
 
 def _eligibility(r: Relations) -> DataFrame:
-    return admin.assign_eligibility(r.assign_requests(), r.d_picks(), r.d_pending())
+    chosen = r.stored("d_picks")
+    return admin.assign_eligibility(r.assign_requests(), chosen, r.d_pending())
 
 
 def _d_sheet_rows(r: Relations) -> DataFrame:
-    return sheets.sheet_rows(r.d_sheet(), r.d_fixtures())
+    return r.stored("sheet_rows", sheets.sheet_rows(r.d_sheet(), r.d_fixtures()))
 
 
 # -- sources and sinks -----------------------------------------------------------
@@ -124,8 +125,7 @@ def sheet_verdict(r):
 @query
 def stage_sets(r):
     rows = _d_sheet_rows(r)
-    labels = r.d_picks().select(F.col("user_id").alias("set_id")).distinct().withColumn(
-        "label", F.concat(F.lit("  sheet-"), "set_id", F.lit(" ")))
+    labels = rows.select("set_id").distinct().withColumn("label", F.concat(F.lit("  sheet-"), "set_id", F.lit(" ")))
     return sheets.stage_sets(rows, sheets.sheet_verdict(rows), labels, r.d_pending())
 
 
@@ -227,8 +227,7 @@ def my_picks(r):
 
 @query
 def pick_matrix(r):
-    rows = picks.all_picks(r.d_picks(), r.d_participants(), r.d_pending(), r.d_fixtures(), ordered=False)
-    return picks.pick_matrix(rows)
+    return picks.pick_matrix(r.d_picks(), r.d_participants(), r.d_pending(), r.d_fixtures())
 
 
 @query
@@ -238,7 +237,7 @@ def last_finished(r):
 
 @query
 def pick_counts(r):
-    return picks.pick_counts(picks.all_picks(r.picks(), r.participants(), r.pending(), r.fixtures(), ordered=False))
+    return picks.pick_counts(r.picks(), r.participants(), r.pending(), r.fixtures())
 
 
 @query
@@ -369,7 +368,8 @@ def assign_eligibility(r):
 
 @query
 def assign_sets(r):
-    return admin.assign_sets(_eligibility(r), r.d_picks(), r.d_pending())
+    chosen = r.stored("d_picks")
+    return admin.assign_sets(_eligibility(r), chosen, r.d_pending())
 
 
 @query
@@ -386,12 +386,10 @@ def delete_set(r):
 
 @query
 def finish_outbox(r):
-    match = F.col("match_id")
-    done = r.named_fixtures().where(match == MATCH)
+    done = r.named_fixtures().where(F.col("match_id") == MATCH)
     now = ranking.notify_ranking(_points(r))
-    earlier = scoring.user_points(r.participants(), r.picks(), r.fixtures().where(match != MATCH))
-    moved = ranking.rank_movement(ranking.notify_ranking(earlier), now)
-    return outbox.finish_outbox(done, _subs(r), r.picks(), moved)
+    before = ranking.notify_ranking(scoring.points_without(now.drop("position"), r.picks(), r.fixtures(), [MATCH]))
+    return outbox.finish_outbox(done, _subs(r), r.picks(), ranking.rank_movement(before, now))
 
 
 @query
@@ -571,11 +569,9 @@ def _results_stream(r: Relations) -> DataFrame:
     return edits.select(*result_columns())
 
 
-def _intake_path(r: Relations) -> str:
-    path = fresh_path(r.spark, "intake")
+def _intake(r: Relations) -> BatchLog:
     attempts = table_stream(r.spark, r.sf_dir, "lineitem").select(*attempt_columns())
-    intake.stream_intake(attempts, r.d_fixtures(), path)
-    return path
+    return intake.stream_intake(attempts, r.d_fixtures())
 
 
 @query
@@ -585,13 +581,12 @@ def stream_points(r):
 
 @query
 def stream_intake(r):
-    return r.spark.read.schema(intake.VERDICTS).parquet(_intake_path(r)).drop("created_at")
+    return _intake(r).read().drop("created_at", "batch")
 
 
 @query
 def stream_consensus(r):
-    accepted = intake.accepted_stream(r.spark, _intake_path(r))
-    return intake.stream_consensus(accepted, r.d_fixtures())
+    return intake.stream_consensus(intake.accepted_stream(_intake(r)), r.d_fixtures())
 
 
 @query

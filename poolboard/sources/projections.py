@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.outcomes import derive_result
 from ..functions.wording import CONTEST_SIZE
 from ..operators.fixtures import with_team_names
+from ..session import fresh_path
 
 _FIRST_DAY = "2026-06-11"
 _WEEK_FROM_FIRST_DAY = ("Jueves", "Viernes", "Sábado", "Domingo", "Lunes", "Martes", "Miércoles")
@@ -27,6 +28,15 @@ class Relations:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._stored: dict[str, DataFrame] = {}
+
+    def stored(self, name: str, df: DataFrame | None = None) -> DataFrame:
+        """A relation written once to the shared folder, for queries that read it several times."""
+        if name not in self._stored:
+            path = fresh_path(self.spark, name)
+            (getattr(self, name)() if df is None else df).write.parquet(path)
+            self._stored[name] = self.spark.read.parquet(path)
+        return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -147,10 +157,13 @@ class Relations:
 
     def d_pending(self) -> DataFrame:
         user = F.col("user_id")
-        return self.d_picks().select(
+        return self._d_pick_table().select(
             F.concat(F.lit("set-"), user).alias("label"), "match_id", "predicted_result",
             F.when(user % 4 == 0, user).alias("assigned_to"))
 
+    def _d_pick_table(self) -> DataFrame:
+        return self._stored.get("d_picks") or self.d_picks()
+
     def attempts(self) -> DataFrame:
         """Pick attempts in order of arrival, with repeats, gaps and unknown matches."""
         return self.table("lineitem").select(*attempt_columns())
@@ -205,7 +218,7 @@ class Relations:
 
     def assign_requests(self) -> DataFrame:
         user = F.col("user_id")
-        return self.d_picks().select("user_id").distinct().select(
+        return self._d_pick_table().select("user_id").distinct().select(
             F.concat(F.lit("set-"), user).alias("label"),
             F.when(user % 3 == 0, user).otherwise(user + 1000000).alias("user_id"))
 

@@ -1,4 +1,7 @@
-"""Picks as they arrive: accept the next one in order, reject the rest; running votes on top."""
+"""Picks as they arrive: accept the next one in order, reject the rest; running votes on top.
+
+A user's accepted picks are always matches 1..k, so all that must be known of a user is k.
+"""
 
 from __future__ import annotations
 
@@ -7,69 +10,134 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.wording import CONTEST_SIZE
 from ..operators.stats import VOTES
-from ..session import fresh_path
-from .logs import BatchLog, run_to_end, table_stream
+from ..session import shared_dir
+from .logs import BatchLog, MergedLog, run_to_end, table_stream
 
 ARRIVAL = ["created_at", "match_id", "order_key", "line_number", "part_key"]
-ATTEMPT = ("user_id bigint, match_id bigint, predicted_result string, created_at timestamp, order_key bigint, "
-           "line_number int, part_key bigint")
-VERDICTS = ATTEMPT + ", match_order bigint, verdict string"
-COUNTS = "match_id bigint, votes_1 bigint, votes_x bigint, votes_2 bigint, votes_total bigint"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+VERDICTS = ("user_id {user}, match_id bigint, predicted_result string, created_at timestamp, order_key bigint, "
+            "line_number int, part_key bigint, match_order bigint, verdict string")
+PROGRESS = "user_id {user}, done bigint"
+COUNTS = "match_id bigint, votes_1 bigint, votes_x bigint, votes_2 bigint, votes_total bigint, counted_in bigint"
+
 
+def _user_type(attempts: DataFrame) -> str:
+    return attempts.schema["user_id"].dataType.simpleString()
 
-class SequentialIntake(StatefulProcessor):
-    """A user's accepted picks are always matches 1..k, so the state is one number."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "k bigint")
+def _orders(rows: pd.DataFrame) -> list[int]:
+    return rows["match_order"].fillna(0).astype("int64").tolist()
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(rows).sort_values(ARRIVAL, kind="stable")
-        done = self.done.get()[0] if self.done.exists() else 0
+
+def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Verdicts for rows sorted by user and arrival; ``start`` is the user's k ahead of the partition."""
+    user, done = None, 0
+    for rows in batches:
         verdicts = []
-        for order in arrived["match_order"]:
-            if pd.isna(order):
+        for row_user, order, start in zip(rows["user_id"].tolist(), _orders(rows), rows["start"].tolist()):
+            if row_user != user:
+                user, done = row_user, start
+            if order == 0:
                 verdicts.append("unknown_match")
             elif order <= done:
                 verdicts.append("duplicate")
             elif order == done + 1:
-                done += 1
+                done = order
                 verdicts.append("accepted")
             else:
                 verdicts.append("out_of_sequence")
-        self.done.update((done,))
-        yield arrived.assign(verdict=verdicts, match_order=arrived["match_order"].astype("Int64"))
+        yield rows.drop(columns=["start"]).assign(
+            verdict=verdicts, match_order=rows["match_order"].astype("Int64"))
+
+
+def _moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each user of a partition, the k after its rows for every possible k before them."""
+    def moved() -> pd.DataFrame:
+        after = [0] * (CONTEST_SIZE + 1)
+        for k, starts in enumerate(at):
+            for start in starts:
+                after[start] = k
+        return pd.DataFrame({"user_id": [user], "part": [part], "after": [after]})
+
+    user, part, at = None, 0, []
+    for rows in batches:
+        for row_user, row_part, order in zip(rows["user_id"].tolist(), rows["part"].tolist(), _orders(rows)):
+            if row_user != user:
+                if user is not None:
+                    yield moved()
+                user, part, at = row_user, row_part, [[k] for k in range(CONTEST_SIZE + 1)]
+            if order > 0 and at[order - 1]:
+                at[order] += at[order - 1]
+                at[order - 1] = []
+    if user is not None:
+        yield moved()
+
+
+def _starts(placed: DataFrame) -> DataFrame:
+    """Where each part of a user's rows starts, for the users whose rows lie in several partitions.
+
+    A partition shares at most its first and last user with others, so this stays small.
+    """
+    user = _user_type(placed)
+    split = placed.groupBy("user_id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+    pieces = placed.join(F.broadcast(split.select("user_id")), "user_id", "left_semi")
+    moves = pieces.select("user_id", "part", "match_order").mapInPandas(
+        _moves, f"user_id {user}, part int, after array<bigint>")
+    known = pieces.groupBy("user_id").agg(F.max("done").alias("done"))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "after")))
+    first = F.struct(F.col("done").alias("k"), F.array().cast("array<struct<part:int,start:bigint>>").alias("starts"))
+    walked = F.aggregate("moves", first, lambda acc, m: F.struct(
+        F.get(m["after"], acc["k"].cast("int")).alias("k"),
+        F.array_append(acc["starts"], F.struct(m["part"].alias("part"), acc["k"].alias("start"))).alias("starts")))
+    return (moves.groupBy("user_id").agg(in_order.alias("moves")).join(known, "user_id")
+            .select("user_id", F.inline(walked["starts"])))
+
+
+def judged(attempts: DataFrame, fixtures: DataFrame, progress: DataFrame) -> DataFrame:
+    """A verdict for every attempt, in order of arrival, on top of earlier ``progress`` (user_id, done).
+
+    Rows are range partitioned by user and arrival, so a user with very many attempts is
+    spread over partitions; the checkpoint keeps that order through the two passes.
+    """
+    shared_dir(attempts.sparkSession)
+    verdicts = VERDICTS.format(user=_user_type(attempts))
+    keys = [F.col(c) for c in ["user_id", *ARRIVAL]]
+    placed = (attempts.join(fixtures.select("match_id", "match_order"), "match_id", "left")
+              .join(progress, "user_id", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+              .repartitionByRange(*keys).sortWithinPartitions(*keys)
+              .withColumn("part", F.spark_partition_id()).checkpoint())
+    start = F.coalesce("start", "done").alias("start")
+    columns = ["user_id", "match_id", "predicted_result", *[c for c in ARRIVAL if c != "match_id"], "match_order"]
+    return placed.join(F.broadcast(_starts(placed)), ["user_id", "part"], "left").select(
+        *columns, start).mapInPandas(_judge, verdicts)
+
+
+def _furthest(progress: DataFrame) -> DataFrame:
+    return progress.groupBy("user_id").agg(F.max("done").alias("done"))
 
-    def close(self) -> None:
-        pass
 
+class IntakeJob:
+    """Verdicts per micro-batch, and how far each user has come."""
 
-def judged(attempts: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Stream of attempts with a verdict each. The size of a micro-batch bounds what one user brings at a time."""
-    orders = fixtures.select("match_id", "match_order")
-    return attempts.join(orders, "match_id", "left").select(
-        "user_id", "match_id", "predicted_result", *[c for c in ARRIVAL if c != "match_id"], "match_order",
-    ).groupBy("user_id").transformWithStateInPandas(
-        statefulProcessor=SequentialIntake(), outputStructType=VERDICTS, outputMode="Append", timeMode="None")
+    def __init__(self, attempts: DataFrame, fixtures: DataFrame):
+        spark, user = attempts.sparkSession, _user_type(attempts)
+        self.fixtures = fixtures
+        self.verdicts = BatchLog(spark, "intake", VERDICTS.format(user=user))
+        self.progress = MergedLog(spark, "intake-state", PROGRESS.format(user=user), _furthest)
 
+    def on_batch(self, batch: DataFrame, number: int) -> None:
+        self.verdicts.write(judged(batch, self.fixtures, self.progress.state(number)), number)
+        accepted = self.verdicts.read(number, number + 1).where(F.col("verdict") == "accepted")
+        self.progress.write(_furthest(accepted.withColumnRenamed("match_order", "done")), number)
 
-def stream_intake(attempts: DataFrame, fixtures: DataFrame, path: str | None = None) -> DataFrame:
-    """Run the intake over all that has arrived; the verdicts are written to ``path`` and read back."""
-    spark = attempts.sparkSession
-    path = path or fresh_path(spark, "intake")
-    previous = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        writer = judged(attempts, fixtures).writeStream.format("parquet").outputMode("append").option("path", path)
-        run_to_end(writer, spark, "intake")
-    finally:
-        spark.conf.set(STATE_STORE, previous) if previous else spark.conf.unset(STATE_STORE)
-    return spark.read.schema(VERDICTS).parquet(path)
+
+def stream_intake(attempts: DataFrame, fixtures: DataFrame) -> BatchLog:
+    """Run the intake over all that has arrived; returns the log of verdicts."""
+    job = IntakeJob(attempts, fixtures)
+    run_to_end(attempts.writeStream.foreachBatch(job.on_batch), attempts.sparkSession, "intake")
+    return job.verdicts
 
 
 def running_votes(picks: DataFrame) -> DataFrame:
@@ -79,21 +147,29 @@ def running_votes(picks: DataFrame) -> DataFrame:
         *[F.count_if(pick == o).alias(c) for o, c in VOTES.items()], F.count("*").alias("votes_total"))
 
 
+def _newest_counts(counts: DataFrame) -> DataFrame:
+    columns = [*VOTES.values(), "votes_total", "counted_in"]
+    return counts.groupBy("match_id").agg(F.max_by(F.struct(*columns), "counted_in").alias("v")).select(
+        "match_id", "v.*")
+
+
 def stream_consensus(accepted: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Follow accepted picks to the end; every fixture with its votes, zeros included.
 
     Update mode hands over only the matches a batch touched; the newest row of each counts.
     """
     spark = accepted.sparkSession
-    log = BatchLog.new(spark, "consensus", COUNTS)
-    run_to_end(running_votes(accepted).writeStream.outputMode("update").foreachBatch(log.write), spark, "consensus")
+    log = MergedLog(spark, "consensus", COUNTS, _newest_counts)
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        log.write(batch.withColumn("counted_in", F.lit(number).cast("long")), number)
+
+    run_to_end(running_votes(accepted).writeStream.outputMode("update").foreachBatch(on_batch), spark, "consensus")
     counts = [*VOTES.values(), "votes_total"]
-    newest = log.read().groupBy("match_id").agg(F.max_by(F.struct(*counts), "batch").alias("v")).select(
-        "match_id", "v.*")
-    return fixtures.select("match_id", "match_order").join(newest, "match_id", "left").select(
+    return fixtures.select("match_id", "match_order").join(log.state(), "match_id", "left").select(
         "match_id", "match_order", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
-def accepted_stream(spark, path: str) -> DataFrame:
-    """The accepted picks an intake wrote, as a stream of its own."""
-    return table_stream(spark, path, "*").where(F.col("verdict") == "accepted")
+def accepted_stream(verdicts: BatchLog) -> DataFrame:
+    """The accepted picks of an intake, as a stream of its own."""
+    return table_stream(verdicts.spark, verdicts.path, "*").where(F.col("verdict") == "accepted")

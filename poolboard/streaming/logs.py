@@ -1,7 +1,9 @@
-"""A table grown by micro-batches: each batch owns one folder, so a repeated batch replaces itself."""
+"""Tables grown by micro-batches: each batch owns one folder, so a repeated batch replaces itself."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,34 +14,65 @@ from ..session import fresh_path
 class BatchLog:
     """Append-only log in the shared folder, partitioned by batch number."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, name: str, schema: str, path: str | None = None):
         self.spark = spark
-        self.path = path
+        self.path = path or fresh_path(spark, name)
         self.schema = schema
 
-    @classmethod
-    def new(cls, spark: SparkSession, name: str, schema: str) -> BatchLog:
-        return cls(spark, fresh_path(spark, name), schema)
-
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """All rows, or those of batches below ``before``; only their folders are read."""
+    def read(self, since: int = 0, before: int | None = None) -> DataFrame:
+        """Rows of batches from ``since`` up to, not including, ``before``; only their folders are read."""
         try:
             rows = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)
         except AnalysisException as missing:
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
             rows = self.spark.createDataFrame([], f"{self.schema}, batch bigint")
+        if since:
+            rows = rows.where(F.col("batch") >= since)
         return rows if before is None else rows.where(F.col("batch") < before)
 
 
+class MergedLog:
+    """State as a log of changes that ``merge`` folds into one row per key.
+
+    Every ``every``-th batch stores the folded state instead of its change alone, so a
+    read never goes back further than that.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, schema: str, merge: Callable[[DataFrame], DataFrame],
+                 every: int = 20):
+        self.log = BatchLog(spark, name, schema)
+        self.columns = [part.split()[0] for part in schema.split(", ")]
+        self.merge = merge
+        self.every = every
+
+    def _changes(self, before: int | None) -> DataFrame:
+        if before is None:
+            last = self.log.read().agg(F.max("batch")).first()[0]
+            before = 0 if last is None else last + 1
+        since = max(before - 1, 0) // self.every * self.every
+        return self.log.read(since, before).select(*self.columns)
+
+    def state(self, before: int | None = None) -> DataFrame:
+        """The state ahead of a batch, or the newest."""
+        return self.merge(self._changes(before)).select(*self.columns)
+
+    def write(self, change: DataFrame, batch: int) -> None:
+        change = change.select(*self.columns)
+        if batch and batch % self.every == 0:
+            change = self.merge(self._changes(batch).unionByName(change)).select(*self.columns)
+        self.log.write(change, batch)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """One parquet table of a folder as a stream of its files; ``name`` may hold wildcards."""
     pattern = f"{name}.parquet"
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    schema = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder).schema
+    reader = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+              .option("recursiveFileLookup", True))
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(folder)

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.outbox import latest_writes
-from .logs import BatchLog, run_to_end
+from .logs import MergedLog, run_to_end
 
-PARTIAL = "user_id bigint, endpoint string, sub_id bigint, p256dh string, created_at timestamp, event_id bigint"
+PARTIAL = ("user_id {user}, endpoint string, sub_id bigint, p256dh string, created_at timestamp, event_id bigint")
 
 
 def stream_subscriptions(writes: DataFrame) -> DataFrame:
     """Each batch appends its newest write per key; reading merges them, so no batch rewrites the table."""
-    spark = writes.sparkSession
-    log = BatchLog.new(spark, "subscriptions", PARTIAL)
+    user = writes.schema["user_id"].dataType.simpleString()
+    log = MergedLog(writes.sparkSession, "subscriptions", PARTIAL.format(user=user), latest_writes)
 
     def on_batch(batch: DataFrame, number: int) -> None:
         log.write(latest_writes(batch.withColumn("sub_id", F.col("event_id"))), number)
 
-    run_to_end(writes.writeStream.foreachBatch(on_batch), spark, "subscriptions")
-    return latest_writes(log.read()).select("sub_id", "user_id", "endpoint", "p256dh")
+    run_to_end(writes.writeStream.foreachBatch(on_batch), writes.sparkSession, "subscriptions")
+    return log.state().select("sub_id", "user_id", "endpoint", "p256dh")
