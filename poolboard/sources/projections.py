@@ -15,7 +15,7 @@ from ..operators.fixtures import with_team_names
 from ..session import fresh_path
 
 _FIRST_DAY = "2026-06-11"
-_WEEK_FROM_FIRST_DAY = ("Jueves", "Viernes", "Sábado", "Domingo", "Lunes", "Martes", "Miércoles")
+_WEEK = "'Jueves', 'Viernes', 'Sábado', 'Domingo', 'Lunes', 'Martes', 'Miércoles'"  # from the first day on
 
 
 def _outcome(flag: str = "l_returnflag") -> Column:
@@ -28,6 +28,7 @@ class Relations:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
         self._stored: dict[str, DataFrame] = {}
 
     def stored(self, name: str, df: DataFrame | None = None) -> DataFrame:
@@ -39,7 +40,10 @@ class Relations:
         return self._stored[name]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A driver table; its footer is read once per set of relations."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     # -- dimensions ----------------------------------------------------------
 
@@ -71,25 +75,21 @@ class Relations:
             F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team"), F.col("r_name").alias("grp"))
 
     def fixtures(self) -> DataFrame:
-        key = F.col("p_partkey")
-        block = F.floor(key / 25)
-        day = F.floor(key / 4)
-        week = F.array(*[F.lit(d) for d in _WEEK_FROM_FIRST_DAY])
-        late = F.when(key % 17 == 0, 1).otherwise(0)
-        no_goals = (key % 10 == 9) | (F.col("p_size") == 11)
-        base = self.table("part").select(
-            (key + 1).alias("match_id"),
-            (key + 1).alias("match_order"),
-            (key % 25).alias("home_id"),
-            F.when(key % 7 == 0, (key + 1) % 25).otherwise((key + 5 * (1 + block % 4)) % 25).alias("away_id"),
-            F.date_add(F.lit(_FIRST_DAY).cast("date"), day.cast("int")).alias("match_date"),
-            F.concat(13 + (key % 4) * 3, F.lit(":00:00")).alias("match_time"),
-            F.get(week, ((day + late) % 7).cast("int")).alias("match_day"),
-            F.when(key % 10 < 7, "finished").when(key % 10 < 9, "in_progress").otherwise("pending").alias("status"),
-            F.when(~no_goals, F.col("p_size") % 4).cast("int").alias("home_goals"),
-            F.when(~no_goals, key % 3).cast("int").alias("away_goals"),
+        played = self.table("part").selectExpr(
+            "p_partkey + 1 as match_id",
+            "p_partkey + 1 as match_order",
+            "p_partkey % 25 as home_id",
+            "case when p_partkey % 7 = 0 then (p_partkey + 1) % 25 "
+            "else (p_partkey + 5 * (1 + floor(p_partkey / 25) % 4)) % 25 end as away_id",
+            f"date_add(date '{_FIRST_DAY}', cast(floor(p_partkey / 4) as int)) as match_date",
+            "concat(13 + (p_partkey % 4) * 3, ':00:00') as match_time",
+            f"elt(cast((floor(p_partkey / 4) + if(p_partkey % 17 = 0, 1, 0)) % 7 as int) + 1, {_WEEK}) as match_day",
+            "case when p_partkey % 10 < 7 then 'finished' when p_partkey % 10 < 9 then 'in_progress' "
+            "else 'pending' end as status",
+            "if(p_partkey % 10 = 9 or p_size = 11, null, p_size % 4) as home_goals",
+            "if(p_partkey % 10 = 9 or p_size = 11, null, cast(p_partkey % 3 as int)) as away_goals",
         )
-        return base.withColumn("actual_result", derive_result(given=F.lit(None).cast("string")))
+        return played.withColumn("actual_result", derive_result(given=F.lit(None).cast("string")))
 
     def named_fixtures(self) -> DataFrame:
         return with_team_names(self.fixtures(), self.teams())
