@@ -9,11 +9,16 @@ from ..functions.wording import OUTCOMES
 from ..plans.dense import as_list
 
 
-def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Existing rows and those incoming ones whose key is new; the first by ``order`` of equal keys."""
+def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Incoming rows whose key is new, the first by ``order`` of equal keys: what an append has to write."""
     first = Window.partitionBy(*keys).orderBy(*order)
     one = incoming.withColumn("__n", F.row_number().over(first)).where(F.col("__n") == 1)
-    return existing.unionByName(one.join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
+    return one.join(existing.select(*keys), keys, "left_anti").select(*existing.columns)
+
+
+def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The table after the insert: rows whose key exists are skipped."""
+    return existing.unionByName(new_rows(existing, incoming, keys, order))
 
 
 def upsert_update(existing: DataFrame, incoming: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
@@ -72,10 +77,11 @@ def synthetic_picks(users: DataFrame, fixtures: DataFrame, existing: DataFrame,
                     seed: int = 7) -> DataFrame:
     """A pick for every user and match of a contest that has none yet.
 
-    ``draw`` is 0, 1 or 2 from the row's own columns; uniform at random without it.
-    Only existing picks are shuffled; the new ones unfold from each user's row.
+    ``draw`` is 0, 1 or 2 from the row's own columns; without it a seeded hash of the
+    key, so a task that runs again draws the same. Only existing picks are shuffled;
+    the new ones unfold from each user's row.
     """
-    draw = F.floor(F.rand(seed) * 3) if draw is None else draw
+    draw = F.pmod(F.xxhash64(F.lit(seed), "user_id", "match_id"), F.lit(3)) if draw is None else draw
     choice = F.get(F.array(*[F.lit(o) for o in OUTCOMES]), draw.cast("int"))
     have = existing.groupBy("user_id").agg(F.collect_set("match_id").alias("have"))
     listed = users.select("user_id").join(have, "user_id", "left").withColumn("every", as_list(fixtures, ["match_id"]))
