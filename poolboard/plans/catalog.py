@@ -14,7 +14,7 @@ from ..sources.projections import Relations, attempt_columns, result_columns, su
 from ..streaming import intake
 from ..streaming import points as points_stream
 from ..streaming import subscriptions as subscription_stream
-from ..streaming.logs import BatchLog, table_stream
+from ..streaming.logs import BatchLog
 
 VIEWER = 8
 ADMIN = 0
@@ -565,12 +565,12 @@ def public_rows(r):
 # -- streams ----------------------------------------------------------------------------------------
 
 def _results_stream(r: Relations) -> DataFrame:
-    edits = table_stream(r.spark, r.sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
+    edits = r.stream("events").where(F.col("event_type").isin("view", "purchase"))
     return edits.select(*result_columns())
 
 
 def _intake(r: Relations) -> BatchLog:
-    attempts = table_stream(r.spark, r.sf_dir, "lineitem").select(*attempt_columns())
+    attempts = r.stream("lineitem").select(*attempt_columns())
     return intake.stream_intake(attempts, r.d_fixtures())
 
 
@@ -598,4 +598,4 @@ def stream_finish_outbox(r):
 @query
 def stream_subscriptions(r):
     return subscription_stream.stream_subscriptions(
-        table_stream(r.spark, r.sf_dir, "events").select(*subscription_columns()))
+        r.stream("events").select(*subscription_columns()))

@@ -13,6 +13,7 @@ from ..functions.outcomes import derive_result
 from ..functions.wording import CONTEST_SIZE
 from ..operators.fixtures import with_team_names
 from ..session import fresh_path
+from ..streaming.logs import table_stream
 
 _FIRST_DAY = "2026-06-11"
 _WEEK = "'Jueves', 'Viernes', 'Sábado', 'Domingo', 'Lunes', 'Martes', 'Miércoles'"  # from the first day on
@@ -31,6 +32,10 @@ class Relations:
         self._tables: dict[str, DataFrame] = {}
         self._stored: dict[str, DataFrame] = {}
 
+    def stream(self, name: str) -> DataFrame:
+        """A driver table as a stream. It may be one file or a folder: a pattern takes either, a plain path no file."""
+        return table_stream(self.spark, f"{self.sf_dir}/{name}.parque[t]")
+
     def stored(self, name: str, df: DataFrame | None = None) -> DataFrame:
         """A relation written once to the shared folder, for queries that read it several times."""
         if name not in self._stored:

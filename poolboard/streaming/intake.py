@@ -172,4 +172,4 @@ def stream_consensus(accepted: DataFrame, fixtures: DataFrame) -> DataFrame:
 
 def accepted_stream(verdicts: BatchLog) -> DataFrame:
     """The accepted picks of an intake, as a stream of its own."""
-    return table_stream(verdicts.spark, verdicts.path, "*").where(F.col("verdict") == "accepted")
+    return table_stream(verdicts.spark, verdicts.path).where(F.col("verdict") == "accepted")

@@ -67,15 +67,13 @@ class MergedLog:
         self.log.write(change, batch)
 
 
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
-    """One parquet table of a folder as a stream of its files; ``name`` may hold wildcards."""
-    pattern = f"{name}.parquet"
-    schema = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).parquet(folder).schema
-    reader = (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-              .option("recursiveFileLookup", True))
+def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The parquet files of a folder, its subfolders, or whatever a pattern names, as a stream."""
+    found = spark.read.option("recursiveFileLookup", True).parquet(path)
+    reader = spark.readStream.schema(found.schema).option("recursiveFileLookup", True)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    return reader.parquet(path)
 
 
 def run_to_end(writer, spark: SparkSession, name: str, checkpoint: str | None = None) -> None:

@@ -21,7 +21,7 @@ def in_files(spark, df, path, order, parts):
     for i in range(parts):
         part = spark.createDataFrame(rows[i * size:(i + 1) * size], df.schema)
         part.coalesce(1).write.mode("append").parquet(str(path))
-    return table_stream(spark, str(path), "*", files_per_trigger=1)
+    return table_stream(spark, str(path), files_per_trigger=1)
 
 
 def replay(attempts, orders):
