@@ -67,33 +67,33 @@ def _with_order(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
     return picks.join(fixtures.select("match_id", "match_order"), "match_id", "left")
 
 
-def _problem(lower: Column) -> Column:
+def _lower_picks():
+    return Window.partitionBy("user_id").orderBy("match_order").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _broken(counted: DataFrame, out_of_sequence: Column) -> DataFrame:
     order = F.col("match_order")
-    return F.when(order.isNull(), "unknown_match").when((order > 1) & (lower < order - 1), "out_of_sequence")
+    problem = F.when(order.isNull(), "unknown_match").when((order > 1) & out_of_sequence, "out_of_sequence")
+    return counted.withColumn("problem", problem).where("problem is not null")
 
 
 def check_sequence(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Picks at order N while the user holds fewer than N-1 lower ones (a contest has at most 72)."""
-    before = Window.partitionBy("user_id").orderBy("match_order").rowsBetween(Window.unboundedPreceding, -1)
-    counted = _with_order(picks, fixtures).withColumn("lower", F.count("match_order").over(before))
-    return counted.withColumn("problem", _problem(F.col("lower"))).where("problem is not null").select(
+    counted = _with_order(picks, fixtures).withColumn("lower", F.count("match_order").over(_lower_picks()))
+    return _broken(counted, F.col("lower") < F.col("match_order") - 1).select(
         "user_id", "match_id", "match_order", "lower", "problem")
 
 
 def check_sequence_replay(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """The same rule at the moment each pick was made: only lower picks already there count.
+    """The same rule at the moment each pick was made: a lower one that is missing or came later breaks it.
 
-    Gathers a user's picks, at most the 72 of a contest.
+    Picks made at the same time count as made by match order.
     """
-    made = F.struct("created_at", "match_order")
-    known = _with_order(picks, fixtures)
-    history = known.groupBy("user_id").agg(
-        F.collect_list(F.struct("created_at", "match_order", "match_id")).alias("made"))
-    lower = F.size(F.filter("made", lambda p: (p["match_order"] < F.col("match_order")) & (
-        F.struct(p["created_at"].alias("created_at"), p["match_order"].alias("match_order")) < made)))
-    replayed = history.select("user_id", "made", F.inline("made")).withColumn("lower", lower.cast("long"))
-    return replayed.withColumn("problem", _problem(F.col("lower"))).where("problem is not null").select(
-        "user_id", "match_id", "match_order", "lower", "problem")
+    known_at = F.when(F.col("match_order").isNotNull(), F.col("created_at"))
+    counted = (_with_order(picks, fixtures).withColumn("lower", F.count("match_order").over(_lower_picks()))
+               .withColumn("complete_at", F.max(known_at).over(_lower_picks())))
+    late = (F.col("lower") < F.col("match_order") - 1) | (F.col("complete_at") > F.col("created_at"))
+    return _broken(counted, late).select("user_id", "match_id", "match_order", "problem")
 
 
 def check_immutable(before: DataFrame, after: DataFrame, keys: list[str], column: str) -> DataFrame:

@@ -452,10 +452,10 @@ where match_order > 1 and lower < match_order - 1
 """
 
 ORACLES["check_sequence_replay"] = """
-select user_id, match_id, match_order, lower, 'out_of_sequence' as problem from (
+select user_id, match_id, match_order, 'out_of_sequence' as problem from (
   select p.user_id, p.match_id, p.match_id as match_order, count(q.match_id) as lower
   from d_picks p left join d_picks q on q.user_id = p.user_id and q.match_id < p.match_id
-    and (q.created_at < p.created_at or (q.created_at = p.created_at and q.match_id < p.match_id))
+    and q.created_at <= p.created_at
   group by p.user_id, p.match_id) z
 where match_order > 1 and lower < match_order - 1
 """

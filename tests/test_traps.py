@@ -276,12 +276,13 @@ def test_sequence_by_order_and_by_time(spark):
     chosen = c.picks(spark, {1: "11-1", 2: "11"}).withColumn(
         "created_at", F.when((F.col("user_id") == 2) & (F.col("match_id") == 10), F.lit("2026-01-02"))
         .otherwise(F.lit("2026-01-01")).cast("date"))
-    stray = spark.createDataFrame([(3, 999, "1", None)], "user_id long, match_id long, predicted_result string, created_at date")
+    stray = spark.createDataFrame([(2, 999, "1", "2026-01-09")], c.PICK_TYPES + ", created_at string").withColumn(
+        "created_at", F.col("created_at").cast("date"))
     chosen, matches = chosen.unionByName(stray), c.finished(spark, "1111")
     assert c.rows(quality.check_sequence(chosen, matches), "user_id", "match_order", "problem") == [
-        (1, 4, "out_of_sequence"), (3, None, "unknown_match")]
+        (1, 4, "out_of_sequence"), (2, None, "unknown_match")]
     assert c.rows(quality.check_sequence_replay(chosen, matches), "user_id", "match_order", "problem") == [
-        (1, 4, "out_of_sequence"), (2, 2, "out_of_sequence"), (3, None, "unknown_match")]
+        (1, 4, "out_of_sequence"), (2, 2, "out_of_sequence"), (2, None, "unknown_match")]
 
 
 def test_domain_audit_reports_every_broken_rule(spark):
