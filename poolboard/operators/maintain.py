@@ -54,10 +54,15 @@ def without(rows: DataFrame, gone: DataFrame, column: str, key: str) -> DataFram
 
 
 def set_null(rows: DataFrame, gone: DataFrame, column: str, key: str) -> DataFrame:
-    """Rows with ``column`` emptied where it points to a value that went."""
+    """Rows with ``column`` emptied where it points to a value that went.
+
+    Rows that point nowhere, often most of them, stay out of the join: as one null key
+    they would all meet in one task.
+    """
     marked = gone.select(F.col(key).alias(column)).distinct().withColumn("__gone", F.lit(True))
     kept = F.when(F.col("__gone").isNull(), F.col(column))
-    return rows.join(marked, column, "left").withColumn(column, kept).select(*rows.columns)
+    pointing = rows.where(F.col(column).isNotNull()).join(marked, column, "left").withColumn(column, kept)
+    return rows.where(F.col(column).isNull()).unionByName(pointing.select(*rows.columns))
 
 
 def cascade_delete(relations: dict[str, DataFrame], users: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
