@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.numbering import numbered, numbered_within
+from .policy import visible_edges
 from .scoring import pending_points
 from .social import friend_set, mutual
 
@@ -40,10 +41,9 @@ def ranking_fallback(points: DataFrame) -> DataFrame:
 
 def ranking_annotated(positions: DataFrame, edges: DataFrame, viewer) -> DataFrame:
     """The numbered ranking as one viewer sees it."""
-    viewer = F.lit(viewer).cast("string")
-    friends = friend_set(edges).where(F.col("viewer_id").cast("string") == viewer).select(
-        F.col("friend_id").cast("string").alias("user_id"), F.lit(True).alias("is_friend"))
-    is_me = F.col("user_id") == viewer
+    own = friend_set(visible_edges(edges, viewer)).where(F.col("viewer_id") == viewer)
+    friends = own.select(F.col("friend_id").cast("string").alias("user_id"), F.lit(True).alias("is_friend"))
+    is_me = F.col("user_id") == str(viewer)
     return positions.join(friends, "user_id", "left").select(
         *positions.columns, is_me.alias("is_me"), F.coalesce("is_friend", F.lit(False)).alias("is_friend"),
         (~is_me & ~F.col("is_pending")).alias("can_befriend"))

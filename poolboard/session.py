@@ -35,14 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it gets a folder of its own.
     """
-    configured = spark.sparkContext.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
+    context = spark.sparkContext
+    configured = (context.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
+                  or context.getCheckpointDir())
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="poolboard-")
         spark.conf.set(CHECKPOINT_DIR, configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
     return configured
 
 

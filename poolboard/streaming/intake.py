@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.wording import CONTEST_SIZE
 from ..operators.stats import VOTES
 from ..session import shared_dir
-from .logs import BatchLog, MergedLog, run_to_end, table_stream
+from .logs import BatchLog, MergedLog, job_root, run_to_end, table_stream
 
 ARRIVAL = ["created_at", "match_id", "order_key", "line_number", "part_key"]
 VERDICTS = ("user_id {user}, match_id bigint, predicted_result string, created_at timestamp, order_key bigint, "
@@ -121,11 +121,12 @@ def _furthest(progress: DataFrame) -> DataFrame:
 class IntakeJob:
     """Verdicts per micro-batch, and how far each user has come."""
 
-    def __init__(self, attempts: DataFrame, fixtures: DataFrame):
+    def __init__(self, attempts: DataFrame, fixtures: DataFrame, root: str | None = None):
         spark, user = attempts.sparkSession, _user_type(attempts)
         self.fixtures = fixtures
-        self.verdicts = BatchLog(spark, "intake", VERDICTS.format(user=user))
-        self.progress = MergedLog(spark, "intake-state", PROGRESS.format(user=user), _furthest)
+        self.root = job_root(spark, "intake", root)
+        self.verdicts = BatchLog(spark, f"{self.root}/verdicts", VERDICTS.format(user=user))
+        self.progress = MergedLog(spark, f"{self.root}/done", PROGRESS.format(user=user), _furthest)
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
         self.verdicts.write(judged(batch, self.fixtures, self.progress.state(number)), number)
@@ -133,10 +134,10 @@ class IntakeJob:
         self.progress.write(_furthest(accepted.withColumnRenamed("match_order", "done")), number)
 
 
-def stream_intake(attempts: DataFrame, fixtures: DataFrame) -> BatchLog:
+def stream_intake(attempts: DataFrame, fixtures: DataFrame, root: str | None = None) -> BatchLog:
     """Run the intake over all that has arrived; returns the log of verdicts."""
-    job = IntakeJob(attempts, fixtures)
-    run_to_end(attempts.writeStream.foreachBatch(job.on_batch), attempts.sparkSession, "intake")
+    job = IntakeJob(attempts, fixtures, root)
+    run_to_end(attempts, job.on_batch, job.root)
     return job.verdicts
 
 
@@ -153,18 +154,18 @@ def _newest_counts(counts: DataFrame) -> DataFrame:
         "match_id", "v.*")
 
 
-def stream_consensus(accepted: DataFrame, fixtures: DataFrame) -> DataFrame:
+def stream_consensus(accepted: DataFrame, fixtures: DataFrame, root: str | None = None) -> DataFrame:
     """Follow accepted picks to the end; every fixture with its votes, zeros included.
 
     Update mode hands over only the matches a batch touched; the newest row of each counts.
     """
-    spark = accepted.sparkSession
-    log = MergedLog(spark, "consensus", COUNTS, _newest_counts)
+    root = job_root(accepted.sparkSession, "consensus", root)
+    log = MergedLog(accepted.sparkSession, f"{root}/votes", COUNTS, _newest_counts)
 
     def on_batch(batch: DataFrame, number: int) -> None:
         log.write(batch.withColumn("counted_in", F.lit(number).cast("long")), number)
 
-    run_to_end(running_votes(accepted).writeStream.outputMode("update").foreachBatch(on_batch), spark, "consensus")
+    run_to_end(running_votes(accepted), on_batch, root, mode="update")
     counts = [*VOTES.values(), "votes_total"]
     return fixtures.select("match_id", "match_order").join(log.state(), "match_id", "left").select(
         "match_id", "match_order", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])

@@ -1,4 +1,8 @@
-"""Tables grown by micro-batches: each batch owns one folder, so a repeated batch replaces itself."""
+"""Tables grown by micro-batches: each batch owns one folder, so a repeated batch replaces itself.
+
+A job keeps its logs and its progress below one root folder; started again with the same
+root, it goes on where it stopped.
+"""
 
 from __future__ import annotations
 
@@ -12,11 +16,11 @@ from ..session import fresh_path
 
 
 class BatchLog:
-    """Append-only log in the shared folder, partitioned by batch number."""
+    """Append-only log, partitioned by batch number."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: str, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark = spark
-        self.path = path or fresh_path(spark, name)
+        self.path = path
         self.schema = schema
 
     def write(self, df: DataFrame, batch: int) -> None:
@@ -42,9 +46,9 @@ class MergedLog:
     read never goes back further than that.
     """
 
-    def __init__(self, spark: SparkSession, name: str, schema: str, merge: Callable[[DataFrame], DataFrame],
+    def __init__(self, spark: SparkSession, path: str, schema: str, merge: Callable[[DataFrame], DataFrame],
                  every: int = 20):
-        self.log = BatchLog(spark, name, schema)
+        self.log = BatchLog(spark, path, schema)
         self.columns = [part.split()[0] for part in schema.split(", ")]
         self.merge = merge
         self.every = every
@@ -76,7 +80,12 @@ def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def run_to_end(writer, spark: SparkSession, name: str, checkpoint: str | None = None) -> None:
-    """Process everything that has arrived, then stop."""
-    writer.trigger(availableNow=True).option(
-        "checkpointLocation", checkpoint or fresh_path(spark, f"{name}-progress")).start().awaitTermination()
+def job_root(spark: SparkSession, name: str, root: str | None) -> str:
+    """The job's folder: the given one, or a new one in the shared folder."""
+    return root or fresh_path(spark, name)
+
+
+def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
+    """Process everything that has arrived since the last run with this root, then stop."""
+    (stream.writeStream.outputMode(mode).foreachBatch(on_batch).trigger(availableNow=True)
+     .option("checkpointLocation", f"{root}/progress").start().awaitTermination())

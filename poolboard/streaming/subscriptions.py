@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.outbox import latest_writes
-from .logs import MergedLog, run_to_end
+from .logs import MergedLog, job_root, run_to_end
 
 PARTIAL = ("user_id {user}, endpoint string, sub_id bigint, p256dh string, created_at timestamp, event_id bigint")
 
 
-def stream_subscriptions(writes: DataFrame) -> DataFrame:
+def stream_subscriptions(writes: DataFrame, root: str | None = None) -> DataFrame:
     """Each batch appends its newest write per key; reading merges them, so no batch rewrites the table."""
     user = writes.schema["user_id"].dataType.simpleString()
-    log = MergedLog(writes.sparkSession, "subscriptions", PARTIAL.format(user=user), latest_writes)
+    root = job_root(writes.sparkSession, "subscriptions", root)
+    log = MergedLog(writes.sparkSession, f"{root}/writes", PARTIAL.format(user=user), latest_writes)
 
     def on_batch(batch: DataFrame, number: int) -> None:
         log.write(latest_writes(batch.withColumn("sub_id", F.col("event_id"))), number)
 
-    run_to_end(writes.writeStream.foreachBatch(on_batch), writes.sparkSession, "subscriptions")
+    run_to_end(writes, on_batch, root)
     return log.state().select("sub_id", "user_id", "endpoint", "p256dh")

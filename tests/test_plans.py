@@ -34,6 +34,11 @@ def test_rows_come_back_in_order(spark, scores):
     assert got == list(range(1, 4001))
 
 
+def test_nothing_to_number(spark, scores):
+    assert numbered(scores.where("false"), [F.col("username")]).count() == 0
+    assert numbered_within(scores.where("false"), ["board"], [F.col("username")]).count() == 0
+
+
 def test_hot_group_is_numbered_across_tasks(spark, scores):
     order = [F.col("total_points").desc(), F.col("username")]
     plain = numbered_within(scores, ["board"], order)

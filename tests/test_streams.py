@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import contest as c
 from poolboard.operators import outbox, ranking, scoring
+from poolboard.session import fresh_path
 from poolboard.sources.projections import Relations, attempt_columns
 from poolboard.streaming import intake
 from poolboard.streaming.logs import MergedLog, table_stream
@@ -67,6 +68,18 @@ def test_points_follow_the_last_finish(spark, log_rows, game, tmp_path):
         assert c.rows(stream_points(stream, who, chosen, matches)) == c.rows(wanted)
 
 
+def test_restarted_job_goes_on_where_it_stopped(spark, log_rows, game, tmp_path):
+    who, chosen, matches = game
+    source, root = str(tmp_path / "growing"), str(tmp_path / "root")
+    half = in_files(spark, log_rows.where("event_id < 17"), source, ["event_id"], 2)
+    stream_points(half, who, chosen, matches, root)
+    rest = in_files(spark, log_rows.where("event_id >= 17"), source, ["event_id"], 2)
+    got = stream_points(rest, who, chosen, matches, root)
+    whole = PointsJob(chosen, matches)
+    whole.on_batch(log_rows, 0)
+    assert c.rows(got) == c.rows(whole.totals(who))
+
+
 def test_points_stay_stale_after_a_plain_save(spark, game, tmp_path):
     who, chosen, matches = game
     types = "event_id long, match_id long, ts timestamp, action string, home_goals string, away_goals string"
@@ -98,7 +111,7 @@ def test_merged_log_folds_every_few_batches(spark):
     def total(df):
         return df.groupBy("k").agg(F.sum("n").alias("n"))
 
-    log = MergedLog(spark, "sums", "k string, n bigint", total, every=3)
+    log = MergedLog(spark, fresh_path(spark, "sums"), "k string, n bigint", total, every=3)
     for i in range(8):
         log.write(spark.createDataFrame([("a", 1), (f"b{i % 2}", 1)], "k string, n bigint"), i)
     assert c.rows(log.state()) == [("a", 8), ("b0", 4), ("b1", 4)]
