@@ -154,8 +154,10 @@ from (select label, sha1(unhex(repeat('00', 16)) || encode(label)) as d
 """
 
 VIEWS["set_points"] = """
-select p.label, count(*) filter (where f.status = 'finished' and f.actual_result = p.predicted_result) as total_points
-from pending p join fixtures f on f.match_id = p.match_id where p.assigned_to is null group by p.label
+select label, count(f.match_id) as total_points
+from pending p left join fixtures f
+  on f.match_id = p.match_id and f.status = 'finished' and f.actual_result = p.predicted_result
+where assigned_to is null group by label
 """
 
 VIEWS["ranking_rows"] = """
@@ -179,12 +181,13 @@ from orders where o_orderstatus = 'O'
 """
 
 VIEWS["votes"] = """
-select f.match_id, f.match_order,
-       count(*) filter (where p.predicted_result = '1') as votes_1,
-       count(*) filter (where p.predicted_result = 'X') as votes_x,
-       count(*) filter (where p.predicted_result = '2') as votes_2,
-       count(p.user_id) as votes_total
-from fixtures f left join picks p on p.match_id = f.match_id group by f.match_id, f.match_order
+select match_id, match_order, coalesce(n_home, 0) as votes_1, coalesce(n_draw, 0) as votes_x,
+       coalesce(n_away, 0) as votes_2, coalesce(n, 0) as votes_total
+from fixtures left join (
+  select match_id, cast(sum(case when predicted_result = '1' then 1 else 0 end) as bigint) as n_home,
+         cast(sum(case when predicted_result = 'X' then 1 else 0 end) as bigint) as n_draw,
+         cast(sum(case when predicted_result = '2' then 1 else 0 end) as bigint) as n_away, count(*) as n
+  from picks group by match_id) counted using (match_id)
 """
 
 VIEWS["shares"] = """
@@ -202,21 +205,23 @@ from picks p join votes v on v.match_id = p.match_id where votes_total > 0
 """
 
 VIEWS["all_rows"] = """
-select cast(p.user_id as varchar) as user_id, u.username, p.match_id, f.match_order, p.predicted_result
-from picks p join participants u on u.user_id = p.user_id join fixtures f on f.match_id = p.match_id
-union all
-select i.label_id, p.label, p.match_id, f.match_order, p.predicted_result
-from pending p join fixtures f on f.match_id = p.match_id join label_ids i on i.label = p.label
-where p.assigned_to is null
+select listed.user_id, username, match_id, match_order, predicted_result from (
+  select cast(user_id as varchar) as user_id, username, match_id, predicted_result
+  from picks join participants using (user_id)
+  union all
+  select label_id, label, match_id, predicted_result from pending join label_ids using (label)
+  where assigned_to is null) listed
+join fixtures using (match_id)
 """
 
 VIEWS["d_rows"] = """
-select cast(p.user_id as varchar) as user_id, u.username, p.match_id, f.match_order, p.predicted_result
-from d_picks p join d_participants u on u.user_id = p.user_id join d_fixtures f on f.match_id = p.match_id
-union all
-select i.label_id, p.label, p.match_id, f.match_order, p.predicted_result
-from d_pending p join d_fixtures f on f.match_id = p.match_id join label_ids i on i.label = p.label
-where p.assigned_to is null
+select listed.user_id, username, match_id, match_order, predicted_result from (
+  select cast(user_id as varchar) as user_id, username, match_id, predicted_result
+  from d_picks join d_participants using (user_id)
+  union all
+  select label_id, label, match_id, predicted_result from d_pending join label_ids using (label)
+  where assigned_to is null) listed
+join d_fixtures using (match_id)
 """
 
 VIEWS["next_open"] = """
