@@ -63,3 +63,62 @@ def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(T.StructType.fromDDL(schema))
+
+
+#: Bits of a filter and of one of its pages; a filter is 2 MB whatever the data.
+FILTER_BITS, PAGE_BITS = 1 << 24, 1 << 16
+
+
+def key_filter(keys: DataFrame, key: str, hashed: bool = False) -> bytes:
+    """A bit for each hash of the non-null ``key`` column (``hashed``: it is a hash itself), folded to a fixed size: what is not in it is not in ``keys``.
+
+    Tasks set bits in pages of 8 kB, pages are merged by number, and the driver gets 256 pages at most.
+    """
+    import numpy as np
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy(zero_copy_only=False) % FILTER_BITS] = True
+        found = [(n, np.packbits(page).tobytes()) for n, page in enumerate(bits.reshape(-1, PAGE_BITS)) if page.any()]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()),
+                                              pa.array([p for _, p in found], pa.binary())], ["page", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = np.zeros(PAGE_BITS // 8, dtype=np.uint8)
+        for page in table.column("bits"):
+            bits |= np.frombuffer(page.as_py(), dtype=np.uint8)
+        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    hashes = keys.where(F.col(key).isNotNull()).select(F.col(key) if hashed else F.xxhash64(key))
+    merged = hashes.mapInArrow(pages, "page bigint, bits binary").groupBy("page").applyInArrow(
+        merge, "page bigint, bits binary")
+    out = bytearray(FILTER_BITS // 8)
+    for page, bits in merged.collect():
+        out[page * PAGE_BITS // 8:(page + 1) * PAGE_BITS // 8] = bits
+    return bytes(out)
+
+
+def may_be_in(bits: bytes, key: str) -> Column:
+    """Whether the filter may hold the hash of ``key``; never true for null."""
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy() % FILTER_BITS
+        held = np.frombuffer(bits, dtype=np.uint8)
+        return pd.Series(held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1)
+
+    return F.col(key).isNotNull() & test(F.xxhash64(key))
+
+
+def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Rows whose id is not in the one column of ``dropped``. Only rows that the filter can't clear are shuffled."""
+    ids = dropped.select(F.col(dropped.columns[0]).alias("__dropped"))
+    maybe = may_be_in(key_filter(ids, "__dropped"), doc_id)
+    marked = docs.withColumn("__maybe", maybe)
+    clear = marked.where(~F.col("__maybe")).drop("__maybe")
+    rest = marked.where("__maybe").drop("__maybe")
+    return clear.unionByName(rest.join(ids, rest[doc_id] == ids["__dropped"], "left_anti"))

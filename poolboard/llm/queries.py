@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolboard.llm import packing, token_count
+from poolboard.llm import packing, token_count, token_file, trie_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_exact_dedup": trie_dedup.op4_exact_dedup,
         "op8_best_fit_packing": packing.op8_pack,
         "op9_token_counts": token_count.op9_token_counts,
+        "op10_token_files": token_file.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_exact_dedup": trie_dedup.OP4_SQL,
+    }
