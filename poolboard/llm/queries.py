@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolboard.llm import packing, token_count, token_file, trie_dedup
+from poolboard.llm import mixing, packing, token_count, token_file, trie_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_exact_dedup": trie_dedup.op4_exact_dedup,
+        "op5_mix_sources": mixing.op5_mix,
         "op8_best_fit_packing": packing.op8_pack,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_token_files": token_file.op10_token_files,
@@ -21,4 +22,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": trie_dedup.OP4_SQL,
+        "op5_mix_sources": mixing.OP5_SQL,
     }
