@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolboard.llm import mixing, packing, token_count, token_file, trie_dedup
+from poolboard.llm import mixing, packing, secret_scan, token_count, token_file, trie_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": secret_scan.op2_secrets,
         "op4_exact_dedup": trie_dedup.op4_exact_dedup,
         "op5_mix_sources": mixing.op5_mix,
         "op8_best_fit_packing": packing.op8_pack,
