@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from poolboard.session import fresh_path
 
 #: ASCII white space, the only white space that separates words here.
 SPACES = b" \t\n\x0b\x0c\r"
-#: Rows of an Arrow batch that are turned into Python objects at once.
-SLICE = 512
+#: Bytes of an Arrow batch that are turned into Python objects at once, by its mean row.
+SLICE_BYTES = 16 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +42,14 @@ def encoded(text: str | None) -> bytes:
 
 
 def map_rows(df: DataFrame, function: Callable[[Iterator[list[tuple]]], Iterable[list[tuple]]], schema: str) -> DataFrame:
-    """``mapInArrow`` over lists of row tuples: a bounded number of rows is held as Python objects at a time."""
+    """``mapInArrow`` over lists of row tuples: a bounded part of a batch is held as Python objects."""
     arrow = arrow_schema(schema)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,8 +77,6 @@ def key_filter(keys: DataFrame, key: str, hashed: bool = False) -> bytes:
 
     Tasks set bits in pages of 8 kB, pages are merged by number, and the driver gets 256 pages at most.
     """
-    import numpy as np
-
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, dtype=bool)
         for batch in batches:
@@ -102,9 +103,6 @@ def key_filter(keys: DataFrame, key: str, hashed: bool = False) -> bytes:
 
 def may_be_in(bits: bytes, key: str) -> Column:
     """Whether the filter may hold the hash of ``key``; never true for null."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def test(hashes: pd.Series) -> pd.Series:
         at = hashes.to_numpy() % FILTER_BITS
@@ -122,3 +120,22 @@ def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> Data
     clear = marked.where(~F.col("__maybe")).drop("__maybe")
     rest = marked.where("__maybe").drop("__maybe")
     return clear.unionByName(rest.join(ids, rest[doc_id] == ids["__dropped"], "left_anti"))
+
+
+def range_cuts(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
+    """About ``parts`` even cuts of the ids, for work in document order: where they fall changes no result.
+
+    Reads the id column alone; the sketch behind the quantiles has a fixed size.
+    """
+    if parts < 2:
+        return []
+    return sorted(set(docs.approxQuantile(doc_id, [n / parts for n in range(1, parts)], 0.2 / parts)))
+
+
+def range_of(cuts: list[float], doc_id: str) -> Column:
+    """The range of an id, in ascending order; a null id has the last one."""
+    @F.pandas_udf("int")
+    def find(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype("int32"))
+
+    return F.when(F.col(doc_id).isNull(), F.lit(len(cuts) + 1)).otherwise(find(F.coalesce(doc_id, F.lit(0))))

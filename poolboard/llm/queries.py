@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolboard.llm import mixing, packing, secret_scan, token_count, token_file, trie_dedup
+from poolboard.llm import fingerprints, mixing, packing, secret_scan, token_count, token_file, trie_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secret_scan.op2_secrets,
         "op4_exact_dedup": trie_dedup.op4_exact_dedup,
         "op5_mix_sources": mixing.op5_mix,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_best_fit_packing": packing.op8_pack,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_token_files": token_file.op10_token_files,
