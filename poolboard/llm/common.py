@@ -32,8 +32,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def share_of(doc_id: Column | str, parts: int) -> Column:
     """``crc32`` of the id as text modulo ``parts``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")
-                   .cast("binary")) % parts
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def encoded(text: str | None) -> bytes:
@@ -41,16 +41,21 @@ def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def batch_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of about ``SLICE_BYTES``, without copying."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[list[tuple]]], Iterable[list[tuple]]], schema: str) -> DataFrame:
     """``mapInArrow`` over lists of row tuples: a bounded part of a batch is held as Python objects."""
     arrow = arrow_schema(schema)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
+        for part in batch_slices(batches):
+            yield list(zip(*(c.to_pylist() for c in part.columns), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in function(slices(batches)):

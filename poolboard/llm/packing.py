@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import encoded, map_rows, stored
+from poolboard.llm.common import map_rows, stored
 from poolboard.llm.tokens import tokenizer_path, word_encoder
 
 CAPACITY = 2048
@@ -72,8 +72,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, separator: int, doc_id: st
         pack = packer()
         for rows in slices:
             out = []
-            for (key, _), ids in zip(rows, encoder.encode([encoded(t) for _, t in rows]), strict=True):
-                ids += end
+            for (key, _), ids in zip(rows, encoder.encode([t for _, t in rows]), strict=True):
+                ids = ids.tobytes() + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     out.append((key, n, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from poolboard.llm import range_coder
-from poolboard.llm.common import arrow_schema, encoded, map_rows, read_documents
+from poolboard.llm.common import arrow_schema, map_rows, range_cuts, read_documents
 from poolboard.llm.tokens import tokenizer_path, word_encoder
 from poolboard.session import fresh_path
 
@@ -24,14 +24,6 @@ FILE_FIELDS = "start bigint, n_ids bigint, ids binary, doc_ids array<bigint>, le
 READ = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def borders(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
-    """About ``parts`` even cuts of the ids; where they fall changes the files' sizes and nothing else."""
-    if parts < 2:
-        return []
-    cuts = docs.approxQuantile(doc_id, [n / parts for n in range(1, parts)], 0.2 / parts)
-    return sorted(set(cuts))
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1, doc_id: str = "doc_id",
                       text: str = "text", parts: int | None = None) -> None:
     """Write the ids of every document, ``end`` appended, in ascending order of document id, null ids last.
@@ -43,14 +35,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1,
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     parts = parts or max(docs.rdd.getNumPartitions(), 1)
-    cuts = borders(docs, "doc_id", parts)
+    cuts = range_cuts(docs, "doc_id", parts)
 
     def tokens(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         encoder = word_encoder(tokenizer)
         for rows in slices:
             out = []
-            for (key, _), raw in zip(rows, encoder.encode([encoded(t) for _, t in rows]), strict=True):
-                ids = np.frombuffer(raw, "<u4")
+            for (key, _), ids in zip(rows, encoder.encode([t for _, t in rows]), strict=True):
                 if len(ids) and ids.max() > 0xFFFF:
                     raise ValueError("ids of 65,536 and above don't fit this format")
                 part = len(cuts) if key is None else bisect.bisect_left(cuts, key)
@@ -85,7 +76,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1,
         yield from segment()
 
     ids = map_rows(docs, tokens, "part int, doc_id bigint, ids binary")
-    dealt = ids.repartition(parts, "part").sortWithinPartitions("part", F.asc_nulls_last("doc_id"), "ids")
+    dealt = ids.repartitionById(len(cuts) + 2, "part").sortWithinPartitions("part", F.asc_nulls_last("doc_id"), "ids")
     dealt.mapInArrow(segments, FILES).write.partitionBy("part").parquet(path)
 
 
