@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolboard.llm import classifier, context_tree, fingerprints, mixing, packing, secret_scan, token_count, token_file, trie_dedup
+from poolboard.llm import classifier, context_tree, fingerprints, jaccard, mixing, packing, secret_scan, token_count, token_file, trie_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": classifier.op1_quality,
         "op2_secret_scan": secret_scan.op2_secrets,
+        "op3_ngram_jaccard": jaccard.op3_jaccard,
         "op4_exact_dedup": trie_dedup.op4_exact_dedup,
         "op5_mix_sources": mixing.op5_mix,
         "op6_language_model": context_tree.op6_language_model,
