@@ -12,6 +12,9 @@ from poolboard.llm.common import read_documents, stored
 MOST = 3
 #: Ranges of sampling keys in one doubling of the key; bounds what one task sorts to a few thousandths of a source.
 RANGES = 256
+#: Sources whose plan (a few numbers each) is broadcast; with more, it is joined like any table.
+BROADCAST_SOURCES = 10_000
+SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weight: Column | None = None, seed: int = 7, most: int = MOST, ranges: int = RANGES) -> DataFrame:
+        weight: Column | str | None = None, seed: int = 7, most: int = MOST, ranges: int = RANGES) -> DataFrame:
     """What a mix of all sources takes of each document: doc_id, size, source_size, target, taken, sampling_key.
 
     Each source is taken whole as often as its target holds it (complete epochs). What is left of the target is
@@ -71,17 +74,32 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ends is sorted, so no task holds a source. Null text: no words, never taken. Null sources are one source. Repeated
     rows are rows of their own; rows with equal keys are ordered by id and size. An empty table gives no rows.
     """
-    weight = quality_weight(F.col("text")) if weight is None else weight
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"),
-                        weight.alias("weight") if not isinstance(weight, str) else F.col(weight).alias("weight"))
+    named = renamed(docs, doc_id, text, source, weight)
+    rows = stored(with_keys(named, seed, ranges).drop("text", "weight"), "mixing")
+    return taken_of(rows, range_plan(rows, most)).select(
+        "doc_id", "size", "source_size", "target", "taken", "sampling_key")
+
+
+def renamed(docs: DataFrame, doc_id: str, text: str, source: str, weight: Column | str | None) -> DataFrame:
+    weight = quality_weight(F.col(text)) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"),
+                       weight.alias("weight"))
+
+
+def with_keys(rows: DataFrame, seed: int, ranges: int) -> DataFrame:
+    """Add size, sampling_key and range."""
     key = -F.ln(uniform(F.col("doc_id"), F.col("text"), seed)) / F.col("weight")
-    rows = stored(named.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("sampling_key"))
-                  .withColumn("range", F.floor(F.log2("sampling_key") * ranges)), "mixing")
+    return (rows.withColumn("size", word_count(F.col("text"))).withColumn("sampling_key", key)
+            .withColumn("range", F.floor(F.log2("sampling_key") * ranges)))
+
+
+def range_plan(rows: DataFrame, most: int) -> DataFrame:
+    """What becomes of each key range of each source; ``whole``: 1 taken, 0 left, null: the budget ends in it."""
     by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("words"))
     by_range = by_range.withColumn("source_size", F.sum("words").over(W.partitionBy("source")))
     before = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     wanted = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), most=most)
-    plan = (by_range.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    return (by_range.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
             .join(wanted.select(F.col("source").alias("of_source"), "target"),
                   F.col("source").eqNullSafe(F.col("of_source")))
             .withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
@@ -91,6 +109,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
                         .when(F.col("before") >= F.col("budget"), 0))
             .select(F.col("source").alias("of_source"), F.col("range").alias("of_range"), "source_size", "target",
                     "epochs", "budget", "before", "whole"))
+
+
+def taken_of(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add the plan's columns, ``extra`` (words of the last, partial epoch) and ``taken``."""
     placed = rows.join(plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("range") == F.col("of_range")))
     inside = (W.partitionBy("source", "range").orderBy("sampling_key", F.asc_nulls_last("doc_id"), "size")
               .rowsBetween(W.unboundedPreceding, -1))
@@ -98,9 +120,53 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     split = (placed.where(F.col("whole").isNull())
              .withColumn("left", F.col("budget") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
              .withColumn("extra", F.greatest(F.lit(0), F.least("size", "left"))).drop("left"))
-    return sure.unionByName(split).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint").alias("taken"), "sampling_key")
+    return sure.unionByName(split).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("extra")).cast("bigint"))
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          weight: Column | str | None = None, seed: int = 7, most: int = MOST, ranges: int = RANGES) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all columns.
+
+    The copy in which a source's target ends has the words still wanted, joined by single spaces (at most one row per
+    source; its other columns are as they were). Documents that aren't taken, those without words among them, are
+    left out. Texts aren't shuffled but for the rows of the one key range per source in which its budget ends.
+    """
+    columns = docs.columns
+    named = renamed(docs, doc_id, text, source, weight)
+    rows = stored(with_keys(named, seed, ranges).drop("text", "weight"), "mixing")
+    plan = stored(range_plan(rows, most), "mixing-plan")
+    by_source = plan.groupBy(F.col("of_source").alias("__source")).agg(
+        F.first("epochs").alias("__epochs"), F.max(F.when(F.col("whole") == 1, F.col("of_range"))).alias("__upto"),
+        F.max(F.when(F.col("whole").isNull(), F.col("of_range"))).alias("__cut"))
+    if by_source.count() <= BROADCAST_SOURCES:
+        by_source = F.broadcast(by_source)
+    weight_of = quality_weight(F.col(text)) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    key = -F.ln(uniform(F.col(doc_id), F.col(text), seed)) / weight_of
+    found = (docs.withColumn("__key", key).withColumn("__size", word_count(F.col(text)))
+             .withColumn("__range", F.floor(F.log2("__key") * ranges))
+             .join(by_source, F.col(source).eqNullSafe(F.col("__source"))).where("__size > 0"))
+    inside = F.coalesce(F.col("__range") == F.col("__cut"), F.lit(False))
+    easy = found.where(~inside).withColumn(
+        "__extra", F.when(F.col("__range") <= F.col("__upto"), F.col("__size")).otherwise(0).cast("bigint"))
+    same = ["source", "sampling_key", "doc_id", "size"]
+    split = taken_of(rows, plan.where("whole IS NULL")).withColumn(
+        "__nth", F.row_number().over(W.partitionBy(same).orderBy("extra"))).select(
+        *[F.col(c).alias(f"__{c}_of") for c in same], F.col("__nth").alias("__nth_of"), F.col("extra").alias("__extra"))
+    hard = found.where(inside).withColumn(
+        "__nth", F.row_number().over(W.partitionBy(source, "__key", doc_id, "__size").orderBy(text)))
+    hard = hard.join(split, F.col(source).eqNullSafe(F.col("__source_of"))
+                     & (F.col("__key") == F.col("__sampling_key_of"))
+                     & F.col(doc_id).eqNullSafe(F.col("__doc_id_of")) & (F.col("__size") == F.col("__size_of"))
+                     & (F.col("__nth") == F.col("__nth_of")))
+    both = easy.select(*columns, "__size", "__epochs", "__extra").unionByName(
+        hard.select(*columns, "__size", "__epochs", "__extra"))
+    copies = F.col("__epochs") + (F.col("__extra") > 0).cast("bigint")
+    repeated = (both.withColumn("__copies", copies).where("__copies > 0")
+                .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))))
+    words = F.split(F.trim(F.regexp_replace(F.col(text), SPACE_RUN, " ")), " ")
+    part = (F.col("__copy") > F.col("__epochs")) & (F.col("__extra") < F.col("__size"))
+    cut = F.when(part, F.concat_ws(" ", F.slice(words, 1, F.greatest(F.lit(1), F.col("__extra")).cast("int"))))
+    return repeated.withColumn(text, cut.otherwise(F.col(text))).select(*columns)
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
