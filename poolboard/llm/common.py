@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +50,15 @@ def batch_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, rows)
 
 
+def lower_words(texts: pa.Array) -> pa.ListArray:
+    """Words of texts in lower case (A-Z alone); the ends of a text may give empty words.
+
+    The texts are copied first: Arrow's case functions misread arrays that are part of a batch.
+    """
+    whole = texts.take(pa.array(np.arange(len(texts))))
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole.cast(pa.large_string()), "")))
+
+
 def map_rows(df: DataFrame, function: Callable[[Iterator[list[tuple]]], Iterable[list[tuple]]], schema: str) -> DataFrame:
     """``mapInArrow`` over lists of row tuples: a bounded part of a batch is held as Python objects."""
     arrow = arrow_schema(schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import arrow_schema, batch_slices, read_documents, share_of, stored
+from poolboard.llm.common import arrow_schema, batch_slices, lower_words, read_documents, stored
 
 #: Bytes of context; a gram's context and symbol fit into seven bytes of a long.
 DEPTH = 6
@@ -147,11 +147,6 @@ class Crown:
         return np.log2(mixed).sum(axis=1)
 
 
-def lower_words(texts: pa.Array) -> pa.ListArray:
-    """Words of texts in lower case; the ends of a text may give empty words."""
-    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-
-
 def vocabulary(docs: DataFrame) -> DataFrame:
     """Distinct tokens of all rows (held_out, text) with their count in the training rows: word, c."""
 

@@ -22,10 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolboard.llm.common import (
-    arrow_schema, batch_slices, key_filter, may_be_in, read_documents, stored, without,
+    arrow_schema, batch_slices, key_filter, lower_words, may_be_in, read_documents, stored, without,
 )
 from poolboard.llm.components import components
-from poolboard.llm.context_tree import lower_words
 
 #: Shingles that come last in prefixes: the most frequent ones, at most this many (a matter of speed alone).
 FREQUENT = 1 << 17

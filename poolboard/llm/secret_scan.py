@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,8 +25,10 @@ ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
 SAMPLE = 1000
 #: Confidence of the test that keeps two states apart, and the probability left for a symbol never seen in a state.
 ALPHA, UNSEEN = 0.05, 1e-4
-#: Bits per character by which a format must be likelier than ordinary text.
-MARGIN = 1.0
+#: Bits by which a format must explain a run better than ordinary runs do.
+MARGIN = 4.0
+#: A format's own bound: bits per character of all but this share of its labelled strings, and this much less.
+TAIL, SLACK = 0.01, 0.25
 FOUND = ("doc_id bigint, base array<struct<kind:int,start:bigint,end:bigint,value:string>>, "
          "runs array<struct<start:bigint,value:string>>")
 
@@ -59,11 +61,11 @@ class Automaton:
     often a string ended there.
     """
 
-    def __init__(self, strings: Iterable[str]) -> None:
+    def __init__(self, strings: dict[str, int]) -> None:
         self.after: list[dict[str, int]] = [{}]
         self.passed: list[dict[str, int]] = [{}]
         self.ended = [0]
-        for string in strings:
+        for string, times in strings.items():
             state = 0
             for symbol in string:
                 if symbol not in self.after[state]:
@@ -71,10 +73,12 @@ class Automaton:
                     self.after.append({})
                     self.passed.append({})
                     self.ended.append(0)
-                self.passed[state][symbol] = self.passed[state].get(symbol, 0) + 1
+                self.passed[state][symbol] = self.passed[state].get(symbol, 0) + times
                 state = self.after[state][symbol]
-            self.ended[state] += 1
+            self.ended[state] += times
         self.merge_states()
+        own = sorted(self.bits(s) / max(1, len(s)) for s in strings)
+        self.least = own[int(len(own) * TAIL)] - SLACK if own else 0.0
 
     def visits(self, state: int) -> int:
         return self.ended[state] + sum(self.passed[state].values())
@@ -146,21 +150,29 @@ class Automaton:
         return total + math.log2(max(UNSEEN, self.ended[state] / max(1, self.visits(state))))
 
 
-def format_margin(value: str, formats: list[Automaton], ordinary: Automaton | None) -> float:
-    """Bits per character by which the best format beats ordinary text (without any: 64 even symbols)."""
+def is_secret(value: str, formats: list[Automaton], ordinary: Automaton | None, margin: float) -> bool:
+    """Whether a format explains a run as well as its own credentials, and better than ordinary text does.
+
+    Without ordinary runs to learn from, ordinary text is 64 even symbols.
+    """
     usual = ordinary.bits(value) if ordinary else -6.0 * len(value)
-    return max((f.bits(value) for f in formats), default=-math.inf) / len(value) - usual / len(value)
+    found = ((f.bits(value), f.least) for f in formats)
+    return any(bits >= least * len(value) and bits >= usual + margin for bits, least in found)
 
 
 def learn(found: DataFrame, sample: int) -> tuple[list[Automaton], Automaton | None]:
-    """One automaton per kind of credential and one of ordinary runs, each from at most ``sample`` distinct strings."""
+    """One automaton per kind of credential and one of ordinary runs, each from at most ``sample`` distinct strings.
+
+    Credentials count once each; ordinary runs as often as they occur, so that the few secrets among them weigh little.
+    """
     labelled = found.select(F.explode("base").alias("s")).select(F.col("s.kind").alias("kind"),
                                                                  F.col("s.value").alias("value"))
     others = found.select(F.explode("runs").alias("s")).select(F.lit(3).alias("kind"), F.col("s.value").alias("value"))
     order = W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    picked = (labelled.unionByName(others).distinct().withColumn("n", F.row_number().over(order))
-              .where(F.col("n") <= sample).select("kind", "value").collect())
-    strings = [sorted(v for k, v in picked if k == kind) for kind in range(4)]
+    picked = (labelled.unionByName(others).groupBy("kind", "value").count()
+              .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).collect())
+    strings = [{r["value"]: r["count"] if kind == 3 else 1 for r in sorted(picked) if r["kind"] == kind}
+               for kind in range(4)]
     return [Automaton(s) for s in strings[:3] if s], Automaton(strings[3]) if strings[3] else None
 
 
@@ -174,7 +186,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
 
     One scan writes each text's base spans and its other runs of 16 and more credential characters. Automata are learned
     from a bounded sample of the distinct credentials found (and one from ordinary runs); every other run that mixes
-    letters and digits and that a format explains ``margin`` bits per character better becomes a ``format`` span. Spans
+    letters and digits and that a format explains, ``margin`` bits better than ordinary, becomes a ``format`` span. Spans
     are ``kind:start:end`` over whole matches in code points, end exclusive, by start, then kind.
 
     Null counts as empty: no spans, the hash of the empty string. Repeated rows and null ids: each scanned for itself.
@@ -202,7 +214,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
                 counts = [sum(k == kind for k, _, _ in spans) for kind in range(3)]
                 more = [(3, r["start"], r["start"] + len(r["value"])) for r in runs
                         if re.search("[0-9]", r["value"]) and re.search("[A-Za-z]", r["value"])
-                        and format_margin(r["value"], formats, ordinary) >= margin]
+                        and is_secret(r["value"], formats, ordinary, margin)]
                 out.append((key, *counts, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + more),
                             len(more)))
             yield out
