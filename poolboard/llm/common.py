@@ -17,7 +17,7 @@ from poolboard.session import fresh_path
 #: ASCII white space, the only white space that separates words here.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch that are turned into Python objects at once, by its mean row.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,7 @@ def batch_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def lower_words(texts: pa.Array) -> pa.ListArray:

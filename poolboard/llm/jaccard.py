@@ -87,12 +87,26 @@ def signature(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-SETS = "doc_id bigint, n_shingles bigint, node binary, shingle bigint, often bigint"
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the hash's low bits: whether an odd number of shingles has it. About a bit a shingle."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def least_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference: every bit that differs takes a shingle of one set alone."""
+    x, y = sorted((np.frombuffer(p, dtype=np.uint8) for p in (a, b)), key=len)
+    folded = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)  # the longer one, as if made with fewer bits
+    return int(np.bitwise_count(x ^ folded).sum())
+
+
+SETS = "doc_id bigint, n_shingles bigint, node binary, parity binary, shingle bigint, often bigint"
 LISTS = "shingle bigint, node binary, n int, place int, leader binary, a binary, b binary"
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """A row per document (doc_id, n_shingles, node), and rows (shingle, often) of shingles frequent in a slice."""
+    """A row per document (doc_id, n_shingles, node, parity), and rows (shingle, often) of shingles frequent in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batch_slices(batches):
@@ -104,6 +118,7 @@ def set_rows(docs: DataFrame, width: int) -> DataFrame:
                 pa.array(batch.column(0).to_pylist() + none, pa.int64()),
                 pa.array([len(s) for s in sets] + none, pa.int64()),
                 pa.array([signature(s) for s in sets] + none, pa.binary()),
+                pa.array([parity(s) for s in sets] + none, pa.binary()),
                 pa.array([None] * len(sets) + seen.tolist(), pa.int64()),
                 pa.array([None] * len(sets) + counts.tolist(), pa.int64())], schema=schema)
 
@@ -302,6 +317,24 @@ def second_pairs(lists: DataFrame, percent: int) -> DataFrame:
         run, "a binary, b binary, sure boolean")
 
 
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose parities leave the similarity possible: a, b. Chance meetings end here, without their sets."""
+    schema = arrow_schema("a binary, b binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches):
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [k for k in range(len(a))
+                    if least_apart(x[k], y[k]) <= n[k] + m[k] - 2 * needed(n[k], m[k], percent)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c[k] for k in keep], pa.binary()) for c in (a, b)], schema=schema)
+
+    left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("parity").alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("parity").alias("y"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+    return joined.mapInArrow(run, "a binary, b binary")
+
+
 def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Exact answers of distinct pairs: a, b, apart (size of the symmetric difference), linked."""
     schema = arrow_schema("a binary, b binary, apart bigint, linked boolean")
@@ -332,8 +365,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     nothing. Repeated rows are equal sets, so they share a component. A null id takes part like any other, but is the
     smallest id of no component: without another id the component is null. An empty table gives no rows.
 
-    Shingles are 64-bit hashes, sets 128-bit ones. Three passes over the texts: sets, prefixes, and the sets of those
-    documents that share a prefix shingle with another (an id filter of fixed size picks them, an exact join follows).
+    Shingles are 64-bit hashes, sets 128-bit ones. Four passes over the texts: sets, prefixes, and once a round the
+    sets of documents in pairs that their parities can't rule out (an id filter of fixed size picks them, an exact join
+    follows).
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = stored(set_rows(rows, width), "sets")
@@ -341,14 +375,13 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
                 .orderBy(F.desc("often"), "shingle").limit(FREQUENT).select("shingle").collect())
     late = np.array([r[0] for r in frequent], dtype=np.int64).view(U)
     own = found.where("shingle IS NULL")
-    nodes = own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    nodes = own.where("n_shingles > 0").groupBy("node").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"))
+    nodes = stored(nodes, "nodes")
 
     lists = stored(first_pairs(postings(rows.select("text"), width, percent, late), percent), "lists")
     entries = lists.where("shingle IS NOT NULL").drop("a", "b")
-    near = nodes.join(entries.select("node").distinct(), "node")
-    sets = stored(sets_of(rows, near, width), "near-sets")
-
-    first = stored(compared(lists.where("a IS NOT NULL").select("a", "b").distinct(), sets, percent), "first-answers")
+    first = answers(rows, lists.where("a IS NOT NULL").select("a", "b").distinct(), nodes, width, percent)
     links = first.where("linked").select("a", "b")
     parts = components(links)
     marked = (entries.join(parts.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
@@ -357,13 +390,15 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
               .join(first.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), ["x", "y"], "left")
               .withColumn("apart", F.when(F.col("node") == F.col("leader"), F.lit(0)).otherwise(F.col("apart"))))
     more = second_pairs(marked, percent).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    more = stored(more.join(first.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
-    second = stored(compared(more.where("NOT sure"), sets, percent), "second-answers")
+    asked = lists.where("a IS NOT NULL").select("a", "b").distinct()
+    more = stored(more.join(asked, ["a", "b"], "left_anti"), "open-pairs")
+    second = answers(rows, more.where("NOT sure"), nodes, width, percent)
     fresh = second.where("linked").select("a", "b").unionByName(more.where("sure").select("a", "b"))
     if not fresh.isEmpty():
         parts = components(parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
                            .unionByName(fresh))
 
+    nodes = nodes.select("node", "least")
     grouped = nodes.join(parts, "node")
     least = grouped.groupBy("component").agg(F.min("least").alias("of_component"))
     named = grouped.join(least, "component").select("node", "of_component")
@@ -373,6 +408,14 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     return full.unionByName(empty)
 
 
+def answers(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Exact answers of those pairs that may link: a, b, apart, linked."""
+    left = stored(possible(pairs, nodes, percent), "possible-pairs")
+    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+    sets = stored(sets_of(rows, nodes.select("node", "least").join(ends, "node"), width), "compared-sets")
+    return stored(compared(left, sets, percent), "answers")
+
+
 def sets_of(rows: DataFrame, near: DataFrame, width: int) -> DataFrame:
     """The shingles of the nodes of ``near`` (node, least id): node, shingles."""
     schema = arrow_schema("own binary, shingles binary")

@@ -22,25 +22,36 @@ MAGIC = b"CMRC1\0"
 BLOCK = 2048
 #: Slots of the order-1 and order-2 tables; a power of two.
 SLOTS = 1024
-SCALE_BITS, RATE, FLOOR = 12, 5, 24
+#: Frequencies add up to 4096 and move by a 32nd of the way to their target; 32 is the least an event has in a target.
+SCALE_BITS, RATE = 12, 5
+#: Three cumulative frequencies share a long, 16 bits each.
+FIELDS = 1 | 1 << 16 | 1 << 32
+TOP = (1 << SCALE_BITS) << 48
+
+
+def packed(one: int, two: int, three: int) -> int:
+    return one | two << 16 | three << 32
+
+
+#: A 32nd of the target of each cumulative frequency after each event: high above the event, low up to it.
+STEP = np.array([packed(*[(128 - (4 - k) if k > event else k) for k in (1, 2, 3)]) for event in range(4)])
+#: Confidence after a miss (0 to 3) and after a hit (4 to 7), shifted above the id.
+SURER = np.array([0, 0, 0, 0, 1, 2, 3, 3]) << 16
 
 
 class Model:
     """Predictions and event frequencies of ``lanes`` blocks at once."""
 
     def __init__(self, lanes: int) -> None:
-        self.at = np.arange(lanes, dtype=np.int64)
+        self.at = np.arange(lanes)
         self.at16, self.at256, self.at_slots = self.at * 16, self.at * 256, self.at * SLOTS
-        self.two = np.zeros(lanes * SLOTS, dtype=np.int32)
-        self.one = np.zeros(lanes * SLOTS, dtype=np.int32)
-        self.seen = np.zeros(lanes * 256, dtype=np.int32)
+        self.two = np.zeros(lanes * SLOTS, dtype=np.int64)
+        self.one = np.zeros(lanes * SLOTS, dtype=np.int64)
+        self.seen = np.zeros(lanes * 256, dtype=np.int64)
         # cumulative frequencies before event 1, 2 and 3, by the two confidences (0..3)
-        self.cumulative = np.repeat(np.array([[1024], [2048], [3072]], dtype=np.int32), lanes * 16, axis=1)
-        self.last = np.zeros(lanes, dtype=np.int32)
-        self.before = np.zeros(lanes, dtype=np.int32)
-        border, event = np.ogrid[1:4, 0:4]
-        # where the three borders move to after an event; FLOOR keeps every event possible
-        self.target = np.where(border > event, (1 << SCALE_BITS) - FLOOR * (4 - border), FLOOR * border).astype(np.int32)
+        self.cumulative = np.full(lanes * 16, packed(1024, 2048, 3072))
+        self.last = np.zeros(lanes, dtype=np.int64)
+        self.before = np.zeros(lanes, dtype=np.int64)
 
     def predict(self) -> None:
         self.place2 = ((self.before * 40503 + self.last * 30011) >> 5 & SLOTS - 1) + self.at_slots
@@ -48,25 +59,37 @@ class Model:
         slot2, slot1 = self.two.take(self.place2), self.one.take(self.place1)
         self.guess2, self.sure2 = slot2 & 0xFFFF, slot2 >> 16
         self.guess1, self.sure1 = slot1 & 0xFFFF, slot1 >> 16
-        self.row = self.at16 + (self.sure2 * 4 + self.sure1)
-        self.borders = self.cumulative.take(self.row, axis=1)
+        self.row = self.at16 + (self.sure2 << 2) + self.sure1
+        self.borders = self.cumulative.take(self.row)
 
     def slot(self, ids: np.ndarray) -> np.ndarray:
         return (ids * 40503) >> 7 & 0xFF
 
+    def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of an event's part of the scale."""
+        shift = event << 4
+        start = (self.borders << 16) >> shift & 0xFFFF
+        return start, ((self.borders | TOP) >> shift & 0xFFFF) - start
+
+    def event_at(self, value: np.ndarray) -> np.ndarray:
+        """The event whose part holds a place on the scale: how many borders lie at or below it."""
+        above = (((value * FIELDS) | FIELDS << 15) - self.borders) >> 15 & FIELDS
+        return (above * FIELDS) >> 32 & 3
+
     def update(self, ids: np.ndarray, event: np.ndarray, slot: np.ndarray) -> None:
-        self.cumulative[:, self.row] = self.borders + ((self.target.take(event, axis=1) - self.borders) >> RATE)
-        self.two[self.place2] = ids | np.where(ids == self.guess2, np.minimum(self.sure2 + 1, 3), 0) << 16
-        self.one[self.place1] = ids | np.where(ids == self.guess1, np.minimum(self.sure1 + 1, 3), 0) << 16
+        # a field moves by its target's 32nd less its own 32nd; borders stay apart by one at least
+        self.cumulative[self.row] = self.borders + STEP.take(event) - (self.borders >> RATE & FIELDS * 0x7F)
+        self.two[self.place2] = SURER.take((ids == self.guess2) * 4 + self.sure2) | ids
+        self.one[self.place1] = SURER.take((ids == self.guess1) * 4 + self.sure1) | ids
         self.seen[slot + self.at256] = ids
         self.before, self.last = self.last, ids
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
-    """Segment bytes: magic, number of ids and blocks, a table of the blocks (crc32 of the ids, sizes), the blocks."""
+    """Segment bytes: magic, number of ids and blocks, crc32 of the rest: a table (crc32 of the ids, sizes), the blocks."""
     count = len(ids)
     lanes = -(-count // BLOCK)
-    padded = np.zeros(lanes * BLOCK, dtype=np.int32)
+    padded = np.zeros(lanes * BLOCK, dtype=np.int64)
     padded[:count] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     model = Model(lanes)
@@ -74,9 +97,6 @@ def encode_segment(ids: np.ndarray) -> bytes:
     digits = np.zeros((lanes, BLOCK + 4), dtype=np.int64)
     filled = np.zeros(lanes, dtype=np.int64)
     events, slots = np.empty((BLOCK, lanes), dtype=np.uint8), np.empty((BLOCK, lanes), dtype=np.uint8)
-    bounds = np.zeros((5, lanes), dtype=np.int64)
-    bounds[4] = 1 << SCALE_BITS
-    flat = bounds.reshape(-1)
     for t in range(BLOCK):
         now = steps[t]
         model.predict()
@@ -84,12 +104,10 @@ def encode_segment(ids: np.ndarray) -> bytes:
         event = 3 - (now == model.seen.take(slot + model.at256))
         event[now == model.guess1] = 1
         event[now == model.guess2] = 0
-        bounds[1:4] = model.borders
-        place = event * lanes + model.at
-        start = flat.take(place)
+        start, size = model.interval(event)
         unit = width >> SCALE_BITS
         low += unit * start
-        width = unit * (flat.take(place + lanes) - start)
+        width = unit * size
         short = np.flatnonzero(width < 1 << 16)
         if len(short):
             digits[short, filled[short]] = low[short] >> 16
@@ -115,20 +133,23 @@ def encode_segment(ids: np.ndarray) -> bytes:
         table.append(struct.pack("<IHHH", zlib.crc32(own.astype("<u4").tobytes()), filled[lane],
                                  len(parts[1]), len(parts[2]) // 2))
         body += parts
-    return b"".join([MAGIC, struct.pack("<QI", count, lanes), *table, *body])
+    rest = b"".join([*table, *body])
+    return MAGIC + struct.pack("<QII", count, lanes, zlib.crc32(rest)) + rest
 
 
 def decode_segment(raw: bytes) -> np.ndarray:
     """The ids of a segment as unsigned 32-bit; raises on a wrong magic or a checksum that doesn't hold."""
     if raw[:len(MAGIC)] != MAGIC:
         raise ValueError("not a segment of coded ids")
-    count, lanes = struct.unpack_from("<QI", raw, len(MAGIC))
-    at = len(MAGIC) + 12
+    count, lanes, check = struct.unpack_from("<QII", raw, len(MAGIC))
+    at = len(MAGIC) + 16
+    if zlib.crc32(raw[at:]) != check:
+        raise ValueError("the segment's checksum doesn't hold")
     table = list(struct.iter_unpack("<IHHH", raw[at:at + 10 * lanes]))
     at += 10 * lanes
     most = [max(row[k] for row in table) if table else 0 for k in (1, 2, 3)]
     digits = np.zeros((lanes, most[0] + 2), dtype=np.int64)
-    slots, fresh = np.zeros((lanes, most[1] + 1), dtype=np.int32), np.zeros((lanes, most[2] + 1), dtype=np.int32)
+    slots, fresh = np.zeros((lanes, most[1] + 1), dtype=np.int64), np.zeros((lanes, most[2] + 1), dtype=np.int64)
     for lane, (_, a, b, c) in enumerate(table):
         digits[lane, :a] = np.frombuffer(raw, "<u2", a, at)
         slots[lane, :b] = np.frombuffer(raw, "u1", b, at + 2 * a)
@@ -138,21 +159,14 @@ def decode_segment(raw: bytes) -> np.ndarray:
     code = digits[:, 0] << 16 | digits[:, 1]
     width = np.full(lanes, (1 << 32) - 1, dtype=np.int64)
     read, slot_at, fresh_at = np.full(lanes, 2), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-    out = np.empty((BLOCK, lanes), dtype=np.int32)
-    bounds = np.zeros((5, lanes), dtype=np.int64)
-    flat = bounds.reshape(-1)
+    out = np.empty((BLOCK, lanes), dtype=np.int64)
     for t in range(BLOCK):
         model.predict()
         unit = width >> SCALE_BITS
-        np.multiply(model.borders, unit, out=bounds[1:4])
-        bounds[4] = unit << SCALE_BITS
-        event = (code >= bounds[1]).astype(np.int64)
-        event += code >= bounds[2]
-        event += code >= bounds[3]
-        place = event * lanes + model.at
-        start = flat.take(place)
-        code -= start
-        width = flat.take(place + lanes) - start
+        event = model.event_at(np.minimum(code // unit, (1 << SCALE_BITS) - 1))
+        start, size = model.interval(event)
+        code -= unit * start
+        width = unit * size
         now = np.where(event == 0, model.guess2, model.guess1)
         held = np.flatnonzero(event == 2)
         now[held] = model.seen[slots[held, slot_at[held]] + held * 256]

@@ -18,7 +18,7 @@ from poolboard.llm.tokens import tokenizer_path, word_encoder
 from poolboard.session import fresh_path
 
 #: Ids of a segment; a document always lies in one segment, so a longer document makes a longer segment.
-SEGMENT = 512 * range_coder.BLOCK
+SEGMENT = 1024 * range_coder.BLOCK
 FILES = "part int, start bigint, n_ids bigint, ids binary, doc_ids array<bigint>, lengths array<bigint>"
 FILE_FIELDS = "start bigint, n_ids bigint, ids binary, doc_ids array<bigint>, lengths array<bigint>, part int"
 READ = "doc_id bigint, part int, start bigint, n_tokens bigint, ids_crc32 bigint"

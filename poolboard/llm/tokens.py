@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers before it starts anew; bounds its memory to some 250 MB.
-MEMO_WORDS = 1_200_000
+#: Words a worker remembers before it starts anew; bounds its memory to some 80 MB.
+MEMO_WORDS = 400_000
 #: A longer run without white space is encoded but not remembered.
 MEMO_LENGTH = 64
 #: Marks the end of a word in a joined call; the library cuts a text there before anything else.
