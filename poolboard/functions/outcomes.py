@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import col
-from .wording import OUTCOME_LETTERS, OUTCOME_WORDS
+from .wording import OUTCOME_WORDS
 
 
 def derive_result(status="status", home="home_goals", away="away_goals", given="actual_result") -> Column:
@@ -37,8 +37,3 @@ def outcome_word(pick: Column | str = "predicted_result") -> Column:
     """Home or draw by name; anything else, a missing pick too, reads as away."""
     return (F.when(col(pick) == "1", OUTCOME_WORDS["1"]).when(col(pick) == "X", OUTCOME_WORDS["X"])
             .otherwise(OUTCOME_WORDS["2"]))
-
-
-def outcome_letter(pick: Column | str = "predicted_result") -> Column:
-    return (F.when(col(pick) == "1", OUTCOME_LETTERS["1"]).when(col(pick) == "X", OUTCOME_LETTERS["X"])
-            .when(col(pick) == "2", OUTCOME_LETTERS["2"]).otherwise(""))

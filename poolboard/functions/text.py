@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What a script's ``trim`` removes: a character class of the fixed set of white space and line ends.
+WHITE_SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -28,9 +32,14 @@ def first_word(text: Column | str) -> Column:
     return F.split_part(col(text), F.lit(" "), F.lit(1))
 
 
+def trimmed(text: Column | str) -> Column:
+    """Without white space at both ends, line ends, no-break and other Unicode spaces included."""
+    return F.regexp_replace(col(text), f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+
+
 def mark(cell: Column | str) -> Column:
     """A sheet cell ready to compare: trimmed, upper case, never null."""
-    return F.upper(F.trim(F.coalesce(col(cell).cast("string"), F.lit(""))))
+    return F.upper(trimmed(F.coalesce(col(cell).cast("string"), F.lit(""))))
 
 
 def goals(text: Column | str) -> Column:

@@ -112,7 +112,3 @@ def stamp_sets(eligibility: DataFrame, pending: DataFrame) -> DataFrame:
 
 def delete_set(pending: DataFrame, label: str) -> DataFrame:
     return pending.where(F.col("label") != label)
-
-
-def delete_sets(pending: DataFrame, labels: DataFrame) -> DataFrame:
-    return pending.join(labels.select("label"), "label", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clock, fill
+from ..functions.text import clock, fill, trimmed
 from ..functions.wording import FINAL_PREFIX, LIVE_PREFIX, NOT_STARTED, SHEET_HEADER
 from ..plans.numbering import numbered
 from ..session import fresh_path
@@ -70,7 +70,7 @@ def fixture_lines(fixtures: DataFrame) -> DataFrame:
 
 def parse_fixture_lines(lines: DataFrame) -> DataFrame:
     """Typed fixtures from pipe-table rows; header, rule and other lines drop out."""
-    cells = F.transform(F.split("value", r"\|"), lambda cell: F.trim(cell))
+    cells = F.transform(F.split("value", r"\|"), lambda cell: trimmed(cell))
     return (
         lines.select(cells.alias("c")).where((F.size("c") == 8) & F.get("c", F.lit(1)).rlike(r"^\d+$"))
         .select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wording import OUTCOMES
-from ..plans.dense import as_list
+from ..plans.spread import for_each
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -83,14 +83,11 @@ def synthetic_picks(users: DataFrame, fixtures: DataFrame, existing: DataFrame,
     """A pick for every user and match of a contest that has none yet.
 
     ``draw`` is 0, 1 or 2 from the row's own columns; without it a seeded hash of the
-    key, so a task that runs again draws the same. Only existing picks are shuffled;
-    the new ones unfold from each user's row.
+    key, so a task that runs again draws the same.
     """
     draw = F.pmod(F.xxhash64(F.lit(seed), "user_id", "match_id"), F.lit(3)) if draw is None else draw
     choice = F.get(F.array(*[F.lit(o) for o in OUTCOMES]), draw.cast("int"))
-    have = existing.groupBy("user_id").agg(F.collect_set("match_id").alias("have"))
-    listed = users.select("user_id").join(have, "user_id", "left").withColumn("every", as_list(fixtures, ["match_id"]))
-    none = F.array().cast("array<bigint>")
-    missing = F.array_except(F.col("every.match_id"), F.coalesce("have", none))
-    return listed.select("user_id", F.explode(missing).alias("match_id")).select(
+    missing = for_each(users.select("user_id"), fixtures, ["match_id"]).join(
+        existing.select("user_id", "match_id"), ["user_id", "match_id"], "left_anti")
+    return missing.select(
         "user_id", "match_id", choice.alias("predicted_result"))

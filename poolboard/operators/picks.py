@@ -1,19 +1,16 @@
-"""Lists, grids, progress and digests of picks.
-
-Functions marked *contest* rely on the size rule of a contest: at most 72
-fixtures, one pick per user and match, so what they gather per user is bounded.
-"""
+"""Lists, grids, progress and digests of picks, for any number of fixtures."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import label_uuid
 from ..functions.outcomes import outcome_word
-from ..functions.text import first_word
+from ..functions.text import display_name, first_word
 from ..functions.wording import CONTEST_SIZE, OUTCOME_LETTERS, OUTCOMES
-from ..plans.dense import as_list, for_each
+from ..plans.numbering import numbered
+from ..plans.spread import for_each
 from .policy import require_admin
 
 
@@ -55,13 +52,26 @@ def my_picks(picks: DataFrame, user_id) -> DataFrame:
     return picks.where(F.col("user_id") == user_id).select("match_id", "predicted_result")
 
 
-def pick_matrix(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame,
-                orders: list[int] | None = None) -> DataFrame:
-    """*contest*: users by match order, letters or blank. Keyed by user id, so equal names stay apart."""
-    orders = orders or list(range(1, CONTEST_SIZE + 1))
+def _coded_rows(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame) -> DataFrame:
     code = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col("predicted_result"))
-    coded = _pick_rows(picks, users, pending, fixtures).select(
+    return _pick_rows(picks, users, pending, fixtures).select(
         "user_id", "username", "match_order", code.cast("int").alias("code"))
+
+
+def pick_matrix(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame,
+                orders: list[int] | None = None) -> DataFrame:
+    """Users by match order, letters or blank. Keyed by user id, so equal names stay apart.
+
+    A column per order: the given ones, else a contest's 72 and every further one that occurs. Spark refuses more
+    than ``spark.sql.pivotMaxValues`` columns; ``pick_map`` has no such bound.
+    """
+    coded = _coded_rows(picks, users, pending, fixtures)
+    if orders is None:
+        most = int(picks.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        found = coded.select("match_order").distinct().limit(most + 1).collect()
+        orders = sorted({r.match_order for r in found} | set(range(1, CONTEST_SIZE + 1)))
+        if len(orders) > most:
+            raise ValueError(f"more than {most} columns; use pick_map")
     grid = coded.groupBy("user_id", "username").pivot("match_order", orders).agg(F.max("code"))
     letters = ", ".join(f"'{OUTCOME_LETTERS[o]}'" for o in OUTCOMES)
     cells = [f"elt(coalesce(`{o}`, 0) + 1, '', {letters}) as p{o}" for o in orders]
@@ -69,6 +79,14 @@ def pick_matrix(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures
     return shown.selectExpr("user_id", "username", *cells).orderBy("username")
 
 
+def pick_map(picks: DataFrame, users: DataFrame, pending: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """The matrix as a row per filled cell, for any number of fixtures: user_id, username, match_order, letter."""
+    letters = F.array(*[F.lit(OUTCOME_LETTERS[o]) for o in OUTCOMES])
+    cells = _coded_rows(picks, users, pending, fixtures).groupBy("user_id", "username", "match_order").agg(
+        F.max("code").alias("code"))
+    return cells.select(_shown_id(), "username", "match_order", F.get(letters, F.col("code") - 1).alias("letter"))
+
+
 def last_finished(fixtures: DataFrame) -> DataFrame:
     return fixtures.where(F.col("status") == "finished").agg(F.max("match_order").alias("match_order"))
 
@@ -88,55 +106,47 @@ def pick_completeness(users: DataFrame, picks: DataFrame, size: int = CONTEST_SI
         F.concat(done, F.lit(f"/{size}")).alias("progress"), (done == size).alias("complete"))
 
 
-def _picked(users: DataFrame, picks: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """*contest*: one row per user with the orders picked so far and the picks themselves."""
-    placed = picks.join(fixtures.select("match_id", "match_order"), "match_id")
-    made = placed.groupBy("user_id").agg(
-        F.collect_set("match_order").alias("orders"),
-        F.map_from_entries(F.collect_list(F.struct("match_order", "predicted_result"))).alias("by_order"))
-    none = F.array().cast("array<bigint>")
-    return users.join(made, "user_id", "left").withColumn("orders", F.coalesce("orders", none))
+def _ranked(fixtures: DataFrame) -> DataFrame:
+    """Fixtures with their rank by match order, from 1."""
+    return numbered(fixtures, [F.col("match_order")], "rank")
 
 
-def _with_next(picked: DataFrame, fixtures: DataFrame) -> DataFrame:
-    listed = picked.withColumn("every", as_list(fixtures, ["match_order"]))
-    missing = F.array_except(F.col("every.match_order"), F.col("orders"))
-    return listed.withColumn("next_order", F.array_min(missing)).drop("every")
+def _next_ranks(users: DataFrame, picks: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Users with the rank of their first match without a pick: the first gap in their picked ranks, or one more."""
+    made = picks.join(ranked.select("match_id", "rank"), "match_id").select("user_id", "rank").distinct()
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("rank"))
+    gaps = made.withColumn("n", nth).groupBy("user_id").agg(
+        F.min(F.when(F.col("rank") > F.col("n"), F.col("n"))).alias("gap"), F.count("*").alias("made"))
+    after = F.coalesce(F.col("gap").cast("long"), F.coalesce("made", F.lit(0)) + 1)
+    return users.join(gaps, "user_id", "left").select(*users.columns, after.alias("rank"))
 
 
 def next_open_match(users: DataFrame, picks: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """*contest*: the first match order without a pick; null when all are picked."""
-    return _with_next(_picked(users, picks, fixtures), fixtures).select("user_id", "username", "next_order")
+    """The first match order without a pick; null when all are picked."""
+    ranked = _ranked(fixtures)
+    orders = ranked.select("rank", F.col("match_order").alias("next_order"))
+    found = _next_ranks(users.select("user_id", "username"), picks, ranked).join(orders, "rank", "left")
+    return found.select("user_id", "username", "next_order")
 
 
 def pick_card_state(users: DataFrame, picks: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """*contest*: every card of every user: locked, enabled (the next one) or disabled.
-
-    Only the picks are shuffled; cards unfold from each user's row afterwards.
-    """
-    state = _with_next(_picked(users, picks, fixtures), fixtures)
-    cards = for_each(state, fixtures, ["match_order", "home_team", "away_team"])
-    pick = F.col("by_order")[F.col("match_order")]
-    status = F.when(pick.isNotNull(), "locked").when(F.col("match_order") == F.col("next_order"), "enabled")
-    return cards.select(
+    """Every card of every user: locked, enabled (the next one) or disabled."""
+    ranked = _ranked(fixtures)
+    cards = for_each(_next_ranks(users.select("user_id"), picks, ranked).withColumnRenamed("rank", "next_rank"),
+                     ranked, ["rank", "match_id", "match_order", "home_team", "away_team"])
+    made = picks.select("user_id", "match_id", F.col("predicted_result").alias("picked"))
+    status = F.when(F.col("picked").isNotNull(), "locked").when(F.col("rank") == F.col("next_rank"), "enabled")
+    return cards.join(made, ["user_id", "match_id"], "left").select(
         "user_id", "match_order", first_word("home_team").alias("home_short"),
-        first_word("away_team").alias("away_short"), pick.alias("picked"),
-        status.otherwise("disabled").alias("state"))
+        first_word("away_team").alias("away_short"), "picked", status.otherwise("disabled").alias("state"))
 
 
 def picks_digest(users: DataFrame, picks: DataFrame, fixtures: DataFrame, size: int = CONTEST_SIZE) -> DataFrame:
-    """*contest*: for each user with a full card, the ordered list of matches and picks in words."""
-    made = picks.groupBy("user_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("match_id", "predicted_result"))).alias("by_match"))
-    columns = ["match_order", "match_id", "home_team", "away_team", "match_date"]
-    full = users.join(made.where(F.size("by_match") == size), "user_id")
-    listed = full.withColumn("every", as_list(fixtures, columns))
-    lines = F.transform("every", lambda m: F.struct(
-        m["match_order"].alias("match_order"), m["home_team"].alias("home_team"),
-        m["away_team"].alias("away_team"), m["match_date"].alias("match_date"),
-        outcome_word(F.col("by_match")[m["match_id"]]).alias("pick")))
-    return listed.select("user_id", "username", lines.alias("lines"))
-
-
-def digest_lines(digest: DataFrame) -> DataFrame:
-    return digest.select("user_id", "username", F.inline("lines"))
+    """A line per match for each user with a full card, with whom to send it to; to be read by match order."""
+    full = picks.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") == size).select("user_id")
+    people = users.join(full, "user_id").select(
+        "user_id", "username", F.col("email").alias("mail_to"), display_name("nombre", "username").alias("display_name"))
+    matches = fixtures.select("match_id", "match_order", "home_team", "away_team", "match_date")
+    return picks.join(people, "user_id").join(matches, "match_id").select(
+        "user_id", "username", "mail_to", "display_name", "match_order", "home_team", "away_team", "match_date",
+        outcome_word("predicted_result").alias("pick"))

@@ -49,9 +49,16 @@ def ranking_annotated(positions: DataFrame, edges: DataFrame, viewer) -> DataFra
         (~is_me & ~F.col("is_pending")).alias("can_befriend"))
 
 
-def notify_ranking(points: DataFrame) -> DataFrame:
+def notify_ranking(points: DataFrame, *more: str) -> DataFrame:
     """Positions for notifications: every user, no pending sets."""
-    return numbered(points.select("user_id", "username", "total_points"), _by_points())
+    return numbered(points.select("user_id", "username", "total_points", *more), _by_points())
+
+
+def movement(points: DataFrame) -> DataFrame:
+    """Positions by total_points and, as prev_position, by before_points; the second order reads the first one's rows."""
+    now = notify_ranking(points, "before_points")
+    order = [F.col("before_points").desc(), F.col("username").asc()]
+    return numbered(now, order, "prev_position").drop("before_points")
 
 
 def rank_movement(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -64,8 +71,7 @@ def rank_movement(previous: DataFrame, current: DataFrame) -> DataFrame:
         F.coalesce(F.abs(gain), F.lit(0)).alias("steps"))
 
 
-def friend_leaderboard(points: DataFrame, edges: DataFrame, users: DataFrame, viewers: DataFrame | None = None,
-                       **numbering) -> DataFrame:
+def friend_leaderboard(points: DataFrame, edges: DataFrame, users: DataFrame, viewers: DataFrame | None = None) -> DataFrame:
     """For every viewer (all ``users`` without a list): themselves and their friends by points, from 1."""
     own = (users if viewers is None else viewers).select(
         F.col("user_id").alias("viewer_id"), F.col("user_id").alias("friend_id"))
@@ -75,5 +81,5 @@ def friend_leaderboard(points: DataFrame, edges: DataFrame, users: DataFrame, vi
     seen = both_ways.union(own)
     board = seen.distinct().withColumnRenamed("friend_id", "user_id").join(
         points.select("user_id", "username", "total_points"), "user_id")
-    return numbered_within(board, ["viewer_id"], _by_points(), sizes=seen, **numbering).select(
+    return numbered_within(board, ["viewer_id"], _by_points()).select(
         "viewer_id", "user_id", "username", "total_points", "position")

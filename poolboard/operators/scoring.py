@@ -40,11 +40,11 @@ def user_points(users: DataFrame, picks: DataFrame, fixtures: DataFrame) -> Data
 
 
 def points_without(points: DataFrame, picks: DataFrame, fixtures: DataFrame, match_ids: list) -> DataFrame:
-    """Totals as they were ahead of some matches: only the picks of those matches are read again."""
+    """Totals and ``before_points``, those ahead of some matches: only the picks of those matches are read again."""
     these = F.col("match_id").isin(*match_ids)
     gained = hits_per_user(picks.where(these), fixtures.where(these)).withColumnRenamed("total_points", "gained")
     before = F.col("total_points") - F.coalesce("gained", F.lit(0))
-    return points.join(gained, "user_id", "left").withColumn("total_points", before).drop("gained")
+    return points.join(gained, "user_id", "left").withColumn("before_points", before).drop("gained")
 
 
 def points_of_pickers(picks: DataFrame, fixtures: DataFrame) -> DataFrame:

@@ -1,20 +1,24 @@
 """Imported pick sheets: read the marks, list the errors, judge and stage whole sets.
 
-A sheet has one row per match: set_id, match_order, gana_local, empate, gana_visitante, old_pick.
-``match_order`` is a number, null where the cell holds none.
+A sheet has one row per match: set_id, row, match_order, gana_local, empate, gana_visitante, old_pick.
+``row`` is the place in the sheet; ``match_order`` and the marks are cells as they come.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fill, mark
+from ..functions.text import fill, mark, trimmed
 from ..functions.wording import (
     CONTEST_SIZE, OUTCOMES, ROW_MANY_MARKS, ROW_NO_PICK, ROW_UNKNOWN_MATCH, SHEET_ERRORS_HEAD, SHEET_ERRORS_MORE,
     SHEET_ERRORS_SHOWN, SHEET_WRONG_SIZE)
 
 MARK_COLUMNS = ("gana_local", "empate", "gana_visitante")
+#: Header of an export, in order, and of the older form; fixed values.
+EXPORTED = ("#", "Fecha", "Hora", "Día", "Gana Local", "Local", "Empate", "Visitante", "Gana Visitante")
+EXPORT_COLUMNS = {"#": "match_order", "Gana Local": "gana_local", "Empate": "empate",
+                  "Gana Visitante": "gana_visitante", "Pronóstico (1/X/2)": "old_pick"}
 
 
 def _pick(marked: list[Column], old: Column) -> Column:
@@ -24,27 +28,49 @@ def _pick(marked: list[Column], old: Column) -> Column:
     return pick.when(old.isin(*OUTCOMES), old)
 
 
+def from_export(cells: DataFrame) -> DataFrame:
+    """A filled-in export (set_id and the columns of its header) as a sheet; rows keep their order within a set's file."""
+    def cell(name: str) -> Column:
+        return F.col(f"`{name}`") if name in cells.columns else F.lit(None).cast("string")
+    return cells.select("set_id", F.monotonically_increasing_id().alias("row"),
+                        *[cell(name).alias(column) for name, column in EXPORT_COLUMNS.items()])
+
+
+def read_filled(spark: SparkSession, path: str, set_id_type: str = "string") -> DataFrame:
+    """Filled-in exports below ``path``, a folder ``set_id=...`` for each set, as a sheet."""
+    columns = ", ".join(f"`{name}` string" for name in EXPORTED)
+    cells = spark.read.schema(f"{columns}, set_id {set_id_type}").option("header", True).csv(path)
+    return from_export(cells)
+
+
 def sheet_rows(sheet: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Every numbered row with its pick and match, or the error that rejects it."""
-    order = F.col("match_order").cast("long")
+    """Every numbered row with its pick and match, or the error that rejects it.
+
+    The number cell may hold anything: rows without a number, or with zero, are passed over, and a number that is not
+    whole names no match.
+    """
+    number = F.col("match_order").try_cast("double")
+    order = F.when(number == F.floor(number), number.try_cast("long"))
+    shown = F.coalesce(order.cast("string"), number.cast("string"))
     marked = [mark(c) == "X" for c in MARK_COLUMNS]
     marks = sum(m.cast("int") for m in marked)
-    read = sheet.where(order.isNotNull() & (order != 0)).select(
-        "set_id", order.alias("match_order"), marks.alias("marks"), _pick(marked, mark("old_pick")).alias("pick"))
+    read = sheet.where(number.isNotNull() & ~F.isnan(number) & (number != 0)).select(
+        "set_id", "row", order.alias("match_order"), shown.alias("shown"), marks.alias("marks"),
+        _pick(marked, mark("old_pick")).alias("pick"))
     known = fixtures.select("match_order", "match_id")
-    error = (F.when(F.col("marks") > 1, fill(ROW_MANY_MARKS, "match_order"))
-             .when(F.col("pick").isNull(), fill(ROW_NO_PICK, "match_order"))
-             .when(F.col("match_id").isNull(), fill(ROW_UNKNOWN_MATCH, "match_order")))
+    error = (F.when(F.col("marks") > 1, fill(ROW_MANY_MARKS, "shown"))
+             .when(F.col("pick").isNull(), fill(ROW_NO_PICK, "shown"))
+             .when(F.col("match_id").isNull(), fill(ROW_UNKNOWN_MATCH, "shown")))
     return read.join(known, "match_order", "left").select(
-        "set_id", "match_order", "match_id", F.col("pick").alias("predicted_result"), error.alias("error"))
+        "set_id", "row", "match_order", "match_id", F.col("pick").alias("predicted_result"), error.alias("error"))
 
 
 def sheet_normalise(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("error").isNull()).drop("error")
+    return rows.where(F.col("error").isNull()).drop("error", "row")
 
 
 def sheet_errors(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("error").isNotNull()).select("set_id", "match_order", "error")
+    return rows.where(F.col("error").isNotNull()).select("set_id", "row", "match_order", "error")
 
 
 def sheet_verdict(rows: DataFrame, size: int = CONTEST_SIZE) -> DataFrame:
@@ -54,7 +80,7 @@ def sheet_verdict(rows: DataFrame, size: int = CONTEST_SIZE) -> DataFrame:
     """
     counts = rows.groupBy("set_id").agg(
         F.count_if(F.col("error").isNull()).alias("valid_rows"), F.count("error").alias("error_rows"))
-    listed = Window.partitionBy("set_id").orderBy("match_order", "error")
+    listed = Window.partitionBy("set_id").orderBy("row", "error")
     shown = (sheet_errors(rows).withColumn("n", F.row_number().over(listed))
              .where(F.col("n") <= SHEET_ERRORS_SHOWN).groupBy("set_id")
              .agg(F.array_sort(F.collect_list(F.struct("n", "error"))).alias("shown")))
@@ -69,9 +95,10 @@ def sheet_verdict(rows: DataFrame, size: int = CONTEST_SIZE) -> DataFrame:
 
 
 def stage_sets(rows: DataFrame, verdict: DataFrame, labels: DataFrame, pending: DataFrame) -> DataFrame:
-    """Pending rows after the accepted sets are added under their trimmed label (set_id, label)."""
+    """Pending rows after the accepted sets are added under their trimmed label (set_id, label); a blank label adds none."""
     accepted = verdict.where("accepted").select("set_id")
-    staged = sheet_normalise(rows).join(accepted, "set_id", "left_semi").join(labels, "set_id").select(
-        F.trim("label").alias("label"), "match_id", "predicted_result",
+    staged = sheet_normalise(rows).join(accepted, "set_id", "left_semi").join(
+        labels.withColumn("label", trimmed("label")).where("label <> ''"), "set_id").select(
+        "label", "match_id", "predicted_result",
         F.lit(None).cast(pending.schema["assigned_to"].dataType).alias("assigned_to"))
     return pending.select(staged.columns).unionByName(staged)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.outcomes import is_hit, percent, votes_for
 from ..functions.wording import DISTRIBUTION_NAMES, OUTCOMES
-from ..plans.dense import as_list, for_each
+from ..plans.numbering import numbered
+from ..plans.spread import for_each
 
 VOTES = {"1": "votes_1", "X": "votes_x", "2": "votes_2"}
 
@@ -79,8 +80,7 @@ def group_map_audit(fixtures: DataFrame, teams: DataFrame) -> DataFrame:
 def group_standings(users: DataFrame, picks: DataFrame, fixtures: DataFrame, teams: DataFrame) -> DataFrame:
     """Group tables as each user's picks would have them, every team listed.
 
-    Counts per user, match side and team combine before the shuffle; the tables are
-    at most one row per team, so they unfold from one row per user.
+    Counts per user, match side and team combine before the shuffle; then every user meets every team.
     """
     inside = group_sides(fixtures, teams).where(F.col("home_grp") == F.col("away_grp")).select(
         "match_id", "h_id", "a_id")
@@ -91,13 +91,10 @@ def group_standings(users: DataFrame, picks: DataFrame, fixtures: DataFrame, tea
     per_team = (picks.join(inside, "match_id").select("user_id", F.inline(sides))
                 .groupBy("user_id", "team_id").agg(
                     F.count("*").alias("played"), F.count_if("won").alias("won"), F.count_if("lost").alias("lost")))
-    tables = per_team.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        "team_id", F.struct("played", "won", "lost")))).alias("by_team"))
-    everyone = users.select("user_id").join(tables, "user_id", "left")
-    row = F.col("by_team")[F.col("team_id")]
-    played, won, lost = (F.coalesce(row[c], F.lit(0)) for c in ("played", "won", "lost"))
+    played, won, lost = (F.coalesce(c, F.lit(0)) for c in ("played", "won", "lost"))
     drawn = F.col("played") - F.col("won") - F.col("lost")
-    full = (for_each(everyone, teams, ["team_id", "team", "grp"])
+    full = (for_each(users.select("user_id"), teams, ["team_id", "team", "grp"])
+            .join(per_team, ["user_id", "team_id"], "left")
             .select("user_id", "grp", "team_id", "team", played.alias("played"), won.alias("won"), lost.alias("lost"))
             .withColumn("drawn", drawn).withColumn("points", F.col("won") * 3 + F.col("drawn")))
     table = Window.partitionBy("user_id", "grp").orderBy(F.desc("points"), F.desc("won"), "team_id")
@@ -106,11 +103,10 @@ def group_standings(users: DataFrame, picks: DataFrame, fixtures: DataFrame, tea
 
 
 def _hit_places(picks: DataFrame, fixtures: DataFrame) -> DataFrame:
-    """Hits by place among a contest's finished matches; what is missing between places breaks a run."""
+    """Hits by place among the finished matches; what is missing between places breaks a run."""
     finished = fixtures.where(F.col("status") == "finished").select(
         "match_id", "match_order", "status", "actual_result")
-    orders = as_list(finished, ["match_order"])
-    places = finished.withColumn("place", F.array_position(orders["match_order"], F.col("match_order")))
+    places = numbered(finished, [F.col("match_order")], "place")
     return picks.join(places, "match_id").where(is_hit()).select("user_id", "place")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.wording import CONTEST_SIZE
+from ..functions.wording import CONTEST_SIZE, OUTCOMES
 from ..operators import admin, fixtures, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
 from ..session import fresh_path
 from ..sources.projections import Relations, attempt_columns, result_columns, subscription_columns
@@ -122,10 +122,27 @@ def sheet_verdict(r):
     return sheets.sheet_verdict(_d_sheet_rows(r))
 
 
+@query
+def sheet_import(r):
+    """Every user's picks filled into the export, written, read back and judged row by row."""
+    matches = r.d_named_fixtures()
+    blank = fixtures.fixture_export(matches)
+    filled = r.d_picks().join(matches.select("match_id", F.col("match_order").alias("#")), "match_id").join(blank, "#")
+    pick = F.col("predicted_result")
+    for name, outcome in zip(("Gana Local", "Empate", "Gana Visitante"), OUTCOMES, strict=True):
+        filled = filled.withColumn(name, F.when(pick == outcome, "X").otherwise(""))
+    path = fresh_path(r.spark, "filled")
+    (filled.select(F.col("user_id").alias("set_id"), *[F.col(f"`{c}`") for c in sheets.EXPORTED])
+     .repartition("set_id").write.partitionBy("set_id").option("header", True).csv(path))
+    read = sheets.read_filled(r.spark, path, "bigint")
+    return sheets.sheet_normalise(sheets.sheet_rows(read, matches))
+
+
 @query
 def stage_sets(r):
     rows = _d_sheet_rows(r)
-    labels = rows.select("set_id").distinct().withColumn("label", F.concat(F.lit("  sheet-"), "set_id", F.lit(" ")))
+    name = F.when(F.col("set_id") % 20 == 0, "\t\u00a0 ").otherwise(F.concat(F.lit("\t sheet-"), "set_id", F.lit("\u00a0")))
+    labels = rows.select("set_id").distinct().withColumn("label", name)
     return sheets.stage_sets(rows, sheets.sheet_verdict(rows), labels, r.d_pending())
 
 
@@ -227,7 +244,13 @@ def my_picks(r):
 
 @query
 def pick_matrix(r):
-    return picks.pick_matrix(r.d_picks(), r.d_participants(), r.d_pending(), r.d_fixtures())
+    chosen = r.stored("d_picks")
+    return picks.pick_matrix(chosen, r.d_participants(), r.d_pending(), r.d_fixtures())
+
+
+@query
+def pick_map(r):
+    return picks.pick_map(r.picks(), r.participants(), r.pending(), r.fixtures())
 
 
 @query
@@ -257,7 +280,8 @@ def pick_card_state(r):
 
 @query
 def picks_digest(r):
-    return picks.digest_lines(picks.picks_digest(r.d_participants(), r.d_picks(), r.d_named_fixtures()))
+    chosen = r.stored("d_picks")
+    return picks.picks_digest(r.d_participants(), chosen, r.d_named_fixtures())
 
 
 # -- statistics ------------------------------------------------------------------------
@@ -326,12 +350,17 @@ def friend_remove(r):
     return social.friend_remove(r.friend_edges(), r.unfriend_requests())
 
 
+@query
+def friend_remove_both(r):
+    return social.friend_remove(r.friend_edges(), r.unfriend_requests(), both=True)
+
+
 # -- administration ------------------------------------------------------------------------
 
 @query
 def approval_queue(r):
-    return admin.approval_queue(r.participants(), arrival="user_id").select(
-        "user_id", "username", "email", "nombre")
+    return admin.approval_queue(r.dated_participants()).select(
+        "user_id", "username", "email", "nombre", "created_at")
 
 
 @query
@@ -345,6 +374,11 @@ def approve_users(r):
     return admin.approve_users(r.participants(), r.approval_requests())
 
 
+@query
+def approve_all_admins(r):
+    return admin.approve_all_admins(r.participants())
+
+
 @query
 def welcome_outbox(r):
     before = r.participants()
@@ -387,9 +421,8 @@ def delete_set(r):
 @query
 def finish_outbox(r):
     done = r.named_fixtures().where(F.col("match_id") == MATCH)
-    now = ranking.notify_ranking(_points(r))
-    before = ranking.notify_ranking(scoring.points_without(now.drop("position"), r.picks(), r.fixtures(), [MATCH]))
-    return outbox.finish_outbox(done, _subs(r), r.picks(), ranking.rank_movement(before, now))
+    points = r.stored("points", scoring.points_without(_points(r), r.picks(), r.fixtures(), [MATCH]))
+    return outbox.finish_outbox(done, _subs(r), r.picks(), ranking.movement(points))
 
 
 @query
@@ -417,9 +450,8 @@ def subscription_remove(r):
 @query
 def insert_ignore(r):
     kept = ["user_id", "match_id", "predicted_result"]
-    early = r.d_picks().where(F.col("created_at") < "1998-01-01").select(*kept)
-    late = r.raw_picks(arrivals=2).select(*kept, "arrival")
-    return maintain.insert_ignore(early, late, ["user_id", "match_id"], ["arrival"])
+    held = r.stored("d_picks").select(*kept)
+    return maintain.insert_ignore(held, r.raw_picks().select(*kept, "arrival"), ["user_id", "match_id"], ["arrival"])
 
 
 @query
@@ -472,7 +504,7 @@ def check_not_null(r):
                                          "match_time", "status"]),
         ("predictions", r.picks(), ["user_id", "match_id", "predicted_result", "created_at"]),
         ("pending_predictions", r.pending(), ["label", "match_id", "predicted_result"]),
-        ("push_subscriptions", _subs(r), ["user_id", "endpoint", "p256dh"]),
+        ("push_subscriptions", _subs(r), ["user_id", "endpoint", "p256dh", "auth"]),
         ("profiles", r.participants(), ["nombre"]),
         ("results", r.fixtures(), ["home_goals", "away_goals", "actual_result"]),
     ]
@@ -496,15 +528,16 @@ def check_unique(r):
 @query
 def check_foreign_keys(r):
     users, matches = r.participants(), r.fixtures()
-    approved = users.where("is_approved")
     return quality.union_all([
-        quality.check_foreign_key("predictions", r.picks(), "user_id", approved, "user_id"),
-        quality.check_foreign_key("predictions", r.picks(), "match_id", r.d_fixtures(), "match_id"),
-        quality.check_foreign_key("friendships", r.friend_edges(), "user_id", approved, "user_id"),
+        quality.check_foreign_key("predictions", r.picks(), "user_id", users, "user_id"),
+        quality.check_foreign_key("predictions", r.picks(), "match_id", matches, "match_id"),
+        quality.check_foreign_key("attempts", r.attempts(), "match_id", r.d_fixtures(), "match_id"),
+        quality.check_foreign_key("friendships", r.friend_edges(), "user_id", users, "user_id"),
         quality.check_foreign_key("friendships", r.friend_edges(), "friend_id", users, "user_id"),
         quality.check_foreign_key("pending_predictions", r.pending(), "match_id", matches, "match_id"),
-        quality.check_foreign_key("pending_predictions", r.pending(), "assigned_to", approved, "user_id"),
-        quality.check_foreign_key("push_subscriptions", _subs(r), "user_id", approved, "user_id"),
+        quality.check_foreign_key("pending_predictions", r.pending(), "assigned_to", users, "user_id"),
+        quality.check_foreign_key("requests", r.assign_requests(), "user_id", users, "user_id"),
+        quality.check_foreign_key("push_subscriptions", _subs(r), "user_id", users, "user_id"),
     ])
 
 
@@ -520,9 +553,9 @@ def check_sequence_replay(r):
 
 @query
 def check_immutable(r):
-    two = r.raw_picks(arrivals=2)
-    return quality.check_immutable(two.where("arrival = 1"), two.where("arrival = 2"),
-                                   ["user_id", "match_id"], "predicted_result")
+    arrived = r.stored("raw_picks")
+    before = arrived.withColumn("arrival", F.col("arrival") + 1)
+    return quality.check_immutable(before, arrived, ["user_id", "match_id", "arrival"], "predicted_result")
 
 
 @query
@@ -537,6 +570,13 @@ def visible_picks(r):
     return policy.visible_picks(r.picks(), VIEWER).select("user_id", "match_id", "predicted_result")
 
 
+@query
+def visible_picks_for(r):
+    """Own picks of every administrator at once."""
+    return policy.visible_picks_for(r.picks(), policy.admins(r.participants())).select(
+        "user_id", "match_id", "predicted_result")
+
+
 @query
 def visible_edges(r):
     return policy.visible_edges(r.friend_edges(), VIEWER)
@@ -565,18 +605,18 @@ def public_rows(r):
 # -- streams ----------------------------------------------------------------------------------------
 
 def _results_stream(r: Relations) -> DataFrame:
-    edits = r.stream("events").where(F.col("event_type").isin("view", "purchase"))
+    edits = r.stream("events", "event_id").where(F.col("event_type").isin("view", "purchase"))
     return edits.select(*result_columns())
 
 
 def _intake(r: Relations) -> BatchLog:
-    attempts = r.stream("lineitem").select(*attempt_columns())
-    return intake.stream_intake(attempts, r.d_fixtures())
+    attempts = r.stream("lineitem", "l_shipdate").select(*attempt_columns())
+    return intake.stream_intake(attempts, r.stored("d_fixtures"))
 
 
 @query
 def stream_points(r):
-    return points_stream.stream_points(_results_stream(r), r.participants(), r.picks(), r.fixtures())
+    return points_stream.stream_points(_results_stream(r), r.participants(), r.picks(), r.stored("fixtures"))
 
 
 @query
@@ -592,10 +632,10 @@ def stream_consensus(r):
 @query
 def stream_finish_outbox(r):
     return points_stream.stream_finish_outbox(
-        _results_stream(r), r.participants(), r.picks(), r.named_fixtures(), _subs(r))
+        _results_stream(r), r.participants(), r.stored("picks"), r.stored("named_fixtures"), r.stored("subs", _subs(r)))
 
 
 @query
 def stream_subscriptions(r):
     return subscription_stream.stream_subscriptions(
-        r.stream("events").select(*subscription_columns()))
+        r.stream("events", "event_id").select(*subscription_columns()))

@@ -18,7 +18,7 @@ select n_nationkey as team_id, n_name as team, r_name as grp
 from nation join region on r_regionkey = n_regionkey
 """
 
-VIEWS["fixtures"] = """
+FIXTURES = """
 select match_id, match_order, home_id, away_id, match_date, match_time, match_day, status, home_goals, away_goals,
        case when status = 'finished' and home_goals is not null and away_goals is not null
             then case when home_goals > away_goals then '1' when away_goals > home_goals then '2' else 'X' end end as actual_result
@@ -34,9 +34,11 @@ from (
          case when p_partkey % 10 < 7 then 'finished' when p_partkey % 10 < 9 then 'in_progress' else 'pending' end as status,
          case when p_partkey % 10 = 9 or p_size = 11 then null else p_size % 4 end as home_goals,
          case when p_partkey % 10 = 9 or p_size = 11 then null else cast(p_partkey % 3 as int) end as away_goals
-  from part) f
+  from {source}) f
 """
 
+VIEWS["fixtures"] = FIXTURES.format(source="part")
+
 VIEWS["raw_picks"] = """
 select o_custkey as user_id, l_partkey + 1 as match_id,
        case l_returnflag when 'A' then '1' when 'N' then 'X' else '2' end as predicted_result,
@@ -59,14 +61,16 @@ from lineitem join supplier on s_suppkey = l_suppkey where l_linestatus = 'O'
 VIEWS["friend_edges"] = """
 select distinct user_id, friend_id from (
   select o_custkey as user_id, cast(floor(o_totalprice) as bigint) % (select count(*) from customer) as friend_id
-  from orders where o_orderstatus = 'P') e
+  from orders where o_orderstatus in ('P', 'F')) e
 where user_id <> friend_id
 """
 
-VIEWS["d_fixtures"] = """
-select * from fixtures where match_order <= 72
+VIEWS["slots"] = """
+select p_partkey % 72 as p_partkey, cast(sum(p_size) % 50 + 1 as int) as p_size from part group by p_partkey % 72
 """
 
+VIEWS["d_fixtures"] = FIXTURES.format(source="slots")
+
 VIEWS["d_picks"] = """
 select user_id, match_id, predicted_result, created_at from (
   select l_suppkey as user_id, l_partkey % 72 + 1 as match_id,
@@ -84,9 +88,13 @@ from d_picks
 """
 
 VIEWS["sheet"] = """
-select l_orderkey as set_id, l_linenumber as match_order,
-       case when l_returnflag = 'A' or l_quantity = 1 then 'x ' else '' end as gana_local,
-       case when l_returnflag = 'N' and l_tax < 0.08 then ' X' end as empate,
+select l_orderkey as set_id, cast(10 - l_linenumber as bigint) as "row",
+       case when l_partkey % 29 = 0 then 'n/a' when l_partkey % 31 = 0 then concat(l_linenumber, '.5')
+            when l_partkey % 37 = 0 then '0' else cast(l_linenumber as varchar) end as match_order,
+       case when l_returnflag = 'A' or l_quantity = 1
+            then case when l_partkey % 3 = 0 then concat(chr(9), 'x', chr(160)) else 'x ' end else '' end as gana_local,
+       case when l_returnflag = 'N' and l_tax < 0.08
+            then case when l_partkey % 3 = 0 then concat(chr(8195), 'X', chr(13), chr(10)) else ' X' end end as empate,
        case when l_returnflag = 'R' and l_discount < 0.1 then 'X' when l_quantity = 2 then 'X' end as gana_visitante,
        case when l_returnflag = 'R' and l_discount >= 0.1 and l_tax < 0.05 then '2' when l_tax = 0.08 then 'q' end as old_pick
 from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_partkey, l_suppkey) as rn from lineitem) z
@@ -94,10 +102,11 @@ where rn = 1
 """
 
 VIEWS["d_sheet"] = """
-select user_id as set_id,
-       case when user_id % 10 = 8 and match_id = 5 then 1005 else match_id end as match_order,
-       case when match_id % 6 <> 0 and (predicted_result = '1' or (user_id % 10 = 4 and match_id = 50)) then 'x ' else '' end as gana_local,
-       case when match_id % 6 <> 0 and (predicted_result = 'X' or (user_id % 10 = 4 and match_id = 50)) then ' X' end as empate,
+select user_id as set_id, match_id * 37 % 73 as "row",
+       case when user_id % 10 = 8 and match_id = 5 then '1005' when user_id % 10 = 2 and match_id = 7 then 'siete'
+            when user_id % 10 = 6 and match_id = 9 then '9.5' else cast(match_id as varchar) end as match_order,
+       case when match_id % 6 <> 0 and (predicted_result = '1' or (user_id % 10 = 4 and match_id = 50)) then concat('x', chr(9)) else '' end as gana_local,
+       case when match_id % 6 <> 0 and (predicted_result = 'X' or (user_id % 10 = 4 and match_id = 50)) then concat(chr(160), 'X') end as empate,
        case when match_id % 6 <> 0 and predicted_result = '2' then 'X' end as gana_visitante,
        case when match_id % 6 = 0 and not (user_id % 10 = 6 and match_id = 12) then lower(predicted_result) end as old_pick
 from d_picks
@@ -111,7 +120,7 @@ from d_picks
 
 VIEWS["subscription_log"] = """
 select event_id, user_id, concat('ep-', event_id % 3) as endpoint, props as p256dh,
-       cast(ts as timestamp) as created_at, event_type <> 'error' as delivered
+       concat('auth-', event_id % 101) as auth, cast(ts as timestamp) as created_at, event_type <> 'error' as delivered
 from events
 """
 
@@ -129,7 +138,9 @@ select event_id as user_id, concat('mail', event_id, '@example.org') as email,
 from events where event_type = 'signup'
 """
 VIEWS["d_participants"] = """
-select s_suppkey as user_id, s_name as username from supplier
+select s_suppkey as user_id, s_name as username, concat('s', s_suppkey, '@example.org') as email,
+       case when s_suppkey % 3 <> 0 then concat('Nombre ', s_suppkey) end as nombre
+from supplier
 """
 
 VIEWS["named_fixtures"] = """
@@ -137,6 +148,11 @@ select f.*, h.team as home_team, a.team as away_team
 from fixtures f join teams h on h.team_id = f.home_id join teams a on a.team_id = f.away_id
 """
 
+VIEWS["d_named_fixtures"] = """
+select f.*, h.team as home_team, a.team as away_team
+from d_fixtures f join teams h on h.team_id = f.home_id join teams a on a.team_id = f.away_id
+"""
+
 VIEWS["points"] = """
 select u.*, coalesce(h.n, 0) as total_points
 from participants u left join (
@@ -243,7 +259,7 @@ left join d_picks p on p.user_id = u.user_id and p.match_id = f.match_id
 """
 
 VIEWS["subs"] = """
-select min(event_id) over (partition by user_id, endpoint) as sub_id, user_id, endpoint, p256dh
+select min(event_id) over (partition by user_id, endpoint) as sub_id, user_id, endpoint, p256dh, auth
 from subscription_log
 qualify row_number() over (partition by user_id, endpoint order by created_at desc, event_id desc) = 1
 """
@@ -261,6 +277,18 @@ select event_id, match_id, ts, action, h as home_goals, a as away_goals from (
 where h >= 0 and a >= 0
 """
 
+VIEWS["turns"] = """
+select *, action = 'finish' and not was_done as turned from (
+  select e.event_id, e.match_id, e.ts, e.action, e.home_goals, e.away_goals, e.result,
+         coalesce(lag(e.action) over w = 'finish', f.status = 'finished') as was_done,
+         case when lag(e.action) over w is null then case when f.status = 'finished' then f.actual_result end
+              else lag(e.result) over w end as old_result
+  from (select *, case when action = 'finish' then case when home_goals > away_goals then '1'
+                       when away_goals > home_goals then '2' else 'X' end end as result from edits) e
+  join fixtures f on f.match_id = e.match_id
+  window w as (partition by e.match_id order by e.ts, e.event_id)) t
+"""
+
 VIEWS["last_edits"] = """
 select * from edits qualify row_number() over (partition by match_id order by ts desc, event_id desc) = 1
 """
@@ -281,26 +309,34 @@ from fixtures f left join last_edits l on l.match_id = f.match_id
 left join last_finishes n on n.match_id = f.match_id
 """
 
-VIEWS["sheet_marks"] = """
+_SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def _cell(column: str) -> str:
+    return f"upper(regexp_replace(coalesce({column}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g'))"
+
+
+VIEWS["sheet_marks"] = f"""
 select *, cast(gl = 'X' as int) + cast(em = 'X' as int) + cast(gv = 'X' as int) as marks,
+       case when number = floor(number) then cast(cast(number as bigint) as varchar) else cast(number as varchar) end as shown,
        case when gl = 'X' then '1' when em = 'X' then 'X' when gv = 'X' then '2'
             when old in ('1', 'X', '2') then old end as pick
-from (select set_id, cast(match_order as bigint) as match_order, upper(trim(coalesce(gana_local, ''))) as gl,
-             upper(trim(coalesce(empate, ''))) as em, upper(trim(coalesce(gana_visitante, ''))) as gv,
-             upper(trim(coalesce(old_pick, ''))) as old, kind
+from (select set_id, "row", try_cast(match_order as double) as number, {_cell('gana_local')} as gl,
+             {_cell('empate')} as em, {_cell('gana_visitante')} as gv, {_cell('old_pick')} as old, kind
       from (select *, 'wide' as kind from sheet union all select *, 'dense' from d_sheet) s) z
-where match_order <> 0
+where number <> 0
 """
 
 VIEWS["sheet_read"] = """
-select m.kind, m.set_id, m.match_order, f.match_id, m.pick as predicted_result,
-       case when m.marks > 1 then concat('Fila #', m.match_order, ': tiene más de una X marcada')
-            when m.pick is null then concat('Fila #', m.match_order, ': sin pronóstico')
-            when f.match_id is null then concat('Fila #', m.match_order, ': partido no encontrado') end as error
+select m.kind, m.set_id, m."row", case when number = floor(number) then cast(number as bigint) end as match_order,
+       f.match_id, m.pick as predicted_result,
+       case when m.marks > 1 then concat('Fila #', m.shown, ': tiene más de una X marcada')
+            when m.pick is null then concat('Fila #', m.shown, ': sin pronóstico')
+            when f.match_id is null then concat('Fila #', m.shown, ': partido no encontrado') end as error
 from sheet_marks m left join (
   select match_order, match_id, 'wide' as kind from fixtures
   union all select match_order, match_id, 'dense' from d_fixtures) f
-on f.match_order = m.match_order and f.kind = m.kind
+on f.match_order = m.number and f.kind = m.kind
 """
 
 VIEWS["verdicts"] = """
@@ -310,8 +346,8 @@ select set_id, valid_rows, error_rows, error_rows = 0 and valid_rows = 72 as acc
             when valid_rows <> 72 then concat('Se encontraron ', valid_rows, ' pronósticos válidos, se necesitan 72.')
        end as message
 from (select set_id, count(*) filter (where error is null) as valid_rows, count(error) as error_rows,
-             string_agg(error, chr(10) order by match_order, error) filter (where error is not null and n <= 10) as shown
-      from (select *, row_number() over (partition by set_id, error is null order by match_order, error) as n
+             string_agg(error, chr(10) order by "row", error) filter (where error is not null and n <= 10) as shown
+      from (select *, row_number() over (partition by set_id, error is null order by "row", error) as n
             from sheet_read where kind = 'dense') s group by set_id) v
 """
 

@@ -46,16 +46,21 @@ select set_id, match_order, match_id, predicted_result from sheet_read where kin
 """
 
 ORACLES["sheet_errors"] = """
-select set_id, match_order, error from sheet_read where kind = 'wide' and error is not null
+select set_id, "row", match_order, error from sheet_read where kind = 'wide' and error is not null
 """
 
 ORACLES["sheet_verdict"] = "select * from verdicts"
 
+ORACLES["sheet_import"] = """
+select user_id as set_id, match_id as match_order, match_id, predicted_result from d_picks
+"""
+
 ORACLES["stage_sets"] = """
 select label, match_id, predicted_result, assigned_to from d_pending
 union all
 select concat('sheet-', r.set_id), r.match_id, r.predicted_result, null
 from sheet_read r join verdicts v on v.set_id = r.set_id where r.kind = 'dense' and v.accepted and r.error is null
+  and r.set_id % 20 <> 0
 """
 
 ORACLES["profile_from_signup"] = """
@@ -140,6 +145,14 @@ ORACLES["pick_matrix"] = "select user_id, username,\n" + ",\n".join(
     f"filter (where match_order = {i}), '') as p{i}" for i in range(1, 73)
 ) + "\nfrom d_rows group by user_id, username"
 
+ORACLES["pick_map"] = """
+select user_id, username, match_order,
+       max(case predicted_result when '1' then 'L' when 'X' then 'E' else 'V' end) filter (where true) as letter
+from (select *, row_number() over (partition by user_id, username, match_order
+        order by case predicted_result when '1' then 1 when 'X' then 2 else 3 end desc) as n from all_rows) r
+where n = 1 group by user_id, username, match_order
+"""
+
 ORACLES["last_finished"] = "select max(match_order) as match_order from fixtures where status = 'finished'"
 
 ORACLES["pick_counts"] = "select user_id, count(*) as picks from all_rows group by user_id"
@@ -157,15 +170,16 @@ select u.user_id, f.match_order, split_part(f.home_team, ' ', 1) as home_short,
        split_part(f.away_team, ' ', 1) as away_short, p.predicted_result as picked,
        case when p.user_id is not null then 'locked' when f.match_order = u.next_order then 'enabled'
             else 'disabled' end as state
-from next_open u join (select * from named_fixtures where match_order <= 72) f on true
+from next_open u join d_named_fixtures f on true
 left join d_picks p on p.user_id = u.user_id and p.match_id = f.match_id
 """
 
 ORACLES["picks_digest"] = """
-select u.user_id, u.username, f.match_order, f.home_team, f.away_team, cast(f.match_date as varchar) as match_date,
+select u.user_id, u.username, u.email as mail_to, coalesce(nullif(u.nombre, ''), u.username) as display_name,
+       f.match_order, f.home_team, f.away_team, cast(f.match_date as varchar) as match_date,
        case p.predicted_result when '1' then 'Local' when 'X' then 'Empate' else 'Visitante' end as pick
 from d_participants u join d_picks p on p.user_id = u.user_id
-join named_fixtures f on f.match_id = p.match_id
+join d_named_fixtures f on f.match_id = p.match_id
 where u.user_id in (select user_id from d_picks group by user_id having count(*) = 72)
 """
 
@@ -239,12 +253,18 @@ ORACLES["friend_remove"] = """
 select user_id, friend_id from friend_edges e where not exists (
   select 1 from (
     select cast(floor(o_totalprice) as bigint) % (select count(*) from customer) as asker, o_custkey as other
-    from orders where o_orderstatus = 'P' and o_orderpriority = '1-URGENT') r
+    from orders where o_orderstatus in ('P', 'F') and o_orderpriority = '1-URGENT') r
   where r.asker = e.user_id and r.other = e.friend_id)
 """
 
+ORACLES["friend_remove_both"] = ORACLES["friend_remove"].replace(
+    "where r.asker = e.user_id and r.other = e.friend_id)",
+    "where (r.asker = e.user_id and r.other = e.friend_id) or (r.asker = e.friend_id and r.other = e.user_id))")
+
 ORACLES["approval_queue"] = """
-select user_id, username, email, nombre from participants where not is_approved and not is_admin order by user_id
+select user_id, username, email, nombre,
+       cast(date '2026-01-01' + cast(user_id * 7919 % 150 as int) as varchar) as created_at
+from participants where not is_approved and not is_admin
 """
 
 ORACLES["approved_overview"] = """
@@ -257,6 +277,10 @@ where p.is_approved
 
 ORACLES["approve_users"] = "select * from approved_now"
 
+ORACLES["approve_all_admins"] = """
+select user_id, username, email, nombre, is_approved or is_admin as is_approved, is_admin from participants
+"""
+
 ORACLES["welcome_outbox"] = """
 select n.user_id, n.email as mail_to, coalesce(nullif(n.nombre, ''), n.username) as display_name
 from approved_now n join participants p on p.user_id = n.user_id where n.is_approved and not p.is_approved
@@ -325,11 +349,10 @@ select * from subs s where not exists (
 """
 
 ORACLES["insert_ignore"] = """
-select user_id, match_id, predicted_result from d_picks where created_at < timestamp '1998-01-01'
+select user_id, match_id, predicted_result from d_picks
 union all
 select user_id, match_id, predicted_result from picks p where not exists (
-  select 1 from d_picks d where d.created_at < timestamp '1998-01-01'
-  and d.user_id = p.user_id and d.match_id = p.match_id)
+  select 1 from d_picks d where d.user_id = p.user_id and d.match_id = p.match_id)
 """
 
 ORACLES["upsert_update"] = """
@@ -404,7 +427,7 @@ ORACLES["check_not_null"] = "\nunion all\n".join([
     _nulls("matches", "named_fixtures", "match_id match_order home_team away_team match_date match_time status"),
     _nulls("predictions", "picks", "user_id match_id predicted_result created_at"),
     _nulls("pending_predictions", "pending", "label match_id predicted_result"),
-    _nulls("push_subscriptions", "subs", "user_id endpoint p256dh"),
+    _nulls("push_subscriptions", "subs", "user_id endpoint p256dh auth"),
     _nulls("profiles", "participants", "nombre"),
     _nulls("results", "fixtures", "home_goals away_goals actual_result"),
 ])
@@ -434,13 +457,15 @@ def _orphans(relation: str, child: str, column: str, parent: str, key: str) -> s
 
 
 ORACLES["check_foreign_keys"] = "\nunion all\n".join([
-    _orphans("predictions", "picks", "user_id", "(select * from participants where is_approved)", "user_id"),
-    _orphans("predictions", "picks", "match_id", "d_fixtures", "match_id"),
-    _orphans("friendships", "friend_edges", "user_id", "(select * from participants where is_approved)", "user_id"),
+    _orphans("predictions", "picks", "user_id", "participants", "user_id"),
+    _orphans("predictions", "picks", "match_id", "fixtures", "match_id"),
+    _orphans("attempts", "(select l_partkey % 75 + 1 as match_id from lineitem)", "match_id", "d_fixtures", "match_id"),
+    _orphans("friendships", "friend_edges", "user_id", "participants", "user_id"),
     _orphans("friendships", "friend_edges", "friend_id", "participants", "user_id"),
     _orphans("pending_predictions", "pending", "match_id", "fixtures", "match_id"),
-    _orphans("pending_predictions", "pending", "assigned_to", "(select * from participants where is_approved)", "user_id"),
-    _orphans("push_subscriptions", "subs", "user_id", "(select * from participants where is_approved)", "user_id"),
+    _orphans("pending_predictions", "pending", "assigned_to", "participants", "user_id"),
+    _orphans("requests", "assign_requests", "user_id", "participants", "user_id"),
+    _orphans("push_subscriptions", "subs", "user_id", "participants", "user_id"),
 ])
 
 ORACLES["check_sequence"] = """
@@ -461,9 +486,9 @@ where match_order > 1 and lower < match_order - 1
 """
 
 ORACLES["check_immutable"] = """
-select a.user_id, a.match_id, a.predicted_result as old_value, b.predicted_result as new_value
+select a.user_id, a.match_id, cast(b.arrival as int) as arrival, a.predicted_result as old_value, b.predicted_result as new_value
 from raw_picks a join raw_picks b on b.user_id = a.user_id and b.match_id = a.match_id
-where a.arrival = 1 and b.arrival = 2 and a.predicted_result is distinct from b.predicted_result
+where b.arrival = a.arrival + 1 and a.predicted_result is distinct from b.predicted_result
 """
 
 ORACLES["check_fixture_calendar"] = """
@@ -479,6 +504,10 @@ select match_id, match_order, 'kickoff_order', kickoff, ahead from (
 
 ORACLES["visible_picks"] = "select user_id, match_id, predicted_result from picks where user_id = 8"
 
+ORACLES["visible_picks_for"] = """
+select user_id, match_id, predicted_result from picks where user_id in (select user_id from participants where is_admin)
+"""
+
 ORACLES["visible_edges"] = "select * from friend_edges where user_id = 8 or friend_id = 8"
 
 ORACLES["visible_subscriptions"] = """
@@ -539,24 +568,32 @@ group by f.match_id, f.match_order
 """
 
 ORACLES["stream_finish_outbox"] = """
-with after_points as (
-  select u.user_id, u.username, count(s.match_id) as total
-  from participants u left join picks p on p.user_id = u.user_id
-  left join edited s on s.match_id = p.match_id and s.status = 'finished' and s.actual_result = p.predicted_result
-  group by u.user_id, u.username)
-select s.sub_id, s.user_id, s.endpoint, f.match_id, concat('🏁 Finalizó #', f.match_order) as title,
-       concat_ws(chr(10), concat('⚽ ', n.home_team, ' ', f.home_goals, ' - ', f.away_goals, ' ', n.away_team),
-         concat('Resultado: ', case f.actual_result when '1' then 'Local' when 'X' then 'Empate' else 'Visitante' end),
-         case when p.predicted_result = f.actual_result then '✅ ¡Acertaste!'
+with moves as (
+  select p.user_id, t.ts, t.event_id,
+         cast(coalesce(p.predicted_result = t.result, false) as int)
+         - cast(coalesce(p.predicted_result = t.old_result, false) as int) as delta
+  from turns t join picks p on p.match_id = t.match_id where t.result is distinct from t.old_result),
+line as (
+  select u.user_id, u.username, u.total_points, t.ts, t.event_id, 0 as delta, true as asked
+  from points u join turns t on t.turned
+  union all select user_id, null, 0, ts, event_id, delta, false from moves),
+totals as (
+  select *, total_points + sum(delta) over (partition by user_id order by ts, event_id) as total from line),
+places as (
+  select event_id, user_id, row_number() over (partition by event_id order by total desc, username) as position
+  from totals where asked)
+select t.event_id, s.sub_id, s.user_id, s.endpoint, f.match_id, concat('🏁 Finalizó #', f.match_order) as title,
+       concat_ws(chr(10), concat('⚽ ', f.home_team, ' ', t.home_goals, ' - ', t.away_goals, ' ', f.away_team),
+         concat('Resultado: ', case t.result when '1' then 'Local' when 'X' then 'Empate' else 'Visitante' end),
+         case when p.predicted_result = t.result then '✅ ¡Acertaste!'
               when p.predicted_result is not null then '❌ No acertaste' end,
          case when r.position is not null then concat('📊 Posición: ', r.position, '°') end) as body,
        '/partidos' as url
-from edited f join named_fixtures n on n.match_id = f.match_id and n.status <> 'finished'
+from turns t join named_fixtures f on f.match_id = t.match_id
 join subs s on true
 left join picks p on p.user_id = s.user_id and p.match_id = f.match_id
-left join (select user_id, row_number() over (order by total desc, username) as position from after_points) r
-  on r.user_id = s.user_id
-where f.status = 'finished'
+left join places r on r.user_id = s.user_id and r.event_id = t.event_id
+where t.turned
 """
 
 ORACLES["stream_subscriptions"] = "select * from subs"

@@ -27,25 +27,34 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ensure_shared_dir(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+def _configured(spark: SparkSession) -> str | None:
+    context = spark.sparkContext
+    return (context.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
+            or context.getCheckpointDir())
+
+
+def ensure_shared_dir(spark: SparkSession) -> SparkSession:
+    """For entry points: the context gets the session's ``spark.checkpoint.dir``, a local one without it a new folder.
 
-    Only a local session may go without the setting; it gets a folder of its own.
+    A cluster has to name a folder that all its executors share.
     """
-    context = spark.sparkContext
-    configured = (context.getConf().get(CHECKPOINT_DIR) or spark.conf.get(CHECKPOINT_DIR, None)
-                  or context.getCheckpointDir())
-    if configured is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="poolboard-")
-        spark.conf.set(CHECKPOINT_DIR, configured)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(configured)
-    return configured
+    context, folder = spark.sparkContext, _configured(spark)
+    if folder is None and context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        folder = tempfile.mkdtemp(prefix="poolboard-")
+    if folder is not None and context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """Folder every executor can reach, for checkpoints and written tables: ``spark.checkpoint.dir``."""
+    folder = _configured(spark)
+    if folder is None:
+        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

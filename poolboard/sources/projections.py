@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.outcomes import derive_result
-from ..functions.wording import CONTEST_SIZE
+from ..functions.wording import CONTEST_SIZE, WEEKDAYS
 from ..operators.fixtures import with_team_names
 from ..session import fresh_path
 from ..streaming.logs import table_stream
 
 _FIRST_DAY = "2026-06-11"
-_WEEK = "'Jueves', 'Viernes', 'Sábado', 'Domingo', 'Lunes', 'Martes', 'Miércoles'"  # from the first day on
+_WEEK = ", ".join(f"'{day}'" for day in WEEKDAYS[4:] + WEEKDAYS[:4])  # from the first day, a Thursday, on
 
 
 def _outcome(flag: str = "l_returnflag") -> Column:
@@ -32,9 +32,16 @@ class Relations:
         self._tables: dict[str, DataFrame] = {}
         self._stored: dict[str, DataFrame] = {}
 
-    def stream(self, name: str) -> DataFrame:
-        """A driver table as a stream. It may be one file or a folder: a pattern takes either, a plain path no file."""
-        return table_stream(self.spark, f"{self.sf_dir}/{name}.parque[t]")
+    def stream(self, name: str, order: str, parts: int = 3) -> DataFrame:
+        """A driver table as a stream of ``parts`` micro-batches, cut by a numeric or time column."""
+        rows, path = self.table(name), fresh_path(self.spark, f"arriving-{name}")
+        at = F.unix_micros(F.col(order).cast("timestamp")) if rows.schema[order].dataType.typeName() not in (
+            "long", "integer") else F.col(order)
+        cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [n / parts for n in range(1, parts)], 0.05)
+        part = sum(((at > cut).cast("int") for cut in cuts), F.lit(0))
+        for n in range(parts):  # one after the other: the stream takes files by age
+            rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
+        return table_stream(self.spark, path, files_per_trigger=1)
 
     def stored(self, name: str, df: DataFrame | None = None) -> DataFrame:
         """A relation written once to the shared folder, for queries that read it several times."""
@@ -70,9 +77,17 @@ class Relations:
             F.floor(F.abs("c_acctbal") / 100).cast("long").alias("total_points"))
         return self.participants().join(old, "user_id")
 
+    def dated_participants(self) -> DataFrame:
+        """Participants with the day they signed up."""
+        day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("user_id") * 7919 % 150).cast("int"))
+        return self.participants().withColumn("created_at", day)
+
     def d_participants(self) -> DataFrame:
+        key = F.col("s_suppkey")
         return self.table("supplier").select(
-            F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"))
+            key.alias("user_id"), F.col("s_name").alias("username"),
+            F.concat(F.lit("s"), key, F.lit("@example.org")).alias("email"),
+            F.when(key % 3 != 0, F.concat(F.lit("Nombre "), key)).alias("nombre"))
 
     def teams(self) -> DataFrame:
         nation, region = self.table("nation"), self.table("region")
@@ -80,7 +95,16 @@ class Relations:
             F.col("n_nationkey").alias("team_id"), F.col("n_name").alias("team"), F.col("r_name").alias("grp"))
 
     def fixtures(self) -> DataFrame:
-        played = self.table("part").selectExpr(
+        return self._fixtures_of(self.table("part"))
+
+    def d_fixtures(self) -> DataFrame:
+        """The whole of ``part`` folded onto the slots of a real contest."""
+        slot = (F.col("p_partkey") % CONTEST_SIZE).alias("p_partkey")
+        return self._fixtures_of(self.table("part").groupBy(slot).agg(
+            (F.sum("p_size") % 50 + 1).cast("int").alias("p_size")))
+
+    def _fixtures_of(self, parts: DataFrame) -> DataFrame:
+        played = parts.selectExpr(
             "p_partkey + 1 as match_id",
             "p_partkey + 1 as match_order",
             "p_partkey % 25 as home_id",
@@ -99,11 +123,8 @@ class Relations:
     def named_fixtures(self) -> DataFrame:
         return with_team_names(self.fixtures(), self.teams())
 
-    def d_fixtures(self) -> DataFrame:
-        return self.fixtures().where(F.col("match_order") <= CONTEST_SIZE)
-
     def d_named_fixtures(self) -> DataFrame:
-        return self.named_fixtures().where(F.col("match_order") <= CONTEST_SIZE)
+        return with_team_names(self.d_fixtures(), self.teams())
 
     # -- picks ---------------------------------------------------------------
 
@@ -113,16 +134,16 @@ class Relations:
         buyers = self.table("orders").select("o_orderkey", "o_custkey")
         return lines.join(buyers, F.col("o_orderkey") == F.col("l_orderkey"))
 
-    def raw_picks(self, arrivals: int | None = None) -> DataFrame:
-        """Every pick with its arrival number per user and match; at most ``arrivals`` of each.
+    def raw_picks(self, first_only: bool = False) -> DataFrame:
+        """Every pick with its arrival number per user and match, or the first of each.
 
-        The bound sits on the number, so Spark trims each group before the shuffle.
+        The condition sits on the number, so Spark trims each group before the shuffle.
         """
         arrived = Window.partitionBy("o_custkey", "l_partkey").orderBy(
             "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey")
         ranked = self._pick_lines().withColumn("arrival", F.row_number().over(arrived))
-        if arrivals is not None:
-            ranked = ranked.where(F.col("arrival") <= arrivals)
+        if first_only:
+            ranked = ranked.where(F.col("arrival") == 1)
         return ranked.select(
             F.col("o_custkey").alias("user_id"), (F.col("l_partkey") + 1).alias("match_id"),
             F.col("pick").alias("predicted_result"), F.col("l_shipdate").alias("created_at"), "arrival")
@@ -134,7 +155,7 @@ class Relations:
             F.col("pick").alias("predicted_result"))
 
     def picks(self) -> DataFrame:
-        return self.raw_picks(arrivals=1).drop("arrival")
+        return self.raw_picks(first_only=True).drop("arrival")
 
     def pending_with_id(self) -> DataFrame:
         lines = self.table("lineitem").where(F.col("l_linestatus") == "O").select(
@@ -170,28 +191,28 @@ class Relations:
         return self._stored.get("d_picks") or self.d_picks()
 
     def attempts(self) -> DataFrame:
-        """Pick attempts in order of arrival, with repeats, gaps and unknown matches."""
+        """Pick attempts with repeats, gaps and matches that don't exist."""
         return self.table("lineitem").select(*attempt_columns())
 
     # -- friends -------------------------------------------------------------
 
-    def _friend_rows(self, status: str, *extra: Column) -> DataFrame:
+    def _friend_rows(self, statuses: str, *extra: Column) -> DataFrame:
         people = self.table("customer").agg(F.count("*")).scalar()
-        rows = self.table("orders").where(F.col("o_orderstatus") == status)
+        rows = self.table("orders").where(F.col("o_orderstatus").isin(*statuses))
         for condition in extra:
             rows = rows.where(condition)
         return rows.select(F.col("o_custkey").alias("user_id"),
                            (F.floor("o_totalprice").cast("long") % people).alias("friend_id"))
 
     def friend_edges(self) -> DataFrame:
-        return self._friend_rows("P").where(F.col("user_id") != F.col("friend_id")).distinct()
+        return self._friend_rows("PF").where(F.col("user_id") != F.col("friend_id")).distinct()
 
     def friend_requests(self) -> DataFrame:
         """Wanted edges, with repeats and people who ask for themselves."""
         return self._friend_rows("O")
 
     def unfriend_requests(self) -> DataFrame:
-        return self._friend_rows("P", F.col("o_orderpriority") == "1-URGENT").select(
+        return self._friend_rows("PF", F.col("o_orderpriority") == "1-URGENT").select(
             F.col("friend_id").alias("user_id"), F.col("user_id").alias("friend_id"))
 
     # -- sheets --------------------------------------------------------------
@@ -203,9 +224,12 @@ class Relations:
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
             "l_returnflag", "l_tax", "l_discount", "l_quantity")
         return lines.withColumn("rn", F.row_number().over(first)).where(F.col("rn") == 1).select(
-            F.col("l_orderkey").alias("set_id"), F.col("l_linenumber").alias("match_order"),
-            F.when((flag == "A") | (quantity == 1), "x ").otherwise("").alias("gana_local"),
-            F.when((flag == "N") & (tax < 0.08), " X").alias("empate"),
+            F.col("l_orderkey").alias("set_id"), (10 - F.col("l_linenumber")).cast("long").alias("row"),
+            _number_cell(F.col("l_linenumber"), F.col("l_partkey")).alias("match_order"),
+            F.when((flag == "A") | (quantity == 1), F.when(F.col("l_partkey") % 3 == 0, "\tx\u00a0").otherwise("x "))
+            .otherwise("").alias("gana_local"),
+            F.when((flag == "N") & (tax < 0.08), F.when(F.col("l_partkey") % 3 == 0, "\u2003X\r\n").otherwise(" X"))
+            .alias("empate"),
             F.when((flag == "R") & (discount < 0.1), "X").when(quantity == 2, "X").alias("gana_visitante"),
             F.when((flag == "R") & (discount >= 0.1) & (tax < 0.05), "2").when(tax == 0.08, "q").alias("old_pick"))
 
@@ -214,10 +238,11 @@ class Relations:
         new_format = match % 6 != 0
         twice = (user % 10 == 4) & (match == 50)
         return self.d_picks().select(
-            user.alias("set_id"),
-            F.when((user % 10 == 8) & (match == 5), F.lit(1005)).otherwise(match).alias("match_order"),
-            F.when(new_format & ((pick == "1") | twice), "x ").otherwise("").alias("gana_local"),
-            F.when(new_format & ((pick == "X") | twice), " X").alias("empate"),
+            user.alias("set_id"), (match * 37 % 73).alias("row"),
+            F.when((user % 10 == 8) & (match == 5), "1005").when((user % 10 == 2) & (match == 7), "siete")
+            .when((user % 10 == 6) & (match == 9), "9.5").otherwise(match.cast("string")).alias("match_order"),
+            F.when(new_format & ((pick == "1") | twice), "x\t").otherwise("").alias("gana_local"),
+            F.when(new_format & ((pick == "X") | twice), "\u00a0X").alias("empate"),
             F.when(new_format & (pick == "2"), "X").alias("gana_visitante"),
             F.when(~new_format & ~((user % 10 == 6) & (match == 12)), F.lower(pick)).alias("old_pick"))
 
@@ -263,6 +288,12 @@ class Relations:
             F.when(F.col("value") < 20, F.col("user_id")).otherwise(key % 7).alias("writer_id"))
 
 
+def _number_cell(number: Column, key: Column) -> Column:
+    """The number cell of a sheet row: mostly the number, now and then a text, a fraction or a zero."""
+    return (F.when(key % 29 == 0, "n/a").when(key % 31 == 0, F.concat(number, F.lit(".5")))
+            .when(key % 37 == 0, "0").otherwise(number.cast("string")))
+
+
 def attempt_columns() -> list[Column]:
     """From a lineitem row to a pick attempt; the same for tables and streams."""
     return [
@@ -282,6 +313,7 @@ def subscription_columns() -> list[Column]:
         F.col("event_id"), F.col("user_id"),
         F.concat(F.lit("ep-"), F.col("event_id") % 3).alias("endpoint"),
         F.col("props").alias("p256dh"),
+        F.concat(F.lit("auth-"), F.col("event_id") % 101).alias("auth"),
         F.col("ts").cast("timestamp").alias("created_at"),
         (F.col("event_type") != "error").alias("delivered"),
     ]

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.wording import CONTEST_SIZE
 from ..operators.stats import VOTES
 from ..session import shared_dir
 from .logs import BatchLog, MergedLog, job_root, run_to_end, table_stream
@@ -27,69 +27,116 @@ def _user_type(attempts: DataFrame) -> str:
     return attempts.schema["user_id"].dataType.simpleString()
 
 
-def _orders(rows: pd.DataFrame) -> list[int]:
-    return rows["match_order"].fillna(0).astype("int64").tolist()
+class _Piece:
+    """A user's attempts in a row, by order of match: where each order occurs, sorted by arrival."""
+
+    def __init__(self, orders: np.ndarray):
+        self.orders = orders
+        by_order = np.argsort(orders, kind="stable")
+        known, starts = np.unique(orders[by_order], return_index=True)
+        self.at = {int(o): rows for o, rows in zip(known, np.split(by_order, starts[1:]), strict=True) if o > 0}
+
+    def accepted(self, done: int) -> dict[int, int]:
+        """Row of each order accepted after ``done``: every next one at its first place behind the last."""
+        rows, behind = {}, -1
+        while done + 1 in self.at:
+            places = self.at[done + 1]
+            n = np.searchsorted(places, behind, side="right")
+            if n == len(places):
+                break
+            done, behind = done + 1, int(places[n])
+            rows[done] = behind
+        return rows
+
+    def moves(self) -> dict[int, int]:
+        """The k after the rows for every k before them that they move.
+
+        From the highest order down: a place leads to the first later place of the next order, and on from there.
+        """
+        last: dict[int, np.ndarray] = {}
+        for order in sorted(self.at, reverse=True):
+            places, last[order] = self.at[order], np.full(len(self.at[order]), order)
+            if order + 1 in self.at:
+                n = np.searchsorted(self.at[order + 1], places, side="right")
+                more = n < len(self.at[order + 1])
+                last[order][more] = last[order + 1][n[more]]
+        return {order - 1: int(ends[0]) for order, ends in last.items()}
+
+
+def _pieces(rows: pd.DataFrame) -> Iterator[tuple[object, slice]]:
+    """Runs of one user in rows sorted by user."""
+    users = rows["user_id"].to_numpy()
+    cuts = np.flatnonzero(users[1:] != users[:-1]) + 1
+    for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(users)], strict=True):
+        if end > start:
+            yield users[start], slice(start, end)
+
+
+def _orders(rows: pd.DataFrame) -> np.ndarray:
+    return rows["match_order"].fillna(0).to_numpy(dtype=np.int64)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Verdicts for rows sorted by user and arrival; ``start`` is the user's k ahead of the partition."""
-    user, done = None, 0
+    last, done = None, 0
     for rows in batches:
-        verdicts = []
-        for row_user, order, start in zip(rows["user_id"].tolist(), _orders(rows), rows["start"].tolist()):
-            if row_user != user:
-                user, done = row_user, start
-            if order == 0:
-                verdicts.append("unknown_match")
-            elif order <= done:
-                verdicts.append("duplicate")
-            elif order == done + 1:
-                done = order
-                verdicts.append("accepted")
-            else:
-                verdicts.append("out_of_sequence")
-        yield rows.drop(columns=["start"]).assign(
-            verdict=verdicts, match_order=rows["match_order"].astype("Int64"))
+        orders, starts = _orders(rows), rows["start"].to_numpy()
+        verdicts = np.full(len(rows), "out_of_sequence", dtype=object)
+        for user, piece in _pieces(rows):
+            done = done if user == last else int(starts[piece.start])
+            last, own, part = user, orders[piece], verdicts[piece]
+            taken = _Piece(own).accepted(done)
+            part[(own > 0) & (own <= done)] = "duplicate"
+            if taken:
+                at = np.full(done + len(taken) + 1, len(own))
+                at[list(taken)] = list(taken.values())
+                reached = (own > done) & (own <= done + len(taken))
+                behind = np.flatnonzero(reached)[np.flatnonzero(reached) > at[own[reached]]]
+                part[behind] = "duplicate"
+                part[list(taken.values())] = "accepted"
+                done += len(taken)
+            part[own == 0] = "unknown_match"
+        yield rows.drop(columns=["start"]).assign(verdict=verdicts, match_order=rows["match_order"].astype("Int64"))
 
 
 def _moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each user of a partition, the k after its rows for every possible k before them."""
+    """For each user of a partition, the k after its rows for every k before them that they move.
+
+    Only users whose rows lie in several partitions come here. A user's rows of one partition are put together.
+    """
+    held: list[tuple] = []
+
     def moved() -> pd.DataFrame:
-        after = [0] * (CONTEST_SIZE + 1)
-        for k, starts in enumerate(at):
-            for start in starts:
-                after[start] = k
-        return pd.DataFrame({"user_id": [user], "part": [part], "after": [after]})
+        user, part = held[0][:2]
+        steps = _Piece(np.concatenate([orders for _, _, orders in held])).moves()
+        return pd.DataFrame({"user_id": [user], "part": [part], "before": [list(steps)], "after": [list(steps.values())]})
 
-    user, part, at = None, 0, []
     for rows in batches:
-        for row_user, row_part, order in zip(rows["user_id"].tolist(), rows["part"].tolist(), _orders(rows)):
-            if row_user != user:
-                if user is not None:
-                    yield moved()
-                user, part, at = row_user, row_part, [[k] for k in range(CONTEST_SIZE + 1)]
-            if order > 0 and at[order - 1]:
-                at[order] += at[order - 1]
-                at[order - 1] = []
-    if user is not None:
+        orders, parts = _orders(rows), rows["part"].to_numpy()
+        for user, piece in _pieces(rows):
+            if held and held[0][0] != user:
+                yield moved()
+                held.clear()
+            held.append((user, int(parts[piece.start]), orders[piece]))
+    if held:
         yield moved()
 
 
 def _starts(placed: DataFrame) -> DataFrame:
     """Where each part of a user's rows starts, for the users whose rows lie in several partitions.
 
-    A partition shares at most its first and last user with others, so this stays small.
+    A partition shares at most its first and last user with others, so at most two rows per partition are broadcast.
     """
     user = _user_type(placed)
     split = placed.groupBy("user_id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
     pieces = placed.join(F.broadcast(split.select("user_id")), "user_id", "left_semi")
     moves = pieces.select("user_id", "part", "match_order").mapInPandas(
-        _moves, f"user_id {user}, part int, after array<bigint>")
+        _moves, f"user_id {user}, part int, before array<bigint>, after array<bigint>")
     known = pieces.groupBy("user_id").agg(F.max("done").alias("done"))
-    in_order = F.array_sort(F.collect_list(F.struct("part", "after")))
+    in_order = F.array_sort(F.collect_list(F.struct("part", "before", "after")))
     first = F.struct(F.col("done").alias("k"), F.array().cast("array<struct<part:int,start:bigint>>").alias("starts"))
     walked = F.aggregate("moves", first, lambda acc, m: F.struct(
-        F.get(m["after"], acc["k"].cast("int")).alias("k"),
+        F.coalesce(F.map_from_arrays(m["before"], m["after"])[acc["k"]], acc["k"]).alias("k"),
         F.array_append(acc["starts"], F.struct(m["part"].alias("part"), acc["k"].alias("start"))).alias("starts")))
     return (moves.groupBy("user_id").agg(in_order.alias("moves")).join(known, "user_id")
             .select("user_id", F.inline(walked["starts"])))
@@ -129,7 +176,8 @@ class IntakeJob:
         self.progress = MergedLog(spark, f"{self.root}/done", PROGRESS.format(user=user), _furthest)
 
     def on_batch(self, batch: DataFrame, number: int) -> None:
-        self.verdicts.write(judged(batch, self.fixtures, self.progress.state(number)), number)
+        users = batch.select("user_id").distinct()
+        self.verdicts.write(judged(batch, self.fixtures, self.progress.state(number, only=users)), number)
         accepted = self.verdicts.read(number, number + 1).where(F.col("verdict") == "accepted")
         self.progress.write(_furthest(accepted.withColumnRenamed("match_order", "done")), number)
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +26,39 @@ class BatchLog:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, since: int = 0, before: int | None = None) -> DataFrame:
-        """Rows of batches from ``since`` up to, not including, ``before``; only their folders are read."""
-        try:
-            rows = self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            rows = self.spark.createDataFrame([], f"{self.schema}, batch bigint")
-        if since:
-            rows = rows.where(F.col("batch") >= since)
-        return rows if before is None else rows.where(F.col("batch") < before)
+        """Rows of batches from ``since`` up to, not including, ``before``."""
+        if before is None:
+            return self._folders(self.path).where(F.col("batch") >= since)
+        return self._folders(*[f"{self.path}/batch={n}" for n in range(since, before)])
+
+    def _folders(self, *paths: str) -> DataFrame:
+        """Rows of those folders that exist; a batch that wrote nothing has none."""
+        found = [path for path in paths if self._exists(path)]
+        schema = f"{self.schema}, batch bigint"
+        if not found:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.path).parquet(*found)
+
+    def _store(self, path: str):
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
+
+    def _exists(self, path: str) -> bool:
+        store, place = self._store(path)
+        return store.exists(place)
+
+    def last(self) -> int | None:
+        """The newest batch, by the names of the folders."""
+        store, place = self._store(self.path)
+        if not store.exists(place):
+            return None
+        names = [entry.getPath().getName() for entry in store.listStatus(place)]
+        return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
+
+    def drop(self, batch: int) -> None:
+        """Remove a batch nobody reads any more."""
+        store, place = self._store(f"{self.path}/batch={batch}")
+        store.delete(place, True)
 
 
 class MergedLog:
@@ -55,20 +77,28 @@ class MergedLog:
 
     def _changes(self, before: int | None) -> DataFrame:
         if before is None:
-            last = self.log.read().agg(F.max("batch")).first()[0]
+            last = self.log.last()
             before = 0 if last is None else last + 1
         since = max(before - 1, 0) // self.every * self.every
         return self.log.read(since, before).select(*self.columns)
 
-    def state(self, before: int | None = None) -> DataFrame:
-        """The state ahead of a batch, or the newest."""
-        return self.merge(self._changes(before)).select(*self.columns)
+    def state(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The state ahead of a batch, or the newest; ``only``: for the keys of that frame, which are looked up first."""
+        changes = self._changes(before)
+        if only is not None:
+            changes = changes.join(only, only.columns, "left_semi")
+        return self.merge(changes).select(*self.columns)
 
     def write(self, change: DataFrame, batch: int) -> None:
+        """Add a batch. A folded batch makes those before the last fold useless; they go, as batches come in order."""
         change = change.select(*self.columns)
-        if batch and batch % self.every == 0:
+        folds = batch and batch % self.every == 0
+        if folds:
             change = self.merge(self._changes(batch).unionByName(change)).select(*self.columns)
         self.log.write(change, batch)
+        if folds:
+            for old in range(max(0, batch - 2 * self.every), batch - self.every):
+                self.log.drop(old)
 
 
 def table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:

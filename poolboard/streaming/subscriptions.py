@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.outbox import latest_writes
 from .logs import MergedLog, job_root, run_to_end
 
-PARTIAL = ("user_id {user}, endpoint string, sub_id bigint, p256dh string, created_at timestamp, event_id bigint")
+PARTIAL = ("user_id {user}, endpoint string, sub_id bigint, p256dh string, auth string, created_at timestamp, event_id bigint")
 
 
 def stream_subscriptions(writes: DataFrame, root: str | None = None) -> DataFrame:
@@ -21,4 +21,4 @@ def stream_subscriptions(writes: DataFrame, root: str | None = None) -> DataFram
         log.write(latest_writes(batch.withColumn("sub_id", F.col("event_id"))), number)
 
     run_to_end(writes, on_batch, root)
-    return log.state().select("sub_id", "user_id", "endpoint", "p256dh")
+    return log.state().select("sub_id", "user_id", "endpoint", "p256dh", "auth")

@@ -44,9 +44,9 @@ def test_import_assign_and_rank(spark):
     matches = c.finished(spark, "1X2")
     who = c.users(spark, (1, "ana", True, False))
     sheet = spark.createDataFrame(
-        [(7, 1, "X", "", "", ""), (7, 2, "", "", "", "x"), (7, 3, "X", "", "", ""),
-         (8, 1, "X", "X", "", ""), (8, 2, "", "X", "", ""), (8, 3, "", "X", "", "")],
-        "set_id long, match_order long, gana_local string, empate string, gana_visitante string, old_pick string")
+        [(7, 1, 1, "X", "", "", ""), (7, 2, 2, "", "", "", "x"), (7, 3, 3, "X", "", "", ""),
+         (8, 1, 1, "X", "X", "", ""), (8, 2, 2, "", "X", "", ""), (8, 3, 3, "", "X", "", "")],
+        "set_id long, row long, match_order long, gana_local string, empate string, gana_visitante string, old_pick string")
     labels = spark.createDataFrame([(7, "  Set de Ana "), (8, "bad")], "set_id long, label string")
     read = sheets.sheet_rows(sheet, matches)
     pending = sheets.stage_sets(read, sheets.sheet_verdict(read, size=3), labels, c.pending(spark))
@@ -73,7 +73,7 @@ def test_rank_movement_and_annotations(spark):
     assert c.rows(moved, "username", "position", "prev_position", "movement", "steps") == [
         ("ana", 2, 1, "down", 1), ("bea", 3, 3, "none", 0), ("cai", 1, 2, "up", 1)]
     earlier = scoring.points_without(now_points, chosen, matches, [20])
-    assert c.by(earlier, "username", "total_points") == {"ana": 1, "bea": 0, "cai": 1}
+    assert c.by(earlier, "username", "before_points") == {"ana": 1, "bea": 0, "cai": 1}
     edges = spark.createDataFrame([(2, 1)], "user_id long, friend_id long")
     table = ranking.ranking_positions(now_points, c.pending(spark, ("set", 10, "1", None)), matches)
     seen = ranking.ranking_annotated(table, edges, 1)

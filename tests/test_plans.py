@@ -1,4 +1,4 @@
-"""Numbering, bounded lists, sources and the shape of physical plans."""
+"""Numbering, products, sources and the shape of physical plans."""
 
 import random
 
@@ -7,9 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import contest as c
-from poolboard.operators import fixtures, picks, ranking, scoring, stats
-from poolboard.plans import dense
+from poolboard.operators import fixtures, maintain, picks, ranking, scoring, stats
 from poolboard.plans.numbering import numbered, numbered_within
+from poolboard.plans.spread import for_each
 from poolboard.sources.groups import GROUPS, team_groups
 from poolboard.sources.projections import Relations
 from poolboard.sources.tables import read_relation, write_relation
@@ -39,12 +39,17 @@ def test_nothing_to_number(spark, scores):
     assert numbered_within(scores.where("false"), ["board"], [F.col("username")]).count() == 0
 
 
-def test_hot_group_is_numbered_across_tasks(spark, scores):
+def test_groups_of_any_size_are_numbered_across_tasks(spark, scores):
     order = [F.col("total_points").desc(), F.col("username")]
-    plain = numbered_within(scores, ["board"], order)
-    spread = numbered_within(scores, ["board"], order, task_rows=100)
-    assert "Window" in plain._jdf.queryExecution().executedPlan().toString()
-    assert c.rows(spread) == c.rows(plain)
+    plain = scores.withColumn("position", F.row_number().over(Window.partitionBy("board").orderBy(*order)).cast("long"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = numbered_within(scores, ["board"], order)
+        parts = spread.select("board", F.spark_partition_id().alias("p")).distinct().count()
+        assert c.rows(spread) == c.rows(plain)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert parts > 1
 
 
 def test_leaderboard_with_a_very_connected_viewer(spark):
@@ -54,19 +59,36 @@ def test_leaderboard_with_a_very_connected_viewer(spark):
     table = scoring.user_points(who, chosen, c.finished(spark, "1"))
     edges = spark.createDataFrame([(i, 1) for i in range(2, 201)] + [(1, 2)], "user_id long, friend_id long")
     plain = ranking.friend_leaderboard(table, edges, who)
-    spread = ranking.friend_leaderboard(table, edges, who, task_rows=50)
-    assert c.rows(spread) == c.rows(plain)
-    assert plain.where("viewer_id = 1").count() == 200
+    hub = plain.where("viewer_id = 1").orderBy("position").collect()
+    assert [r.position for r in hub] == list(range(1, 201))
+    assert [r.username for r in hub] == sorted(names, key=lambda n: (int(n[1:]) % 2, n))
     only = ranking.friend_leaderboard(table, edges, who, viewers=who.where("user_id = 2"))
     assert c.rows(only, "viewer_id", "user_id", "position") == [(2, 1, 1), (2, 2, 2)]
 
 
-def test_list_above_the_limit_fails_instead_of_losing_rows(spark, monkeypatch):
-    monkeypatch.setattr(dense, "LIST_LIMIT", 2)
-    small = c.finished(spark, "111")
-    with pytest.raises(Exception, match="do not make a contest"):
-        dense.for_each(c.people(spark, "ana"), small, ["match_order"]).collect()
-    assert dense.for_each(c.people(spark, "ana"), small.limit(2), ["match_order"]).count() == 2
+def test_every_row_meets_every_other_one(spark):
+    who, matches = c.people(spark, *[f"u{i}" for i in range(90)]), c.finished(spark, "1X2" * 30)
+    got = for_each(who.select("user_id"), matches, ["match_order"])
+    assert c.rows(got) == sorted(((u, m) for u in range(1, 91) for m in range(1, 91)), key=repr)
+
+
+def test_contests_of_two_thousand_fixtures(spark):
+    """What used to stop at a thousand fixtures."""
+    size = 2000
+    matches = c.finished(spark, "1" * size)
+    who = c.people(spark, "ana", "bea", "cai")
+    chosen = c.picks(spark, {1: "1" * size, 2: "1" * 1200 + "-" + "1" * 799})
+    assert c.by(picks.next_open_match(who, chosen, matches), "user_id", "next_order") == {1: None, 2: 1201, 3: 1}
+    assert c.rows(stats.streaks(who, chosen, matches)) == [(1, 2000, 2000), (2, 1200, 799), (3, 0, 0)]
+    assert maintain.synthetic_picks(who, matches, chosen).count() == 1 + size
+    cards = picks.pick_card_state(who, chosen, matches).groupBy("user_id", "state").count()
+    assert c.rows(cards) == [(1, "locked", 2000), (2, "enabled", 1), (2, "locked", 1999),
+                             (3, "disabled", 1999), (3, "enabled", 1)]
+    assert picks.picks_digest(who, chosen, matches, size=size).count() == size
+    none = c.pending(spark)
+    assert picks.pick_map(chosen, who, none, matches).count() == 2 * size - 1
+    grid = picks.pick_matrix(chosen, who, none, matches.where("match_order in (72, 73, 2000)"))
+    assert grid.columns[-2:] == ["p73", "p2000"] and c.rows(grid, "p72", "p73", "p2000") == [("L", "L", "L")] * 2
 
 
 def test_group_map_has_twelve_groups_of_four(spark):

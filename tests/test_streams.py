@@ -120,15 +120,63 @@ def test_merged_log_folds_every_few_batches(spark):
     assert c.rows(log.log.read(6, 7), "k", "n") == [("a", 7), ("b0", 4), ("b1", 3)]
 
 
-def test_messages_once_per_match_that_turns_finished(spark, log_rows, game, tmp_path):
+def test_a_message_for_each_turn_however_the_edits_are_cut(spark, log_rows, game, tmp_path):
     who, chosen, matches = game
     subs = spark.createDataFrame([(1, 1, "e"), (2, 2, "e")], "sub_id long, user_id long, endpoint string")
-    got = stream_finish_outbox(in_files(spark, log_rows, tmp_path / "one", ["event_id"], 1), who, chosen, matches, subs)
-    after = scoring.match_results_apply(matches, log_rows)
-    turned = after.where("status = 'finished' and match_order > 1")
-    table = ranking.notify_ranking(scoring.user_points(who, chosen, after)).withColumn(
-        "prev_position", F.lit(None).cast("long"))
-    assert c.rows(got) == c.rows(outbox.finish_outbox(turned, subs, chosen, table))
+    wanted, done = [], {r.match_id: r.status == "finished" for r in matches.collect()}
+    edits = sorted(scoring.valid_edits(log_rows).collect(), key=lambda e: (e.ts, e.event_id))
+    for e in edits:  # the rule, one edit at a time
+        if e.action == "finish" and not done[e.match_id]:
+            after = scoring.match_results_apply(matches, log_rows.where(F.col("event_id") <= e.event_id))
+            table = ranking.notify_ranking(scoring.user_points(who, chosen, after)).withColumn(
+                "prev_position", F.lit(None).cast("long"))
+            sent = outbox.finish_outbox(after.where(F.col("match_id") == e.match_id), subs, chosen, table)
+            wanted += [(e.event_id, *r) for r in c.rows(sent)]
+        done[e.match_id] = e.action == "finish"
+    assert len(wanted) > 10
+    for parts in (1, 4, 25):
+        stream = in_files(spark, log_rows, tmp_path / f"cut{parts}", ["event_id"], parts)
+        got = stream_finish_outbox(stream, who, chosen, matches, subs)
+        assert c.rows(got) == sorted(wanted, key=repr), parts
+
+
+def test_old_batches_go_after_a_fold(spark):
+    def total(df):
+        return df.groupBy("k").agg(F.sum("n").alias("n"))
+
+    log = MergedLog(spark, fresh_path(spark, "folds"), "k string, n bigint", total, every=2)
+    for i in range(9):
+        log.write(spark.createDataFrame([("a", 1)], "k string, n bigint"), i)
+    assert c.rows(log.state()) == [("a", 9)] and log.log.last() == 8
+    assert log.log.read(0, 6).count() == 0 and log.log.read(6, 9).count() > 0
+    only = spark.createDataFrame([("b",)], "k string")
+    assert log.state(only=only).count() == 0
+
+
+def test_intake_of_a_hundred_matches_over_many_partitions(spark):
+    """More matches than a contest has, a user spread over partitions, and any cut."""
+    rows = [(1 if i % 4 else 2, i * 37 % 101 + 1, "1", datetime(2026, 6, 11) + timedelta(seconds=i), i, 1, 1)
+            for i in range(6000)]
+    attempts = spark.createDataFrame(
+        rows, "user_id long, match_id long, predicted_result string, created_at timestamp, order_key long, "
+              "line_number int, part_key long")
+    matches = spark.createDataFrame([(m, m) for m in range(1, 101)], "match_id long, match_order long")
+    wanted = replay(attempts.collect(), {m: m for m in range(1, 101)})
+    assert sum(v == "accepted" for v in wanted.values()) > 60
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        none = spark.createDataFrame([], "user_id long, done long")
+        for cuts in ([6000], [1500, 4000, 6000]):
+            got, done, start = {}, none, 0
+            for end in cuts:
+                part = attempts.where((F.col("order_key") >= start) & (F.col("order_key") < end))
+                found = intake.judged(part, matches, done).checkpoint()
+                got |= {(v.user_id, v.match_id, v.order_key, v.line_number, v.part_key): v.verdict for v in found.collect()}
+                more = found.where("verdict = 'accepted'").groupBy("user_id").agg(F.max("match_order").alias("done"))
+                done, start = done.unionByName(more).groupBy("user_id").agg(F.max("done").alias("done")), end
+            assert got == wanted
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_subscriptions_keep_the_last_write(spark, small_dir, tmp_path):

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 import contest as c
 from poolboard.functions.ids import label_uuid
-from poolboard.operators import admin, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
+from poolboard.operators import admin, fixtures, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
+
+
+SHEET = ("set_id long, row long, match_order string, gana_local string, empate string, gana_visitante string, "
+         "old_pick string")
 
 
 def points(spark, people, chosen, matches):
@@ -186,24 +190,44 @@ def test_removing_a_friend_leaves_the_edge_the_other_side_made(spark):
 
 def test_sheet_rules_in_order(spark):
     sheet = spark.createDataFrame(
-        [(1, 1, "x ", "X", None, None), (1, 2, "", None, "X", "1"), (1, 3, None, " x", "", None),
-         (1, 4, "", "", "", " x"), (1, 5, "", "", "", "9"), (1, 9, "X", "", "", ""), (1, 0, "X", "", "", ""),
-         (1, None, "X", "", "", "")],
-        "set_id long, match_order long, gana_local string, empate string, gana_visitante string, old_pick string")
+        [(1, 9, "1", "x ", "X", None, None), (1, 8, "2", "", None, "\tX\u00a0", "1"), (1, 7, "3.0", None, "\u2003x\r\n", "", None),
+         (1, 6, "4", "", "", "", " x"), (1, 5, "5", "", "", "", "9"), (1, 4, "9", "X", "", "", ""), (1, 3, "0", "X", "", "", ""),
+         (1, 2, None, "X", "", "", ""), (1, 1, "uno", "X", "", "", ""), (1, 0, "1.5", "X", "", "", "")], SHEET)
     read = sheets.sheet_rows(sheet, c.finished(spark, "11111"))
     assert c.rows(sheets.sheet_normalise(read)) == [(1, 2, 20, "2"), (1, 3, 30, "X"), (1, 4, 40, "X")]
-    assert c.rows(sheets.sheet_errors(read)) == [
-        (1, 1, "Fila #1: tiene más de una X marcada"), (1, 5, "Fila #5: sin pronóstico"),
-        (1, 9, "Fila #9: partido no encontrado")]
+    assert c.rows(sheets.sheet_errors(read), "set_id", "row", "error") == [
+        (1, 0, "Fila #1.5: partido no encontrado"), (1, 4, "Fila #9: partido no encontrado"),
+        (1, 5, "Fila #5: sin pronóstico"), (1, 9, "Fila #1: tiene más de una X marcada")]
+
+
+def test_a_blank_label_stages_nothing(spark):
+    sheet = spark.createDataFrame([(s, 1, "1", "X", "", "", "") for s in (1, 2)], SHEET)
+    read = sheets.sheet_rows(sheet, c.finished(spark, "1"))
+    labels = spark.createDataFrame([(1, "\u00a0 \t"), (2, "\t juan\u00a0")], "set_id long, label string")
+    staged = sheets.stage_sets(read, sheets.sheet_verdict(read, size=1), labels, c.pending(spark))
+    assert c.rows(staged, "label", "match_id") == [("juan", 10)]
+
+
+def test_an_export_filled_in_can_be_imported(spark, tmp_path):
+    matches = c.finished(spark, "1X2").withColumn("match_date", F.lit("2026-06-11").cast("date"))
+    blank = fixtures.fixture_export(matches)
+    marked = {1: "Gana Local", 2: "Empate", 3: "Gana Visitante"}
+    filled = blank
+    for order, column in marked.items():
+        filled = filled.withColumn(column, F.when(F.col("#") == order, " x").otherwise(F.col(f"`{column}`")))
+    path = str(tmp_path / "filled")
+    filled.withColumn("set_id", F.lit("juan")).coalesce(1).orderBy("#").write.partitionBy("set_id").option(
+        "header", True).csv(path)
+    read = sheets.sheet_rows(sheets.read_filled(spark, path), matches)
+    assert c.rows(sheets.sheet_normalise(read)) == [("juan", 1, 10, "1"), ("juan", 2, 20, "X"), ("juan", 3, 30, "2")]
 
 
 def test_verdict_shows_ten_errors_and_counts_the_rest(spark):
     sheet = spark.createDataFrame(
-        [(1, i, "", "", "", "") for i in range(1, 13)] + [(2, 1, "X", "", "", "")],
-        "set_id long, match_order long, gana_local string, empate string, gana_visitante string, old_pick string")
+        [(1, 20 - i, str(i), "", "", "", "") for i in range(1, 13)] + [(2, 1, "1", "X", "", "", "")], SHEET)
     got = {r.set_id: r for r in sheets.sheet_verdict(sheets.sheet_rows(sheet, c.finished(spark, "1" * 12))).collect()}
     lines = got[1].message.split("\n")
-    assert (lines[0], len(lines), lines[1], lines[-1]) == ("Errores:", 12, "Fila #1: sin pronóstico", "...y 2 más")
+    assert (lines[0], len(lines), lines[1], lines[-1]) == ("Errores:", 12, "Fila #12: sin pronóstico", "...y 2 más")
     assert got[2].message == "Se encontraron 1 pronósticos válidos, se necesitan 72."
 
 
@@ -258,9 +282,9 @@ def test_cards_follow_the_next_open_match(spark):
 
 def test_digest_only_for_full_cards(spark):
     matches = c.finished(spark, "1X2")
-    got = picks.digest_lines(picks.picks_digest(c.people(spark, "ana", "bea"), c.picks(spark, {1: "1X2", 2: "11-"}),
-                                                matches, size=3))
+    got = picks.picks_digest(c.people(spark, "ana", "bea"), c.picks(spark, {1: "1X2", 2: "11-"}), matches, size=3)
     assert c.rows(got, "user_id", "match_order", "pick") == [(1, 1, "Local"), (1, 2, "Empate"), (1, 3, "Visitante")]
+    assert c.rows(got, "mail_to", "display_name") == [("ana@example.org", "ana")] * 3
 
 
 def test_calendar_audit_finds_wrong_days_and_order(spark):
