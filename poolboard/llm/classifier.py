@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,10 +148,10 @@ def scores(docs: DataFrame, model: Ranking, doc_id: str = "doc_id", text: str =
 
 def good_documents(docs: DataFrame, model: Ranking, text: str = "text") -> DataFrame:
     """The rows whose text the ranking accepts, with all columns and without a shuffle."""
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        x = np.array([features(encoded(t)) for t in texts], dtype=np.float64).reshape(-1, N_FEATURES)
-        return pd.Series(model.score(x) >= 0.5)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        x = np.array([features(encoded(t)) for t in texts.to_pylist()], dtype=np.float64).reshape(-1, N_FEATURES)
+        return pa.array(model.score(x) >= 0.5, pa.bool_())
 
     return docs.where(accepted(F.col(text)))
 

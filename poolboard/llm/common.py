@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from poolboard.session import fresh_path
+from poolboard.session import ensure_shared_dir, fresh_path
 
 #: ASCII white space, the only white space that separates words here.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -24,9 +23,14 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below ``spark.checkpoint.dir``; a local session without that setting gets a folder."""
+    return fresh_path(ensure_shared_dir(spark), f"llm-{name}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: it is computed once and survives lost executors."""
-    path = fresh_path(df.sparkSession, f"llm-{name}")
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -117,13 +121,16 @@ def key_filter(keys: DataFrame, key: str, hashed: bool = False) -> bytes:
     return bytes(out)
 
 
+def in_filter(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % FILTER_BITS
+    return np.frombuffer(bits, dtype=np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
 def may_be_in(bits: bytes, key: str) -> Column:
     """Whether the filter may hold the hash of ``key``; never true for null."""
-    @F.pandas_udf("boolean")
-    def test(hashes: pd.Series) -> pd.Series:
-        at = hashes.to_numpy() % FILTER_BITS
-        held = np.frombuffer(bits, dtype=np.uint8)
-        return pd.Series(held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def test(hashes: pa.Array) -> pa.Array:
+        return pa.array(in_filter(bits, hashes.to_numpy(zero_copy_only=False)))
 
     return F.col(key).isNotNull() & test(F.xxhash64(key))
 
@@ -150,8 +157,8 @@ def range_cuts(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
 
 def range_of(cuts: list[float], doc_id: str) -> Column:
     """The range of an id, in ascending order; a null id has the last one."""
-    @F.pandas_udf("int")
-    def find(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype("int32"))
+    @F.arrow_udf("int")
+    def find(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="left").astype("int32"))
 
     return F.when(F.col(doc_id).isNull(), F.lit(len(cuts) + 1)).otherwise(find(F.coalesce(doc_id, F.lit(0))))

@@ -5,10 +5,11 @@ sets share one. The index list of a shingle is sorted by set size; sizes and pos
 blocks of it at once. Answers are reused between sets:
 
 1. Each run of similar sizes in a list has a leader in its middle. All members are compared with their leader and with
-   their neighbour, a number of pairs that is linear in the lists. The links found are joined to components.
+   their neighbour (in short lists with all), a number of pairs that is linear in the lists. The links found are joined
+   to components.
 2. Members of one component need no further answer. For the others the answers of the leader are used: set differences
    obey the triangle inequality, so the differences of two sets from their leader bound the difference between them, from
-   below and above. What neither this nor sizes nor positions decide is compared.
+   below and above; so do their parities. What neither this nor sizes nor positions decide is compared.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolboard.llm.common import (
-    arrow_schema, batch_slices, key_filter, lower_words, may_be_in, read_documents, stored, without,
+    arrow_schema, batch_slices, in_filter, key_filter, lower_words, read_documents, stored, without,
 )
 from poolboard.llm.components import components
 
@@ -30,6 +31,8 @@ from poolboard.llm.components import components
 FREQUENT = 1 << 17
 #: Times a shingle must occur in a slice of documents to be counted as a frequent one.
 OFTEN = 4
+#: Lists up to this length are compared in full in the first round.
+SHORT = 6
 #: Entries of an index list that are skipped together.
 BLOCK = 64
 #: Pairs a task remembers so as not to propose them again.
@@ -222,7 +225,7 @@ def ordered(a: bytes, b: bytes) -> tuple[bytes, bytes]:
 
 
 def first_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Lists with leaders, and the pairs of round one (only a and b set): members with their leader and neighbour."""
+    """The longer lists with leaders, and the pairs of round one (only a and b set)."""
     schema = arrow_schema(LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,9 +233,14 @@ def first_pairs(entries: DataFrame, percent: int) -> DataFrame:
         known: set[tuple] = set()
         for shingles, nodes, sizes, places in index_lists(batches, 4):
             heads = leaders(sizes, percent)
+            short = len(nodes) <= SHORT
             for k, head in enumerate(heads):
-                out.append((shingles[k], nodes[k], sizes[k], places[k], nodes[head], None, None))
-                for other in {head, k + 1 if k + 1 < len(heads) and heads[k + 1] == head else k}:
+                if short:
+                    others = range(k + 1, len(nodes))
+                else:
+                    out.append((shingles[k], nodes[k], sizes[k], places[k], nodes[head], None, None))
+                    others = {head, k + 1 if k + 1 < len(heads) and heads[k + 1] == head else k}
+                for other in others:
                     if other != k and may_link(sizes[k], places[k], sizes[other], places[other], percent):
                         pair = ordered(nodes[k], nodes[other])
                         if pair not in known:
@@ -252,7 +260,7 @@ def first_pairs(entries: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(sizes: list[int], places: list[int], parts: list[bytes], heads: list[bytes], apart: list[int | None],
-               percent: int) -> Iterator[tuple[int, int, bool]]:
+               parities: list[bytes], percent: int) -> Iterator[tuple[int, int, bool]]:
     """Pairs of a list that are still open, as indices: different components, not ruled out; True: known to link.
 
     A list is sorted by size. Each entry outside the largest component looks at the sizes that can link; blocks of it
@@ -285,8 +293,9 @@ def open_pairs(sizes: list[int], places: list[int], parts: list[bytes], heads: l
         most = (n[x] + n[y] - np.abs(far[y] - far[x])) // 2
         surely = known & ((n[x] + n[y] - far[y] - far[x]) // 2 >= need)
         keep = ~known | (most >= need)
-        for other, sure in zip(y[keep].tolist(), surely[keep].tolist(), strict=True):
-            yield x, other, sure
+        for other, sure, enough in zip(y[keep].tolist(), surely[keep].tolist(), need[keep].tolist(), strict=True):
+            if sure or least_apart(parities[x], parities[other]) <= sizes[x] + sizes[other] - 2 * enough:
+                yield x, other, sure
 
 
 def second_pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -296,8 +305,8 @@ def second_pairs(lists: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         known: set[tuple] = set()
-        for _, nodes, sizes, places, heads, parts, apart in index_lists(batches, 7):
-            for x, y, sure in open_pairs(sizes, places, parts, heads, apart, percent):
+        for _, nodes, sizes, places, heads, parts, apart, parities in index_lists(batches, 8):
+            for x, y, sure in open_pairs(sizes, places, parts, heads, apart, parities, percent):
                 pair = ordered(nodes[x], nodes[y])
                 if pair not in known:
                     known.add(pair)
@@ -312,7 +321,7 @@ def second_pairs(lists: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    rows = lists.select("shingle", "node", "n", "place", "leader", "component", "apart")
+    rows = lists.select("shingle", "node", "n", "place", "leader", "component", "apart", "parity")
     return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node").mapInArrow(
         run, "a binary, b binary, sure boolean")
 
@@ -381,16 +390,18 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
 
     lists = stored(first_pairs(postings(rows.select("text"), width, percent, late), percent), "lists")
     entries = lists.where("shingle IS NOT NULL").drop("a", "b")
-    first = answers(rows, lists.where("a IS NOT NULL").select("a", "b").distinct(), nodes, width, percent)
+    asked = lists.where("a IS NOT NULL").select("a", "b").distinct()
+    left = stored(possible(asked, nodes, percent), "possible-pairs")
+    first = answers(rows, left, nodes, width, percent)
     links = first.where("linked").select("a", "b")
     parts = components(links)
-    marked = (entries.join(parts.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
-              .withColumn("component", F.coalesce("component", "node"))
+    known = nodes.join(parts, "node", "left").select(
+        "node", "parity", F.coalesce("component", "node").alias("component"))
+    marked = (entries.join(known, "node")
               .withColumn("x", F.least("node", "leader")).withColumn("y", F.greatest("node", "leader"))
               .join(first.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), ["x", "y"], "left")
               .withColumn("apart", F.when(F.col("node") == F.col("leader"), F.lit(0)).otherwise(F.col("apart"))))
     more = second_pairs(marked, percent).groupBy("a", "b").agg(F.max("sure").alias("sure"))
-    asked = lists.where("a IS NOT NULL").select("a", "b").distinct()
     more = stored(more.join(asked, ["a", "b"], "left_anti"), "open-pairs")
     second = answers(rows, more.where("NOT sure"), nodes, width, percent)
     fresh = second.where("linked").select("a", "b").unionByName(more.where("sure").select("a", "b"))
@@ -409,22 +420,23 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
 
 
 def answers(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Exact answers of those pairs that may link: a, b, apart, linked."""
-    left = stored(possible(pairs, nodes, percent), "possible-pairs")
-    ends = left.select(F.col("a").alias("node")).union(left.select(F.col("b").alias("node"))).distinct()
+    """Exact answers of pairs: a, b, apart, linked."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = stored(sets_of(rows, nodes.select("node", "least").join(ends, "node"), width), "compared-sets")
-    return stored(compared(left, sets, percent), "answers")
+    return stored(compared(pairs, sets, percent), "answers")
 
 
 def sets_of(rows: DataFrame, near: DataFrame, width: int) -> DataFrame:
     """The shingles of the nodes of ``near`` (node, least id): node, shingles."""
     schema = arrow_schema("own binary, shingles binary")
+    bits = key_filter(near.select("least"), "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set()
         for batch in batch_slices(batches):
             out = []
-            for shingles in shingle_sets(batch.column(0), width):
+            picked = in_filter(bits, batch.column(0).to_numpy()) | batch.column(1).to_numpy(zero_copy_only=False)
+            for shingles in shingle_sets(batch.column(2).filter(pa.array(picked)), width):
                 node = signature(shingles)
                 if len(shingles) and node not in known:
                     known.add(node)
@@ -433,8 +445,8 @@ def sets_of(rows: DataFrame, near: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)],
                                                  schema=schema)
 
-    picked = rows.where(F.col("doc_id").isNull() | may_be_in(key_filter(near.select("least"), "least"), "doc_id"))
-    built = picked.select("text").mapInArrow(run, "own binary, shingles binary")
+    keyed = rows.select(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").isNull().alias("unnamed"), "text")
+    built = keyed.mapInArrow(run, "own binary, shingles binary")
     return (built.join(near.select("node"), F.col("own") == F.col("node")).select("node", "shingles")
             .dropDuplicates(["node"]))
 

@@ -21,12 +21,16 @@ MAGIC = b"CMRC1\0"
 #: Ids of a block; the last block of a segment is filled up with zeros.
 BLOCK = 2048
 #: Slots of the order-1 and order-2 tables; a power of two.
-SLOTS = 1024
+SLOTS = 512
 #: Frequencies add up to 4096 and move by a 32nd of the way to their target; 32 is the least an event has in a target.
 SCALE_BITS, RATE = 12, 5
 #: Three cumulative frequencies share a long, 16 bits each.
 FIELDS = 1 | 1 << 16 | 1 << 32
 TOP = (1 << SCALE_BITS) << 48
+#: The coder's range has up to 48 bits and gives 16 of them away below 2**32. It looks every second id: an id takes 12 at
+#: most, so at least 20 are left for the second.
+RANGE_BITS, DIGIT, CHECK = 48, 16, 2
+LEAST, REST = 1 << RANGE_BITS - DIGIT, (1 << RANGE_BITS - DIGIT) - 1
 
 
 def packed(one: int, two: int, three: int) -> int:
@@ -35,36 +39,44 @@ def packed(one: int, two: int, three: int) -> int:
 
 #: A 32nd of the target of each cumulative frequency after each event: high above the event, low up to it.
 STEP = np.array([packed(*[(128 - (4 - k) if k > event else k) for k in (1, 2, 3)]) for event in range(4)])
-#: Confidence after a miss (0 to 3) and after a hit (4 to 7), shifted above the id.
-SURER = np.array([0, 0, 0, 0, 1, 2, 3, 3]) << 16
+
+
+def hash2(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (before * 40503 + last * 30011) >> 5 & SLOTS - 1
+
+
+def hash1(last: np.ndarray) -> np.ndarray:
+    return (last * 40503) >> 3 & SLOTS - 1
+
+
+def hash0(ids: np.ndarray) -> np.ndarray:
+    return (ids * 40503) >> 7 & 0xFF
 
 
 class Model:
-    """Predictions and event frequencies of ``lanes`` blocks at once."""
+    """Predictions and event frequencies of ``lanes`` blocks at once.
+
+    A slot of ``two`` and ``one`` holds an id times four, plus how sure the guess is (0 to 3).
+    """
 
     def __init__(self, lanes: int) -> None:
         self.at = np.arange(lanes)
         self.at16, self.at256, self.at_slots = self.at * 16, self.at * 256, self.at * SLOTS
-        self.two = np.zeros(lanes * SLOTS, dtype=np.int64)
-        self.one = np.zeros(lanes * SLOTS, dtype=np.int64)
-        self.seen = np.zeros(lanes * 256, dtype=np.int64)
-        # cumulative frequencies before event 1, 2 and 3, by the two confidences (0..3)
+        self.two = np.zeros(lanes * SLOTS, dtype=np.int32)
+        self.one = np.zeros(lanes * SLOTS, dtype=np.int32)
+        self.seen = np.zeros(lanes * 256, dtype=np.int32)
+        # cumulative frequencies before event 1, 2 and 3, by the two confidences
         self.cumulative = np.full(lanes * 16, packed(1024, 2048, 3072))
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
-
-    def predict(self) -> None:
-        self.place2 = ((self.before * 40503 + self.last * 30011) >> 5 & SLOTS - 1) + self.at_slots
-        self.place1 = ((self.last * 40503) >> 3 & SLOTS - 1) + self.at_slots
-        slot2, slot1 = self.two.take(self.place2), self.one.take(self.place1)
-        self.guess2, self.sure2 = slot2 & 0xFFFF, slot2 >> 16
-        self.guess1, self.sure1 = slot1 & 0xFFFF, slot1 >> 16
+
+    def predict(self, place2: np.ndarray, place1: np.ndarray) -> None:
+        """Guesses and frequencies at the given slots."""
+        self.place2, self.place1 = place2, place1
+        self.slot2, self.slot1 = self.two.take(place2), self.one.take(place1)
+        self.guess2, self.guess1 = self.slot2 >> 2, self.slot1 >> 2
+        self.sure2, self.sure1 = self.slot2 & 3, self.slot1 & 3
         self.row = self.at16 + (self.sure2 << 2) + self.sure1
         self.borders = self.cumulative.take(self.row)
 
-    def slot(self, ids: np.ndarray) -> np.ndarray:
-        return (ids * 40503) >> 7 & 0xFF
-
     def interval(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of an event's part of the scale."""
         shift = event << 4
@@ -76,13 +88,13 @@ class Model:
         above = (((value * FIELDS) | FIELDS << 15) - self.borders) >> 15 & FIELDS
         return (above * FIELDS) >> 32 & 3
 
-    def update(self, ids: np.ndarray, event: np.ndarray, slot: np.ndarray) -> None:
+    def update(self, ids: np.ndarray, event: np.ndarray, hit1: np.ndarray, seen_at: np.ndarray) -> None:
         # a field moves by its target's 32nd less its own 32nd; borders stay apart by one at least
         self.cumulative[self.row] = self.borders + STEP.take(event) - (self.borders >> RATE & FIELDS * 0x7F)
-        self.two[self.place2] = SURER.take((ids == self.guess2) * 4 + self.sure2) | ids
-        self.one[self.place1] = SURER.take((ids == self.guess1) * 4 + self.sure1) | ids
-        self.seen[slot + self.at256] = ids
-        self.before, self.last = self.last, ids
+        four = ids << 2
+        self.two[self.place2] = np.where(event == 0, self.slot2 + (self.sure2 < 3), four)
+        self.one[self.place1] = np.where(hit1, self.slot1 + (self.sure1 < 3), four)
+        self.seen[seen_at] = ids
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -93,36 +105,43 @@ def encode_segment(ids: np.ndarray) -> bytes:
     padded[:count] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
     model = Model(lanes)
-    low, width = np.zeros(lanes, dtype=np.int64), np.full(lanes, (1 << 32) - 1, dtype=np.int64)
+    # the two ids before each one are known, and with them all slots
+    last, before = np.zeros_like(steps), np.zeros_like(steps)
+    last[1:], before[2:] = steps[:-1], steps[:-2]
+    places2, places1, places0 = hash2(before, last), hash1(last), hash0(steps)
+    slots = places0.astype(np.uint8)
+    for places, at in ((places2, model.at_slots), (places1, model.at_slots), (places0, model.at256)):
+        places += at
+    low, width = np.zeros(lanes, dtype=np.int64), np.full(lanes, (1 << RANGE_BITS) - 1, dtype=np.int64)
     digits = np.zeros((lanes, BLOCK + 4), dtype=np.int64)
     filled = np.zeros(lanes, dtype=np.int64)
-    events, slots = np.empty((BLOCK, lanes), dtype=np.uint8), np.empty((BLOCK, lanes), dtype=np.uint8)
+    events = np.empty((BLOCK, lanes), dtype=np.uint8)
     for t in range(BLOCK):
-        now = steps[t]
-        model.predict()
-        slot = model.slot(now)
-        event = 3 - (now == model.seen.take(slot + model.at256))
-        event[now == model.guess1] = 1
-        event[now == model.guess2] = 0
+        now, seen_at = steps[t], places0[t]
+        model.predict(places2[t], places1[t])
+        hit1 = now == model.guess1
+        event = (now != model.guess2) * np.where(hit1, 1, 3 - (now == model.seen.take(seen_at)))
         start, size = model.interval(event)
         unit = width >> SCALE_BITS
         low += unit * start
         width = unit * size
-        short = np.flatnonzero(width < 1 << 16)
-        if len(short):
-            digits[short, filled[short]] = low[short] >> 16
-            filled[short] += 1
-            low[short] = (low[short] & 0xFFFF) << 16
-            width[short] <<= 16
-        events[t], slots[t] = event, slot
-        model.update(now, event, slot)
-    for _ in range(2):
-        digits[model.at, filled] = low >> 16
+        if t % CHECK == CHECK - 1:
+            short = (width < LEAST).nonzero()[0]
+            while len(short):
+                digits[short, filled[short]] = low[short] >> RANGE_BITS - DIGIT
+                filled[short] += 1
+                low[short] = (low[short] & REST) << DIGIT
+                width[short] <<= DIGIT
+                short = short[width[short] < LEAST]
+        events[t] = event
+        model.update(now, event, hit1, seen_at)
+    for _ in range(RANGE_BITS // DIGIT):
+        digits[model.at, filled] = low >> RANGE_BITS - DIGIT
         filled += 1
-        low = (low & 0xFFFF) << 16
+        low = (low & REST) << DIGIT
     # carries run from the last digit to the first, for all blocks together
     for n in range(digits.shape[1] - 1, 0, -1):
-        digits[:, n - 1] += digits[:, n] >> 16
+        digits[:, n - 1] += digits[:, n] >> DIGIT
     words = (digits & 0xFFFF).astype("<u2")
     table, body = [], []
     for lane in range(lanes):
@@ -148,7 +167,7 @@ def decode_segment(raw: bytes) -> np.ndarray:
     table = list(struct.iter_unpack("<IHHH", raw[at:at + 10 * lanes]))
     at += 10 * lanes
     most = [max(row[k] for row in table) if table else 0 for k in (1, 2, 3)]
-    digits = np.zeros((lanes, most[0] + 2), dtype=np.int64)
+    digits = np.zeros((lanes, max(3, most[0]) + 3), dtype=np.int64)
     slots, fresh = np.zeros((lanes, most[1] + 1), dtype=np.int64), np.zeros((lanes, most[2] + 1), dtype=np.int64)
     for lane, (_, a, b, c) in enumerate(table):
         digits[lane, :a] = np.frombuffer(raw, "<u2", a, at)
@@ -156,31 +175,38 @@ def decode_segment(raw: bytes) -> np.ndarray:
         fresh[lane, :c] = np.frombuffer(raw, "<u2", c, at + 2 * a + b)
         at += 2 * a + b + 2 * c
     model = Model(lanes)
-    code = digits[:, 0] << 16 | digits[:, 1]
-    width = np.full(lanes, (1 << 32) - 1, dtype=np.int64)
-    read, slot_at, fresh_at = np.full(lanes, 2), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
+    code = digits[:, 0] << 2 * DIGIT | digits[:, 1] << DIGIT | digits[:, 2]
+    width = np.full(lanes, (1 << RANGE_BITS) - 1, dtype=np.int64)
+    read, slot_at, fresh_at = np.full(lanes, 3), np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
     out = np.empty((BLOCK, lanes), dtype=np.int64)
+    last = before = np.zeros(lanes, dtype=np.int64)
     for t in range(BLOCK):
-        model.predict()
+        model.predict(hash2(before, last) + model.at_slots, hash1(last) + model.at_slots)
         unit = width >> SCALE_BITS
         event = model.event_at(np.minimum(code // unit, (1 << SCALE_BITS) - 1))
         start, size = model.interval(event)
         code -= unit * start
         width = unit * size
         now = np.where(event == 0, model.guess2, model.guess1)
-        held = np.flatnonzero(event == 2)
-        now[held] = model.seen[slots[held, slot_at[held]] + held * 256]
-        slot_at[held] += 1
-        new = np.flatnonzero(event == 3)
-        now[new] = fresh[new, fresh_at[new]]
-        fresh_at[new] += 1
-        short = np.flatnonzero(width < 1 << 16)
-        if len(short):
-            code[short] = code[short] << 16 | digits[short, read[short]]
-            read[short] = np.minimum(read[short] + 1, digits.shape[1] - 1)
-            width[short] <<= 16
+        held = (event == 2).nonzero()[0]
+        place = slot_at[held]
+        now[held] = model.seen[slots[held, place] + model.at256[held]]
+        slot_at[held] = place + 1
+        new = (event == 3).nonzero()[0]
+        place = fresh_at[new]
+        now[new] = fresh[new, place]
+        fresh_at[new] = place + 1
+        if t % CHECK == CHECK - 1:
+            short = (width < LEAST).nonzero()[0]
+            while len(short):
+                at_digit = read[short]
+                code[short] = code[short] << DIGIT | digits[short, at_digit]
+                read[short] = at_digit + 1
+                width[short] <<= DIGIT
+                short = short[width[short] < LEAST]
         out[t] = now
-        model.update(now, event, model.slot(now))
+        model.update(now, event, now == model.guess1, hash0(now) + model.at256)
+        before, last = last, now
     ids = np.ascontiguousarray(out.T).astype("<u4")
     for lane, row in enumerate(table):
         if zlib.crc32(ids[lane].tobytes()) != row[0]:

@@ -13,9 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from poolboard.llm import range_coder
-from poolboard.llm.common import arrow_schema, map_rows, range_cuts, read_documents
+from poolboard.llm.common import arrow_schema, map_rows, range_cuts, read_documents, shared_path
 from poolboard.llm.tokens import tokenizer_path, word_encoder
-from poolboard.session import fresh_path
 
 #: Ids of a segment; a document always lies in one segment, so a longer document makes a longer segment.
 SEGMENT = 1024 * range_coder.BLOCK
@@ -111,6 +110,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "llm-token-files")
+    path = shared_path(spark, "token-files")
     write_token_files(read_documents(spark, sf_dir), path, tokenizer_path("word_bpe_49k.json"))
     return read_token_files(spark, path)

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers before it starts anew; bounds its memory to some 80 MB.
-MEMO_WORDS = 400_000
+#: Words of a generation; a worker remembers two of them, some 120 MB.
+MEMO_WORDS = 300_000
 #: A longer run without white space is encoded but not remembered.
 MEMO_LENGTH = 64
 #: Marks the end of a word in a joined call; the library cuts a text there before anything else.
@@ -44,7 +44,9 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.library = load(path)
         self.separator = self.library.token_to_id(SEPARATOR)
-        self.known: dict[str, bytes] = {}
+        #: Words met lately, and those before: who is met again moves up, the others go with their generation.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends[[n for token, n in self.library.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -84,16 +86,21 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        own = [self.known.get(w) for w in words]
+        if len(self.young) > MEMO_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        own = [young.get(w) for w in words]
+        for n in [n for n, ids in enumerate(own) if ids is None]:
+            ids = old.get(words[n])
+            if ids is not None:
+                own[n] = young[words[n]] = ids
         new = [n for n, ids in enumerate(own) if ids is None]
         if new:
-            if len(self.known) + len(new) > MEMO_WORDS:
-                self.known.clear()
             unseen = [words[n] for n in new]
             for n, w, ids in zip(new, unseen, self.ids(unseen), strict=True):
                 own[n] = ids
                 if len(w) <= MEMO_LENGTH:
-                    self.known[w] = ids
+                    young[w] = ids
         pool = np.frombuffer(b"".join(own), dtype="<u4")
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) >> 2
         place = np.cumsum(sizes) - sizes

@@ -151,7 +151,7 @@ def test_blocks_of_long_lists_lose_nothing(monkeypatch):
             sizes, places, parts = (list(c) for c in zip(*entries, strict=True))
             heads = [b"%d" % h for h in jaccard.leaders(sizes, 80)]
             found = {tuple(sorted(p[:2])) for p in
-                     jaccard.open_pairs(sizes, places, parts, heads, [None] * len(sizes), 80)}
+                     jaccard.open_pairs(sizes, places, parts, heads, [None] * len(sizes), [bytes(8)] * len(sizes), 80)}
             most = max(set(parts), key=parts.count)
             assert parts.count(most) and found == {
                 (x, y) for x in range(len(sizes)) for y in range(x + 1, len(sizes)) if parts[x] != parts[y]
