@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,7 +19,7 @@ from poolboard.session import ensure_shared_dir, fresh_path
 #: ASCII white space, the only white space that separates words here.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of an Arrow batch that are turned into Python objects at once, by its mean row.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +49,21 @@ def encoded(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batch_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches of about ``SLICE_BYTES``, without copying."""
     for batch in batches:
         rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-        pa.default_memory_pool().release_unused()  # workers live on after a task
+        give_back()
 
 
 def lower_words(texts: pa.Array) -> pa.ListArray:

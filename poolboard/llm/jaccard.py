@@ -1,12 +1,13 @@
 """Exact near-duplicate groups: documents whose word shingle sets have a Jaccard similarity of a bound or more.
 
-Equal sets are one node from the start. Sets are joined over the shingles of their prefixes (rare ones first): linked
-sets share one. The index list of a shingle is sorted by set size; sizes and positions rule out most of a list, whole
-blocks of it at once. Answers are reused between sets:
+Equal sets are one node from the start. Sets are joined over the shingles of their prefixes (rare ones first), one
+longer than a single shared shingle would need, so linked sets share two. The index list of a shingle is sorted by set
+size; sizes and positions rule out most of a list, whole blocks of it at once. Answers are reused between sets:
 
 1. Each run of similar sizes in a list has a leader in its middle. All members are compared with their leader and with
-   their neighbour (in short lists with all), a number of pairs that is linear in the lists. The links found are joined
-   to components.
+   their neighbour, a number of pairs that is linear in the lists. Short lists are taken apart into all pairs, and those
+   that meet in two of them are compared; sets that share two prefix shingles otherwise meet in a long list. The links
+   found are joined to components.
 2. Members of one component need no further answer. For the others the answers of the leader are used: set differences
    obey the triangle inequality, so the differences of two sets from their leader bound the difference between them, from
    below and above; so do their parities. What neither this nor sizes nor positions decide is compared.
@@ -14,6 +15,7 @@ blocks of it at once. Answers are reused between sets:
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,8 @@ from poolboard.llm.components import components
 FREQUENT = 1 << 17
 #: Times a shingle must occur in a slice of documents to be counted as a frequent one.
 OFTEN = 4
-#: Lists up to this length are compared in full in the first round.
-SHORT = 6
+#: Lists up to this length are taken apart into all their pairs in the first round.
+SHORT = 10
 #: Entries of an index list that are skipped together.
 BLOCK = 64
 #: Pairs a task remembers so as not to propose them again.
@@ -46,7 +48,8 @@ def needed(n, m, percent: int):
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n + percent * n // -100 + 1
+    """Places in which a set shares two shingles with every set it links with (one, if they need no more)."""
+    return min(n, n + percent * n // -100 + 2)
 
 
 def spread(x: np.ndarray) -> np.ndarray:
@@ -105,7 +108,9 @@ def least_apart(a: bytes, b: bytes) -> int:
 
 
 SETS = "doc_id bigint, n_shingles bigint, node binary, parity binary, shingle bigint, often bigint"
-LISTS = "shingle bigint, node binary, n int, place int, leader binary, a binary, b binary"
+LISTS = "shingle bigint, node binary, n int, place int, leader binary, a binary, b binary, met int"
+#: Meetings after which a pair is compared.
+TWICE = 2
 
 
 def set_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -206,8 +211,8 @@ def index_lists(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[lis
 
 
 def may_link(n: int, i: int, m: int, j: int, percent: int) -> bool:
-    """Whether sets of n and m with their first common shingle at places i and j can reach the similarity."""
-    return 100 * min(n, m) >= percent * max(n, m) and 1 + min(n - i - 1, m - j - 1) >= needed(n, m, percent)
+    """Whether sets of n and m with their first or second common shingle at places i and j can reach the similarity."""
+    return 100 * min(n, m) >= percent * max(n, m) and 1 + min(n - i, m - j) >= needed(n, m, percent)
 
 
 def leaders(sizes: list[int], percent: int) -> list[int]:
@@ -225,12 +230,15 @@ def ordered(a: bytes, b: bytes) -> tuple[bytes, bytes]:
 
 
 def first_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """The longer lists with leaders, and the pairs of round one (only a and b set)."""
+    """The longer lists with leaders, and the pairs of round one (a, b and met) with their meetings.
+
+    Pairs with a leader or neighbour, and those of sets so small that one shared shingle may do, count as met twice.
+    """
     schema = arrow_schema(LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        known: set[tuple] = set()
+        met: Counter = Counter()
         for shingles, nodes, sizes, places in index_lists(batches, 4):
             heads = leaders(sizes, percent)
             short = len(nodes) <= SHORT
@@ -238,20 +246,20 @@ def first_pairs(entries: DataFrame, percent: int) -> DataFrame:
                 if short:
                     others = range(k + 1, len(nodes))
                 else:
-                    out.append((shingles[k], nodes[k], sizes[k], places[k], nodes[head], None, None))
+                    out.append((shingles[k], nodes[k], sizes[k], places[k], nodes[head], None, None, None))
                     others = {head, k + 1 if k + 1 < len(heads) and heads[k + 1] == head else k}
                 for other in others:
                     if other != k and may_link(sizes[k], places[k], sizes[other], places[other], percent):
-                        pair = ordered(nodes[k], nodes[other])
-                        if pair not in known:
-                            known.add(pair)
-                            out.append((None, None, None, None, None, *pair))
-            if len(known) > REMEMBERED:
-                known.clear()
+                        once = short and needed(sizes[k], sizes[other], percent) >= TWICE
+                        met[ordered(nodes[k], nodes[other])] += 1 if once else TWICE
+            if len(met) > REMEMBERED:
+                out += [(None, None, None, None, None, *pair, n) for pair, n in met.items()]
+                met.clear()
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
                 out = []
+        out += [(None, None, None, None, None, *pair, n) for pair, n in met.items()]
         if out:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
@@ -281,14 +289,15 @@ def open_pairs(sizes: list[int], places: list[int], parts: list[bytes], heads: l
     for x in np.flatnonzero(part != largest).tolist():
         low, high = np.searchsorted(n, -(-percent * n[x] // 100)), np.searchsorted(n, 100 * n[x] // percent, "right")
         blocks = np.arange(low // BLOCK, -(-high // BLOCK))
-        blocks = blocks[np.minimum(room[blocks], n[x] - at[x]) >= needed(n[x], np.maximum(least[blocks], n[low]), percent)]
+        blocks = blocks[np.minimum(room[blocks], n[x] - at[x]) + 1 >= needed(n[x], np.maximum(least[blocks], n[low]), percent)]
         if not len(blocks):
             continue
         y = (blocks[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
         y = y[(y >= low) & (y < high)]
         y = y[(part[y] != part[x]) & ((part[y] == largest) | (y > x))]
         need = needed(n[x], n[y], percent)
-        y, need = (z[np.minimum(n[x] - at[x], n[y] - at[y]) >= need] for z in (y, need))
+        able = np.minimum(n[x] - at[x], n[y] - at[y]) + 1 >= need  # it may be the second shingle they share
+        y, need = y[able], need[able]
         known = (head[y] == head[x]) & (far[y] >= 0) & (far[x] >= 0)
         most = (n[x] + n[y] - np.abs(far[y] - far[x])) // 2
         surely = known & ((n[x] + n[y] - far[y] - far[x]) // 2 >= need)
@@ -389,8 +398,9 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     nodes = stored(nodes, "nodes")
 
     lists = stored(first_pairs(postings(rows.select("text"), width, percent, late), percent), "lists")
-    entries = lists.where("shingle IS NOT NULL").drop("a", "b")
-    asked = lists.where("a IS NOT NULL").select("a", "b").distinct()
+    entries = lists.where("shingle IS NOT NULL").drop("a", "b", "met")
+    asked = (lists.where("a IS NOT NULL").groupBy("a", "b").agg(F.sum("met").alias("met"))
+             .where(F.col("met") >= TWICE).select("a", "b"))
     left = stored(possible(asked, nodes, percent), "possible-pairs")
     first = answers(rows, left, nodes, width, percent)
     links = first.where("linked").select("a", "b")

@@ -24,7 +24,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Share of small letters and spaces among the characters, 0.05 at least: plain prose weighs most."""
-    plain = F.length(text) - F.length(F.regexp_replace(text, "[a-z ]", ""))
+    plain = F.length(text) - F.length(F.translate(text, "abcdefghijklmnopqrstuvwxyz ", ""))
     return F.greatest(F.lit(0.05), F.coalesce(plain / F.nullif(F.length(text), F.lit(0)), F.lit(0.0)))
 
 

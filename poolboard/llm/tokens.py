@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words of a generation; a worker remembers two of them, some 120 MB.
-MEMO_WORDS = 300_000
+#: Words of a generation; a worker remembers two of them, some 80 MB.
+MEMO_WORDS = 200_000
 #: A longer run without white space is encoded but not remembered.
 MEMO_LENGTH = 64
 #: Marks the end of a word in a joined call; the library cuts a text there before anything else.
