@@ -10,8 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words of a generation; a worker remembers two of them, some 80 MB.
-MEMO_WORDS = 200_000
+#: Words of a generation; a worker remembers two of them, some 40 MB.
+MEMO_WORDS = 100_000
+#: Letters of the texts that are looked up together.
+LETTERS = 2 << 20
+#: Words of a library call; the library takes some hundred bytes for each letter of a call.
+CALL_WORDS = 8_000
 #: A longer run without white space is encoded but not remembered.
 MEMO_LENGTH = 64
 #: Marks the end of a word in a joined call; the library cuts a text there before anything else.
@@ -67,22 +71,37 @@ class WordEncoder:
                 found[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 odd.append(w)
-        for group, joiner in ((plain, " "), (odd, SEPARATOR)):
-            if group:
-                joined = self.library.encode_batch_fast([joiner.join(group)], add_special_tokens=False)[0].ids
-                ids = np.array(joined, dtype="<u4")
-                if joiner == " ":
-                    stops = (np.flatnonzero(self.ends[ids])[np.cumsum(pieces) - 1] + 1) * 4
-                    starts = [0, *stops[:-1].tolist()]
-                else:
-                    cuts = np.flatnonzero(ids == self.separator) * 4
-                    starts, stops = [0, *(cuts + 4).tolist()], np.append(cuts, ids.nbytes)
-                raw = ids.tobytes()
-                found.update({w: raw[a:b] for w, a, b in zip(group, starts, stops.tolist(), strict=True)})
+        for at in range(0, len(plain), CALL_WORDS):
+            group = plain[at:at + CALL_WORDS]
+            ids = self.joined(" ".join(group))
+            stops = (np.flatnonzero(self.ends[ids])[np.cumsum(pieces[at:at + CALL_WORDS]) - 1] + 1) * 4
+            self.cut(found, group, ids, np.append(0, stops[:-1]), stops)
+        for at in range(0, len(odd), CALL_WORDS):
+            group = odd[at:at + CALL_WORDS]
+            ids = self.joined(SEPARATOR.join(group))
+            cuts = np.flatnonzero(ids == self.separator) * 4
+            self.cut(found, group, ids, np.append(0, cuts + 4), np.append(cuts, ids.nbytes))
         return [found[w] for w in words]
 
+    def joined(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    @staticmethod
+    def cut(found: dict[str, bytes], words: list[str], ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        raw = ids.tobytes()
+        found.update({w: raw[a:b] for w, a, b in zip(words, starts.tolist(), stops.tolist(), strict=True)})
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text, null as empty."""
+        out, start, letters = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            letters += len(text or "")
+            if letters > LETTERS or end == len(texts):
+                out += self.some(texts[start:end])
+                start, letters = end, 0
+        return out
+
+    def some(self, texts: list[str | None]) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
