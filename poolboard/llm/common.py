@@ -57,10 +57,10 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batch_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of Arrow batches of about ``SLICE_BYTES``, without copying."""
+def batch_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of about ``size`` bytes, without copying."""
     for batch in batches:
-        rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
         give_back()

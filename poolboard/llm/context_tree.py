@@ -1,14 +1,16 @@
-"""Language-model scores by context-tree weighting over the bytes of words.
+"""Language-model scores by context-tree weighting over the bytes of texts.
 
 A text is its lower-cased words, each closed by a space, and an end token (a line break, closed alike). A byte is eight
-binary decisions. The context of a decision is the bits of its byte so far and up to ``DEPTH`` bytes before it, latest
-first, back to the space before the word. Each context at each depth has a Krichevsky-Trofimov estimate of its decision;
-context-tree weighting mixes the estimates of all depths by how well each subtree explains the training text.
-
-The probability of a token depends on its bytes alone, so the model is learned and applied per distinct word: word
-counts, then grams (``DEPTH`` context bytes and a symbol) with counts, then subtrees of the context tree per group of
-grams that agree in the last two bytes, then word scores. Only the two top levels of the tree (at most 256 * 256
-numbers) and the words that make up at least ``HOT`` of the training text (at most 1 / HOT) are held by every task.
+binary decisions. The context of a decision is the bits of its byte so far and the ``DEPTH`` bytes before it, latest
+first, across words, back to the space before the text. Each context at each depth has a Krichevsky-Trofimov estimate of
+its decision; context-tree weighting mixes the estimates of all depths by how well each subtree explains the training
+text.
+
+``score_whole_texts``: grams (``DEPTH`` context bytes and a symbol) are counted per slice of texts and merged, then
+subtrees of the context tree grow per group of grams that agree in the last two bytes. Each slice then asks for its
+distinct grams and adds their values up along its texts. ``score_texts`` ends contexts at the space before the word, so
+that model is learned and applied per distinct word. Only the two top levels of the tree (at most 256 * 256 numbers) and
+the words that make up at least ``HOT`` of the training text (at most 1 / HOT) are held by every task.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import arrow_schema, batch_slices, lower_words, read_documents, stored
+from poolboard.llm.common import SLICE_BYTES, arrow_schema, batch_slices, give_back, lower_words, read_documents, stored
 
 #: Bytes of context; a gram's context and symbol fit into seven bytes of a long.
 DEPTH = 6
@@ -31,6 +33,10 @@ DEPTH = 6
 HOT = 2e-5
 #: Distinct words to a partition of the vocabulary.
 PART_WORDS = 200_000
+#: Bytes of texts whose grams are counted, and asked for, at once.
+GRAM_BYTES = 8 << 20
+#: Grams whose subtree grows at once; a larger group is split by one more byte of context.
+GROWN = 30_000
 END, SPACE = "\n", 32
 BITS = np.arange(8)
 
@@ -75,6 +81,67 @@ def positions(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return grams | flat[first:first + n], sizes
 
 
+def closed_texts(lists: pa.ListArray) -> tuple[bytes, np.ndarray]:
+    """The bytes of texts from their words, each text closed by its end token, and the number of bytes of each."""
+    joined = pc.ascii_trim(pc.binary_join(lists.cast(pa.list_(pa.string())), " "), " ")
+    whole = pc.if_else(pc.equal(joined, ""), END + " ", pc.binary_join_element_wise(joined, END + " ", " "))
+    return b"".join(whole.cast(pa.binary()).to_pylist()), pc.binary_length(whole).to_numpy().astype(np.int64)
+
+
+def text_grams(raw: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The gram of every byte of closed texts, packed as in ``positions``; contexts reach back to the space before the
+    text, past it they are zeros."""
+    flat = b"\0" * DEPTH + b" " + raw
+    grams = np.ndarray((len(raw),), "<i8", flat, 0, (1,)).copy()  # seven bytes and, highest, the symbol
+    grams &= 0xFFFFFFFFFFFF00
+    grams |= np.frombuffer(raw, dtype=np.uint8)
+    starts = np.cumsum(sizes) - sizes
+    for k in range(DEPTH - 1):
+        grams[starts[sizes > k] + k] &= ~((1 << 8 * (DEPTH - k)) - 256)
+    return grams
+
+
+def distinct_grams(grams: np.ndarray) -> np.ndarray:
+    """The grams sorted, each once; numpy's own ``unique`` goes by a hash table here, which is slower."""
+    grams = np.sort(grams)
+    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
+
+
+def homes(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted grams by their part, and where each part begins. The last four bytes of a gram's context
+    give its part, so what a part gets of a slice is alike and compresses well."""
+    home = ((grams >> 24) % 1_000_003 % parts).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    return order, np.searchsorted(home[order], np.arange(parts + 1))
+
+
+def places_of(asked: np.ndarray, grams: np.ndarray) -> Iterator[np.ndarray]:
+    """Where each gram is in the sorted ``asked``, in pieces: by a table of hashes, by search where hashes collide."""
+    def slots(x: np.ndarray) -> np.ndarray:
+        return x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)
+
+    table = np.zeros(1 << 22, dtype=np.int32)
+    table[slots(asked)] = np.arange(len(asked))
+    for start in range(0, len(grams), 1 << 19):
+        piece = grams[start:start + (1 << 19)]
+        at = table[slots(piece)]
+        missed = np.flatnonzero(asked[at] != piece)
+        at[missed] = np.searchsorted(asked, piece[missed])
+        yield at
+
+
+def packed(numbers: np.ndarray, kind: str = "<i8") -> bytes:
+    """Numbers by bytes of the same weight, compressed: sorted grams, and exponents, have long runs there."""
+    planes = np.ascontiguousarray(numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, kind: str = "<i8") -> np.ndarray:
+    n, width = int.from_bytes(raw[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw[8:], width * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).reshape(-1).view(kind)
+
+
 def subtree(grams: np.ndarray, counts: np.ndarray, top: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Below one context of ``top`` bytes: the weighted log2 probability per node, and each gram's mixed estimates.
 
@@ -115,6 +182,37 @@ def subtree(grams: np.ndarray, counts: np.ndarray, top: int = 2) -> tuple[np.nda
     return out, np.where(reached, mixed, np.nan).reshape(-1, 8)
 
 
+def split_subtree(grams: np.ndarray, counts: np.ndarray, top: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """``subtree`` in bounded memory: above ``GROWN`` grams the contexts one byte longer grow one after the other."""
+    if len(grams) <= GROWN or top == DEPTH:
+        return subtree(grams, counts, top)
+    context = grams >> (8 * (DEPTH - top))
+    cuts = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1], [True])))
+    below, parts = np.zeros(256), []
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        weighted, mixed = split_subtree(grams[start:end], counts[start:end], top + 1)
+        below += weighted
+        parts.append(mixed.astype("<f4"))
+    node, bit = decisions(np.arange(256))
+    symbols = np.bincount(grams & 0xFF, counts, 256)
+    total, ones = np.zeros(256), np.zeros(256)
+    np.add.at(total, node, symbols[:, None])
+    np.add.at(ones, node, symbols[:, None] * bit)
+    estimate = block_probability(total - ones, ones)
+    weighted = np.logaddexp2(estimate, below) - 1
+    stop = np.exp2(estimate - 1 - weighted)
+    one = (ones + 0.5) / (total + 1)
+    for n, (start, end) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        at, bits = node[grams[start:end] & 0xFF], bit[grams[start:end] & 0xFF]
+        own = np.where(bits == 1, one[at], 1 - one[at])
+        mixed = np.where(np.isnan(parts[n]), own, stop[at] * own + (1 - stop[at]) * parts[n])
+        parts[n] = np.where(total[at] > 0, mixed, np.nan).astype("<f4")
+    here = np.unique(node[np.unique(grams & 0xFF)])
+    out = np.zeros(256)
+    out[here] = weighted[here]
+    return out, np.concatenate(parts)
+
+
 class Crown:
     """The two top levels of the tree: no context, and the last byte."""
 
@@ -185,6 +283,42 @@ def gram_counts(vocab: DataFrame) -> DataFrame:
         F.sum("n").alias("n"))
 
 
+def text_gram_counts(docs: DataFrame, parts: int) -> DataFrame:
+    """Distinct grams of all texts of (held_out, text) with their counts in the training rows: gram, n.
+
+    A slice of texts gives one row to each part of the grams; a part merges its rows.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches, GRAM_BYTES):
+            for held in (False, True):
+                texts = batch.column(1).filter(pc.equal(batch.column(0), held))
+                if not len(texts):
+                    continue
+                grams, counts = np.unique(text_grams(*closed_texts(lower_words(texts))), return_counts=True)
+                order, cuts = homes(grams, parts)
+                grams, counts = grams[order], counts[order] * (not held)
+                some = np.flatnonzero(cuts[1:] > cuts[:-1])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)),
+                     pa.array([packed(grams[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
+                     pa.array([packed(counts[cuts[p]:cuts[p + 1]]) for p in some], pa.binary())],
+                    ["home", "grams", "counts"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        grams = np.concatenate([unpacked(x.as_py()) for x in table.column("grams")])
+        counts = np.concatenate([unpacked(x.as_py()) for x in table.column("counts")])
+        order = np.argsort(grams)
+        grams = grams[order]
+        first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+        merged = pa.table({"gram": pa.array(grams[first]), "n": pa.array(np.add.reduceat(counts[order], first))})
+        give_back()
+        return merged
+
+    return docs.select("held_out", "text").mapInArrow(split, "home int, grams binary, counts binary").groupBy(
+        "home").applyInArrow(merge, "gram bigint, n bigint")
+
+
 def grown(grams: DataFrame) -> DataFrame:
     """Estimates of each gram (32 bytes: eight floats), and for each two-byte context -1 - context with 256 doubles."""
 
@@ -192,7 +326,7 @@ def grown(grams: DataFrame) -> DataFrame:
         keys = table.column("gram").to_numpy()
         order = np.argsort(keys)
         keys = keys[order]
-        weighted, mixed = subtree(keys, table.column("n").to_numpy()[order])
+        weighted, mixed = split_subtree(keys, table.column("n").to_numpy()[order])
         raw = pa.py_buffer(np.ascontiguousarray(mixed, dtype="<f4").tobytes())
         rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, raw]).cast(pa.binary())
         top = pa.array([weighted.astype("<f8").tobytes()], pa.binary())
@@ -275,17 +409,35 @@ def word_scores(vocab: DataFrame, trees: DataFrame, top: Crown, parts: int) -> D
         add, "h bigint, c bigint, score double")
 
 
-PIECE = "home bigint, slice string, doc_ids array<bigint>, held array<boolean>, at binary, words binary, sums binary"
+def word_counts(vocab: DataFrame) -> DataFrame:
+    """Hash and training count of every distinct word, without a score: h, c, score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batch_slices(batches):
+            hashes = [word_hash(w.encode()) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(1),
+                                              pa.array(np.zeros(len(hashes)))], ["h", "c", "score"])
+
+    return vocab.select("word", "c").mapInArrow(run, "h bigint, c bigint, score double")
+
+
+PIECE = ("home bigint, slice string, doc_ids array<bigint>, held array<boolean>, at binary, words binary, sums binary, "
+         "texts binary, grams binary")
 RESULT = ("doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
           "score double, bits_per_byte double")
 
 
-def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: int, parts: int) -> DataFrame:
-    """Sums over each row's tokens. Hot words are added up where the text is; the others are asked for by hash."""
+def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: int, parts: int,
+                    trees: DataFrame | None = None, top: Crown | None = None) -> DataFrame:
+    """Sums over each row's tokens. Hot words are added up where the text is; the others are asked for by hash.
+
+    With ``trees`` and ``top`` the score is the sum over the grams of the row's whole text: a slice asks for its distinct
+    grams, in order of their parts, and gets their log2 probabilities in the same order.
+    """
     hot = np.array(scored.where(F.col("c") >= max(1, tokens * HOT)).orderBy("h").collect(),
                    dtype=[("h", "i8"), ("c", "i8"), ("score", "f8")]) if tokens else np.zeros(
         0, dtype=[("h", "i8"), ("c", "i8"), ("score", "f8")])
-    slots = tokens + distinct + 1
+    slots, whole = tokens + distinct + 1, trees is not None
 
     def values(c: np.ndarray, score: np.ndarray) -> np.ndarray:
         """Known, base score, score."""
@@ -294,7 +446,7 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         schema = arrow_schema_of
-        for batch in batch_slices(batches):
+        for batch in batch_slices(batches, GRAM_BYTES if whole else SLICE_BYTES):
             if not batch.num_rows:
                 continue
             name, n = f"{task}-{n}", n + 1
@@ -331,11 +483,28 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
             out += [{"home": p, "slice": name, "doc_ids": None, "held": None, "sums": None,
                      "at": at[cuts[p]:cuts[p + 1]].tobytes(), "words": wanted[cuts[p]:cuts[p + 1]].tobytes()}
                     for p in range(parts) if cuts[p] < cuts[p + 1]]
+            if whole:
+                raw, sizes = closed_texts(lists)
+                out[0]["texts"] = pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True)
+                grams = distinct_grams(text_grams(raw, sizes))
+                order, cuts = homes(grams, parts)
+                out += [{"home": p, "slice": name, "grams": packed(grams[order[cuts[p]:cuts[p + 1]]])}
+                        for p in range(parts) if cuts[p] < cuts[p + 1]]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     arrow_schema_of = arrow_schema(PIECE)
 
     def answer(pieces: pa.Table, words: pa.Table) -> pa.Table:
+        if whole:
+            held = words.filter(pc.is_valid(words.column("estimates")))
+            words = words.filter(pc.is_null(words.column("estimates")))
+            keys = held.column("h").to_numpy()
+            order = np.argsort(keys)
+            keys = keys[order]
+            mixed = np.frombuffer(b"".join(held.column("estimates").to_pylist()), dtype="<f4").reshape(-1, 8)[order]
+            found = [top.bits(keys[k:k + GROWN], mixed[k:k + GROWN].astype(np.float64))
+                     for k in range(0, len(keys), GROWN)]
+            gram_values = np.concatenate([*found, np.zeros(0)]).astype("<f4")
         h = words.column("h").to_numpy()
         order = np.argsort(h)
         h = h[order]
@@ -347,8 +516,13 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
                 rows, at = np.unique(np.frombuffer(piece["at"], dtype="<u4"), return_inverse=True)
                 sums = np.stack([np.bincount(at, f, len(rows)) for f in found])
                 piece |= {"at": rows.astype("<u4").tobytes(), "words": None, "sums": sums.tobytes()}
+            if piece["grams"] is not None:
+                piece["grams"] = packed(gram_values[np.searchsorted(keys, unpacked(piece["grams"]))], "<f4")
             out.append(piece)
-        return pa.Table.from_pylist(out, schema=arrow_schema_of)
+        answers = pa.Table.from_pylist(out, schema=arrow_schema_of)
+        if whole:
+            give_back()
+        return answers
 
     result = arrow_schema(RESULT)
 
@@ -358,13 +532,24 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
         n = len(home["doc_ids"])
         sums = np.frombuffer(home["sums"]).reshape(5, n).copy()
         ends = np.zeros(3)
-        for r in sorted((r for r in rows if r["doc_ids"] is None), key=lambda r: r["home"]):
+        for r in sorted((r for r in rows if r["words"] is None and r["at"] is not None), key=lambda r: r["home"]):
             at = np.frombuffer(r["at"], dtype="<u4")
             more = np.frombuffer(r["sums"]).reshape(3, len(at))
             mine = at < n
             sums[:3, at[mine]] += more[:, mine]
             ends += more[:, ~mine].sum(axis=1)
         known, base, score = sums[:3] + ends[:, None]
+        if whole:
+            sizes = np.rint(sums[4]).astype(np.int64)
+            grams = text_grams(pa.decompress(home["texts"], int(sizes.sum()), codec="zstd", asbytes=True), sizes)
+            asked = distinct_grams(grams)
+            order, _ = homes(asked, parts)
+            found = np.empty(len(asked), dtype="<f4")
+            found[order] = np.concatenate([unpacked(r["grams"], "<f4") for r in sorted(
+                (r for r in rows if r["grams"] is not None), key=lambda r: r["home"])])
+            along = np.concatenate([found[at] for at in places_of(asked, grams)])
+            score = np.add.reduceat(along, np.cumsum(sizes) - sizes, dtype=np.float64) * np.log10(2)
+            give_back()
         return pa.Table.from_arrays([
             pa.array(home["doc_ids"], pa.int64()), pa.array(home["held"], pa.bool_()),
             pa.array(sums[3].astype(np.int64)), pa.array(np.rint(known).astype(np.int64)),
@@ -373,12 +558,26 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
 
     pieces = docs.select("doc_id", "held_out", "text").mapInArrow(split, PIECE)
     places = scored.withColumn("home", F.shiftrightunsigned("h", 1) % parts)
+    if whole:
+        held = trees.where("gram >= 0").select(F.col("gram").alias("h"), "estimates",
+                                               (F.shiftright("gram", 24) % 1_000_003 % parts).alias("home"))
+        places = places.unionByName(held, allowMissingColumns=True)
     answered = pieces.groupBy("home").cogroup(places.groupBy("home")).applyInArrow(answer, PIECE)
     return answered.groupBy("slice").applyInArrow(finish, RESULT)
 
 
+def rows_and_words(docs: DataFrame, held_out: str, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, tuple, int]:
+    """The rows (doc_id, text, held_out), their vocabulary, its training tokens, known words and words, and the parts."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn(
+        "held_out", F.expr(held_out))
+    vocab = stored(vocabulary(rows), "vocabulary")
+    tokens, distinct, words = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count("*")).first()
+    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows, vocab, (tokens or 0, distinct, words), max(shuffles, words // PART_WORDS + 1)
+
+
 def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every whole text.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every text, with contexts within words.
 
     ``held_out`` is an SQL condition on ``doc_id``: rows that meet it are scored and not learned from. ``base_score``
     is the add-one unigram score; ``score`` is the context tree's log10 probability of the text; ``bits_per_byte`` its
@@ -387,16 +586,24 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
     Null counts as empty: the end token alone. Repeated rows and null ids: scored each for itself. If nothing is held
     back for training every decision has probability one half. An empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn(
-        "held_out", F.expr(held_out))
-    vocab = stored(vocabulary(rows), "vocabulary")
-    tokens, distinct, words = vocab.agg(F.sum("c"), F.count_if(F.col("c") > 0), F.count("*")).first()
-    shuffles = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffles, words // PART_WORDS + 1)
+    rows, vocab, (tokens, distinct, _), parts = rows_and_words(docs, held_out, doc_id, text)
     grams = stored(gram_counts(vocab), "grams")
     trees = stored(grown(grams), "context-trees")
     scored = stored(word_scores(vocab, trees, crown(grams, trees), parts), "word-scores")
-    return document_scores(rows, scored, tokens or 0, distinct, parts)
+    return document_scores(rows, scored, tokens, distinct, parts)
+
+
+def score_whole_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns and rows of ``score_texts``, with contexts that reach across words: their order counts.
+
+    Every byte of every text is counted and scored in its ``DEPTH`` bytes of context. Word counts, grams and trees are
+    written to the shared folder.
+    """
+    rows, vocab, (tokens, distinct, _), parts = rows_and_words(docs, held_out, doc_id, text)
+    grams = stored(text_gram_counts(rows, parts), "grams")
+    trees = stored(grown(grams), "context-trees")
+    counted = stored(word_counts(vocab), "word-counts")
+    return document_scores(rows, counted, tokens, distinct, parts, trees, crown(grams, trees))
 
 
 #: Rows of the registered query that are not learned from.
@@ -404,4 +611,4 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 7 = 2, crc3
 
 
 def op6_language_model(spark, sf_dir: str) -> DataFrame:
-    return score_texts(read_documents(spark, sf_dir), HELD_OUT)
+    return score_whole_texts(read_documents(spark, sf_dir), HELD_OUT)
