@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from poolboard.llm.common import encoded, map_rows, read_documents, share_of
@@ -111,20 +112,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, sample: int = SAMPLE,
           text: str = "text", label: str = "quality") -> Ranking:
     """Fit on at most ``sample`` labelled rows; ``learn`` is an SQL condition on ``doc_id`` that marks those allowed.
 
-    The ids are picked from the labels alone; only the picked texts become features, and only the features (some 450
-    bytes a row) come to the driver.
+    The ids are picked from the labels alone; only the picked texts become features, and only distinct features of an id
+    (some 450 bytes), ``sample`` at most, come to the driver: repeated rows count once.
     """
     picked = (labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(learn)
               .where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    chosen = texts.join(F.broadcast(picked), "doc_id").select("label", "text")  # at most ``sample`` rows of two numbers
+    chosen = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")  # ``picked``: two numbers a row
 
     def extract(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         for rows in slices:
-            yield [(y, features(encoded(t)).tobytes()) for y, t in rows]
+            yield [(key, y, features(encoded(t)).tobytes()) for key, y, t in rows]
 
-    rows = sorted(map(tuple, map_rows(chosen, extract, "label int, x binary").collect()))
+    vectors = map_rows(chosen, extract, "doc_id bigint, label int, x binary").distinct()
+    ranked = vectors.withColumn("n", F.row_number().over(W.partitionBy("doc_id").orderBy("x"))).where(F.col("n") <= sample)
+    found = ranked.orderBy("n", F.xxhash64("doc_id"), "doc_id").limit(sample)  # a row of every id before second ones
+    rows = sorted(map(tuple, found.select("label", "x").collect()))
     x = np.array([np.frombuffer(r[1], dtype=np.float32) for r in rows]).reshape(-1, N_FEATURES)
     return fit(x.astype(np.float64), np.array([r[0] == 1 for r in rows], dtype=bool))
 
