@@ -44,6 +44,14 @@ def share_of(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def crc32_sql(number: str) -> str:
+    """DuckDB SQL for the ``crc32`` of a number as text, bit by bit with the reversed polynomial; null as the empty text."""
+    steps = f"list_transform(string_split({number}::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, {', '.join(['-1'] * 8)}])"
+    crc = (f"list_reduce(list_concat([{0xFFFFFFFF}::BIGINT], flatten({steps})), lambda a, x: "
+           f"CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, {0xEDB88320} * (a & 1)) END)")
+    return f"CASE WHEN {number} IS NULL THEN 0 ELSE xor({crc}, {0xFFFFFFFF}) END"
+
+
 def encoded(text: str | None) -> bytes:
     """UTF-8 of a text, nothing for null."""
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -57,8 +65,9 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def batch_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of Arrow batches of about ``size`` bytes, without copying."""
+def batch_slices(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of about ``size`` bytes (``SLICE_BYTES``), without copying."""
+    size = size or SLICE_BYTES
     for batch in batches:
         rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for at in range(0, batch.num_rows, rows):
@@ -75,7 +84,8 @@ def lower_words(texts: pa.Array) -> pa.ListArray:
     return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(whole.cast(pa.large_string()), "")))
 
 
-def map_rows(df: DataFrame, function: Callable[[Iterator[list[tuple]]], Iterable[list[tuple]]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, function: Callable[[Iterator[list[tuple]]], Iterable[list[tuple]]],
+             schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` over lists of row tuples: a bounded part of a batch is held as Python objects."""
     arrow = arrow_schema(schema)
 
@@ -93,10 +103,10 @@ def map_rows(df: DataFrame, function: Callable[[Iterator[list[tuple]]], Iterable
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(schema: str) -> pa.Schema:
+def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return to_arrow_schema(T.StructType.fromDDL(schema))
+    return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 #: Bits of a filter and of one of its pages; a filter is 2 MB whatever the data.

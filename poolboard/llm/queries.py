@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolboard.llm import classifier, context_tree, fingerprints, jaccard, mixing, packing, secret_scan, token_count, token_file, trie_dedup
+from poolboard.llm import (
+    classifier, context_tree, fingerprints, jaccard, line_dedup, merkle, mixing, packing, secret_scan, token_count, token_file,
+    trie_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +24,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8_pack,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_token_files": token_file.op10_token_files,
+        "op12_line_dedup": line_dedup.op12_line_dedup,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
@@ -28,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": trie_dedup.OP4_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
+        "op12_line_dedup": line_dedup.OP12_SQL,
+        "op13_merkle_manifest": merkle.OP13_SQL,
     }
