@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from poolboard.llm import (
-    classifier, context_tree, fingerprints, jaccard, line_dedup, merkle, mixing, packing, secret_scan, token_count, token_file,
-    trie_dedup,
+    classifier, context_tree, fingerprints, jaccard, line_dedup, merkle, mixing, packing, prefix_trie, secret_scan, token_count,
+    token_file, trie_dedup,
 )
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": packing.op8_pack,
         "op9_token_counts": token_count.op9_token_counts,
         "op10_token_files": token_file.op10_token_files,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_line_dedup": line_dedup.op12_line_dedup,
         "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
@@ -33,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_exact_dedup": trie_dedup.OP4_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
+        "op11_prefix_trie": prefix_trie.OP11_SQL,
         "op12_line_dedup": line_dedup.OP12_SQL,
         "op13_merkle_manifest": merkle.OP13_SQL,
     }
