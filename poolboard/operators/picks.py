@@ -133,7 +133,7 @@ def pick_card_state(users: DataFrame, picks: DataFrame, fixtures: DataFrame) ->
     """Every card of every user: locked, enabled (the next one) or disabled."""
     ranked = _ranked(fixtures)
     cards = for_each(_next_ranks(users.select("user_id"), picks, ranked).withColumnRenamed("rank", "next_rank"),
-                     ranked, ["rank", "match_id", "match_order", "home_team", "away_team"])
+                     ranked, ["rank", "match_id", "match_order", "home_team", "away_team"], counted=users)
     made = picks.select("user_id", "match_id", F.col("predicted_result").alias("picked"))
     status = F.when(F.col("picked").isNotNull(), "locked").when(F.col("rank") == F.col("next_rank"), "enabled")
     return cards.join(made, ["user_id", "match_id"], "left").select(

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.wording import CONTEST_SIZE, OUTCOMES
 from ..operators import admin, fixtures, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
 from ..session import fresh_path
-from ..sources.projections import Relations, attempt_columns, result_columns, subscription_columns
+from ..sources.projections import Relations
 from ..streaming import intake
 from ..streaming import points as points_stream
 from ..streaming import subscriptions as subscription_stream
 from ..streaming.logs import BatchLog
+from ..streaming.picks import both_arrive
 
 VIEWER = 8
 ADMIN = 0
@@ -604,19 +605,28 @@ def public_rows(r):
 
 # -- streams ----------------------------------------------------------------------------------------
 
-def _results_stream(r: Relations) -> DataFrame:
-    edits = r.stream("events", "event_id").where(F.col("event_type").isin("view", "purchase"))
-    return edits.select(*result_columns())
+def _edits(r: Relations):
+    return r.arrivals("edits", r.results_log(), ["ts", "event_id"])
 
 
 def _intake(r: Relations) -> BatchLog:
-    attempts = r.stream("lineitem", "l_shipdate").select(*attempt_columns())
-    return intake.stream_intake(attempts, r.stored("d_fixtures"))
+    attempts, arriving = r.arrivals("attempts", r.attempts(), intake.ARRIVAL)
+    return intake.stream_intake(attempts, r.stored("d_fixtures"), arriving=arriving)
 
 
 @query
 def stream_points(r):
-    return points_stream.stream_points(_results_stream(r), r.participants(), r.picks(), r.stored("fixtures"))
+    edits, arriving = _edits(r)
+    return points_stream.stream_points(edits, r.participants(), r.picks(), r.stored("fixtures"), arriving=arriving)
+
+
+@query
+def stream_points_late_picks(r):
+    """Picks and edits both go on arriving, each part of the picks ahead of the same part of the edits."""
+    edits, more_edits = _edits(r)
+    chosen, more_picks = r.arrivals("picks", r.stored("picks"), ["created_at", "user_id", "match_id"])
+    return points_stream.stream_points(both_arrive(edits, chosen), r.participants(), chosen, r.stored("fixtures"),
+                                       arriving=zip(more_picks, more_edits, strict=True))
 
 
 @query
@@ -631,11 +641,12 @@ def stream_consensus(r):
 
 @query
 def stream_finish_outbox(r):
+    edits, arriving = _edits(r)
     return points_stream.stream_finish_outbox(
-        _results_stream(r), r.participants(), r.stored("picks"), r.stored("named_fixtures"), r.stored("subs", _subs(r)))
+        edits, r.participants(), r.stored("picks"), r.stored("named_fixtures"), r.stored("subs", _subs(r)), arriving=arriving)
 
 
 @query
 def stream_subscriptions(r):
-    return subscription_stream.stream_subscriptions(
-        r.stream("events", "event_id").select(*subscription_columns()))
+    writes, arriving = r.arrivals("writes", r.subscription_log(), ["event_id"])
+    return subscription_stream.stream_subscriptions(writes, arriving=arriving)

@@ -557,6 +557,8 @@ left join state s on s.match_id = p.match_id and s.status = 'finished' and s.act
 group by u.user_id, u.username
 """
 
+ORACLES["stream_points_late_picks"] = ORACLES["stream_points"]
+
 ORACLES["stream_intake"] = "select * from verdicts_in"
 
 ORACLES["stream_consensus"] = """

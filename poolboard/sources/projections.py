@@ -6,6 +6,8 @@ Two contests: *wide* has one fixture per part, for volume; *dense* has the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..functions.outcomes import derive_result
 from ..functions.wording import CONTEST_SIZE, WEEKDAYS
 from ..operators.fixtures import with_team_names
 from ..session import fresh_path
-from ..streaming.logs import table_stream
+from .arrivals import let_arrive, read_log, write_log
 
 _FIRST_DAY = "2026-06-11"
 _WEEK = ", ".join(f"'{day}'" for day in WEEKDAYS[4:] + WEEKDAYS[:4])  # from the first day, a Thursday, on
@@ -32,16 +34,11 @@ class Relations:
         self._tables: dict[str, DataFrame] = {}
         self._stored: dict[str, DataFrame] = {}
 
-    def stream(self, name: str, order: str, parts: int = 3) -> DataFrame:
-        """A driver table as a stream of ``parts`` micro-batches, cut by a numeric or time column."""
-        rows, path = self.table(name), fresh_path(self.spark, f"arriving-{name}")
-        at = F.unix_micros(F.col(order).cast("timestamp")) if rows.schema[order].dataType.typeName() not in (
-            "long", "integer") else F.col(order)
-        cuts = rows.select(at.cast("double").alias("at")).approxQuantile("at", [n / parts for n in range(1, parts)], 0.05)
-        part = sum(((at > cut).cast("int") for cut in cuts), F.lit(0))
-        for n in range(parts):  # one after the other: the stream takes files by age
-            rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
-        return table_stream(self.spark, path, files_per_trigger=1)
+    def arrivals(self, name: str, df: DataFrame, order: list[str], parts: int = 3) -> tuple[DataFrame, Iterator[int]]:
+        """A frame as a stream of rows by ``order``, and an iterator that lets them arrive in ``parts``."""
+        path = fresh_path(self.spark, f"arriving-{name}")
+        write_log(df, path, order)
+        return read_log(self.spark, path, df.schema), let_arrive(path, parts)
 
     def stored(self, name: str, df: DataFrame | None = None) -> DataFrame:
         """A relation written once to the shared folder, for queries that read it several times."""

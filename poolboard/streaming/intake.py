@@ -5,7 +5,7 @@ A user's accepted picks are always matches 1..k, so all that must be known of a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -182,10 +182,11 @@ class IntakeJob:
         self.progress.write(_furthest(accepted.withColumnRenamed("match_order", "done")), number)
 
 
-def stream_intake(attempts: DataFrame, fixtures: DataFrame, root: str | None = None) -> BatchLog:
+def stream_intake(attempts: DataFrame, fixtures: DataFrame, root: str | None = None,
+                  arriving: Iterable | None = None) -> BatchLog:
     """Run the intake over all that has arrived; returns the log of verdicts."""
     job = IntakeJob(attempts, fixtures, root)
-    run_to_end(attempts, job.on_batch, job.root)
+    run_to_end(attempts, job.on_batch, job.root, arriving=arriving)
     return job.verdicts
 
 

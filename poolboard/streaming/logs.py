@@ -6,7 +6,7 @@ root, it goes on where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,34 +26,27 @@ class BatchLog:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, since: int = 0, before: int | None = None) -> DataFrame:
-        """Rows of batches from ``since`` up to, not including, ``before``."""
-        if before is None:
-            return self._folders(self.path).where(F.col("batch") >= since)
-        return self._folders(*[f"{self.path}/batch={n}" for n in range(since, before)])
-
-    def _folders(self, *paths: str) -> DataFrame:
-        """Rows of those folders that exist; a batch that wrote nothing has none."""
-        found = [path for path in paths if self._exists(path)]
+        """Rows of batches from ``since`` up to, not including, ``before``; a batch that wrote nothing has no folder."""
+        found = [f"{self.path}/batch={n}" for n in self._batches() if since <= n and (before is None or n < before)]
         schema = f"{self.schema}, batch bigint"
         if not found:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", self.path).parquet(*found)
 
+    def _batches(self) -> list[int]:
+        store, place = self._store(self.path)
+        if not store.exists(place):
+            return []
+        names = [entry.getPath().getName() for entry in store.listStatus(place)]
+        return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
     def _store(self, path: str):
         place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()), place
 
-    def _exists(self, path: str) -> bool:
-        store, place = self._store(path)
-        return store.exists(place)
-
-    def last(self) -> int | None:
-        """The newest batch, by the names of the folders."""
-        store, place = self._store(self.path)
-        if not store.exists(place):
-            return None
-        names = [entry.getPath().getName() for entry in store.listStatus(place)]
-        return max((int(n.removeprefix("batch=")) for n in names if n.startswith("batch=")), default=None)
+    def last(self, before: int | None = None) -> int | None:
+        """The newest batch, or the newest ahead of one, by the names of the folders."""
+        return max((n for n in self._batches() if before is None or n < before), default=None)
 
     def drop(self, batch: int) -> None:
         """Remove a batch nobody reads any more."""
@@ -75,7 +68,8 @@ class MergedLog:
         self.merge = merge
         self.every = every
 
-    def _changes(self, before: int | None) -> DataFrame:
+    def changes(self, before: int | None) -> DataFrame:
+        """What ``merge`` makes the state of, ahead of a batch."""
         if before is None:
             last = self.log.last()
             before = 0 if last is None else last + 1
@@ -84,7 +78,7 @@ class MergedLog:
 
     def state(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
         """The state ahead of a batch, or the newest; ``only``: for the keys of that frame, which are looked up first."""
-        changes = self._changes(before)
+        changes = self.changes(before)
         if only is not None:
             changes = changes.join(only, only.columns, "left_semi")
         return self.merge(changes).select(*self.columns)
@@ -94,7 +88,7 @@ class MergedLog:
         change = change.select(*self.columns)
         folds = batch and batch % self.every == 0
         if folds:
-            change = self.merge(self._changes(batch).unionByName(change)).select(*self.columns)
+            change = self.merge(self.changes(batch).unionByName(change)).select(*self.columns)
         self.log.write(change, batch)
         if folds:
             for old in range(max(0, batch - 2 * self.every), batch - self.every):
@@ -115,7 +109,19 @@ def job_root(spark: SparkSession, name: str, root: str | None) -> str:
     return root or fresh_path(spark, name)
 
 
-def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
-    """Process everything that has arrived since the last run with this root, then stop."""
-    (stream.writeStream.outputMode(mode).foreachBatch(on_batch).trigger(availableNow=True)
-     .option("checkpointLocation", f"{root}/progress").start().awaitTermination())
+def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], root: str, mode: str = "append",
+               arriving: Iterable | None = None) -> None:
+    """Process everything that has arrived since the last run with this root, then stop.
+
+    ``arriving``: the job keeps running while more arrives, and takes all there is after each step of the iterator.
+    """
+    job = stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", f"{root}/progress")
+    if arriving is None:
+        job.trigger(availableNow=True).start().awaitTermination()
+        return
+    running = None
+    for _ in arriving:
+        running = running or job.start()
+        running.processAllAvailable()
+    if running:
+        running.stop()
