@@ -14,7 +14,7 @@ from ..sources.projections import Relations
 from ..streaming import intake
 from ..streaming import points as points_stream
 from ..streaming import subscriptions as subscription_stream
-from ..streaming.logs import BatchLog
+from ..streaming.logs import BatchLog, once
 from ..streaming.picks import both_arrive
 
 VIEWER = 8
@@ -634,6 +634,24 @@ def stream_intake(r):
     return _intake(r).read().drop("created_at", "batch")
 
 
+@query
+def stream_intake_keyed(r):
+    """The intake from keyed state; same verdicts."""
+    attempts, arriving = r.arrivals("attempts", r.attempts(), intake.ARRIVAL)
+    verdicts, _ = intake.stream_intake_keyed(attempts, r.stored("d_fixtures"), arriving=arriving)
+    return verdicts.read().drop("created_at", "batch")
+
+
+@query
+def stream_points_replayed(r):
+    """Every fifth edit is delivered a second time, a day after the first; totals are those of one delivery."""
+    again = r.results_log().where(F.col("event_id") % 5 == 0).withColumn("at", F.expr("ts + interval 1 day"))
+    twice = r.results_log().withColumn("at", F.col("ts")).unionByName(again)
+    edits, arriving = r.arrivals("edits", twice, ["at", "event_id"])
+    return points_stream.stream_points(once(edits, ["event_id"], "ts", "2 days"), r.participants(), r.picks(),
+                                       r.stored("fixtures"), arriving=arriving)
+
+
 @query
 def stream_consensus(r):
     return intake.stream_consensus(intake.accepted_stream(_intake(r)), r.d_fixtures())

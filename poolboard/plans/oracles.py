@@ -559,8 +559,12 @@ group by u.user_id, u.username
 
 ORACLES["stream_points_late_picks"] = ORACLES["stream_points"]
 
+ORACLES["stream_points_replayed"] = ORACLES["stream_points"]
+
 ORACLES["stream_intake"] = "select * from verdicts_in"
 
+ORACLES["stream_intake_keyed"] = ORACLES["stream_intake"]
+
 ORACLES["stream_consensus"] = """
 select f.match_id, f.match_order, count(v.user_id) filter (where v.predicted_result = '1') as votes_1,
        count(v.user_id) filter (where v.predicted_result = 'X') as votes_x,

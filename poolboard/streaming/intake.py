@@ -11,10 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.stats import VOTES
 from ..session import shared_dir
-from .logs import BatchLog, MergedLog, job_root, run_to_end, table_stream
+from .logs import BatchLog, MergedLog, job_root, rocks_state, run_to_end, table_stream
 
 ARRIVAL = ["created_at", "match_id", "order_key", "line_number", "part_key"]
 VERDICTS = ("user_id {user}, match_id bigint, predicted_result string, created_at timestamp, order_key bigint, "
@@ -190,6 +191,51 @@ def stream_intake(attempts: DataFrame, fixtures: DataFrame, root: str | None = N
     return job.verdicts
 
 
+class OneUser(StatefulProcessor):
+    """Verdicts of one user; what is kept of the user is how many matches are picked, in the state store."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "done bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """The user's rows of a batch, put in order of arrival."""
+        held = pd.concat(list(rows), ignore_index=True).sort_values(ARRIVAL, kind="stable", ignore_index=True)
+        done = self.done.get()[0] if self.done.exists() else 0
+        judged = next(_judge(iter([held.assign(start=done)])))
+        accepted = judged.loc[judged["verdict"] == "accepted", "match_order"]
+        if len(accepted):
+            self.done.update((int(accepted.max()),))
+        yield judged
+
+    def close(self) -> None:
+        """Nothing is held open."""
+
+
+def keyed_verdicts(attempts: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """A stream of verdicts on a stream of attempts, from keyed state alone: no log is folded, no batch job is written.
+
+    A user's rows of one batch are put in order by one task; where one user may send very many at once, ``IntakeJob``
+    spreads them.
+    """
+    verdicts = VERDICTS.format(user=_user_type(attempts))
+    columns = [part.split()[0] for part in verdicts.split(", ")][:-1]
+    known = attempts.join(fixtures.select("match_id", "match_order"), "match_id", "left").select(*columns)
+    return known.groupBy("user_id").transformWithStateInPandas(
+        OneUser(), verdicts, "append", "none")
+
+
+def stream_intake_keyed(attempts: DataFrame, fixtures: DataFrame, root: str | None = None,
+                        arriving: Iterable | None = None) -> tuple[BatchLog, dict]:
+    """Run the keyed intake over all that has arrived; the log of verdicts, and rows and bytes of its state."""
+    spark = attempts.sparkSession
+    root = job_root(spark, "intake", root)
+    log = BatchLog(spark, f"{root}/verdicts", VERDICTS.format(user=_user_type(attempts)))
+    with rocks_state(spark):
+        last = run_to_end(keyed_verdicts(attempts, fixtures), log.write, root, arriving=arriving)
+    state = last["stateOperators"][0] if last else {"numRowsTotal": 0, "memoryUsedBytes": 0}
+    return log, {"users": state["numRowsTotal"], "bytes": state["memoryUsedBytes"]}
+
+
 def running_votes(picks: DataFrame) -> DataFrame:
     """Votes per match of a stream of accepted picks."""
     pick = F.col("predicted_result")

@@ -6,13 +6,16 @@ root, it goes on where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 class BatchLog:
     """Append-only log, partitioned by batch number."""
@@ -110,18 +113,41 @@ def job_root(spark: SparkSession, name: str, root: str | None) -> str:
 
 
 def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], root: str, mode: str = "append",
-               arriving: Iterable | None = None) -> None:
-    """Process everything that has arrived since the last run with this root, then stop.
+               arriving: Iterable | None = None) -> dict | None:
+    """Process everything that has arrived since the last run with this root, then stop; returns the last progress.
 
     ``arriving``: the job keeps running while more arrives, and takes all there is after each step of the iterator.
     """
     job = stream.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", f"{root}/progress")
     if arriving is None:
-        job.trigger(availableNow=True).start().awaitTermination()
-        return
+        running = job.trigger(availableNow=True).start()
+        running.awaitTermination()
+        return running.lastProgress
     running = None
     for _ in arriving:
         running = running or job.start()
         running.processAllAvailable()
-    if running:
-        running.stop()
+    if running is None:
+        return None
+    running.stop()
+    return running.lastProgress
+
+
+def once(stream: DataFrame, keys: list[str], at: str, delay: str) -> DataFrame:
+    """A stream in which rows that are delivered again, with the same ``keys``, count once.
+
+    Keys are kept in the state store until event time ``at`` is ``delay`` past them. Rows that come later than that are
+    left out, whether they are repeats or not, so ``delay`` has to cover how late a first delivery can be.
+    """
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Jobs started inside keep keyed state in RocksDB, which spills to disk."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
