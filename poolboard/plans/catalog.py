@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.wording import CONTEST_SIZE, OUTCOMES
 from ..operators import admin, fixtures, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
 from ..session import fresh_path
+from ..sources import parted
 from ..sources.projections import Relations
 from ..streaming import intake
 from ..streaming import points as points_stream
@@ -470,11 +471,48 @@ def update_from(r):
         "user_id", "username", "total_points")
 
 
+def _parted(r: Relations, name: str, df: DataFrame, key: str) -> parted.PartedRelation:
+    return parted.PartedRelation.create(df, fresh_path(r.spark, name), key)
+
+
+@query
+def upsert_update_parts(r):
+    """The upsert in the folders of a stored relation that it touches."""
+    people = r.participants()
+    new = admin.profile_from_signup(r.signups(), people.where(F.lit(False))).select(
+        "user_id", "username", "email", "nombre", "is_approved", "is_admin")
+    table = _parted(r, "participants", people, "user_id")
+    parted.upsert_update(table, new, ["user_id"], ["username", "nombre"])
+    return table.read()
+
+
+@query
+def update_from_parts(r):
+    live = scoring.points_of_pickers(r.picks(), r.fixtures())
+    table = _parted(r, "points", r.stored_points(), "user_id")
+    parted.update_from(table, live, "user_id", "total_points")
+    return table.read().select("user_id", "username", "total_points")
+
+
+def _gone(r: Relations) -> tuple[DataFrame, DataFrame]:
+    return r.participants().where(~F.col("is_approved")), r.fixtures().where(F.col("status") == "pending")
+
+
 @query
 def cascade_delete(r):
-    left = maintain.cascade_delete(
-        {"picks": r.picks(), "edges": r.friend_edges(), "subscriptions": _subs(r), "pending": r.pending()},
-        r.participants().where(~F.col("is_approved")), r.fixtures().where(F.col("status") == "pending"))
+    return _in_one_list(maintain.cascade_delete(
+        {"picks": r.picks(), "edges": r.friend_edges(), "subscriptions": _subs(r), "pending": r.pending()}, *_gone(r)))
+
+
+@query
+def cascade_delete_parts(r):
+    tables = {"picks": _parted(r, "picks", r.picks(), "user_id"), "edges": _parted(r, "edges", r.friend_edges(), "user_id"),
+              "subscriptions": _parted(r, "subscriptions", _subs(r), "user_id"), "pending": _parted(r, "pending", r.pending(), "label")}
+    parted.cascade_delete(tables, *_gone(r))
+    return _in_one_list({name: table.read() for name, table in tables.items()})
+
+
+def _in_one_list(left: dict[str, DataFrame]) -> DataFrame:
     columns = {"picks": ("user_id", "match_id", "predicted_result"), "edges": ("user_id", "friend_id", None),
                "subscriptions": ("user_id", "endpoint", "p256dh"), "pending": ("label", "match_id", "assigned_to")}
     text = {name: [F.col(c).cast("string") if c else F.lit(None).cast("string") for c in cs]

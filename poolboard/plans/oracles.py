@@ -605,5 +605,8 @@ where t.turned
 ORACLES["stream_subscriptions"] = "select * from subs"
 
 
+ORACLES |= {f"{name}_parts": ORACLES[name] for name in ("upsert_update", "update_from", "cascade_delete")}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: with_views(body) for name, body in ORACLES.items()}
