@@ -26,6 +26,11 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one, ``row``: names used beside it can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``; a local session without that setting gets a folder."""
     return fresh_path(ensure_shared_dir(spark), f"llm-{name}")
@@ -156,16 +161,6 @@ def may_be_in(bits: bytes, key: str) -> Column:
     return F.col(key).isNotNull() & test(F.xxhash64(key))
 
 
-def without(docs: DataFrame, dropped: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Rows whose id is not in the one column of ``dropped``. Only rows that the filter can't clear are shuffled."""
-    ids = dropped.select(F.col(dropped.columns[0]).alias("__dropped"))
-    maybe = may_be_in(key_filter(ids, "__dropped"), doc_id)
-    marked = docs.withColumn("__maybe", maybe)
-    clear = marked.where(~F.col("__maybe")).drop("__maybe")
-    rest = marked.where("__maybe").drop("__maybe")
-    return clear.unionByName(rest.join(ids, rest[doc_id] == ids["__dropped"], "left_anti"))
-
-
 def range_cuts(docs: DataFrame, doc_id: str, parts: int) -> list[float]:
     """About ``parts`` even cuts of the ids, for work in document order: where they fall changes no result.
 

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from poolboard.llm.common import (
-    arrow_schema, batch_slices, in_filter, key_filter, lower_words, read_documents, stored, without,
+    arrow_schema, batch_slices, in_filter, key_filter, lower_words, may_be_in, read_documents, stored, whole_row,
 )
 from poolboard.llm.components import components
 
@@ -378,6 +379,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     sets of documents in pairs that their parities can't rule out (an id filter of fixed size picks them, an exact join
     follows).
     """
+    return _grouped(docs, width, percent, doc_id, text).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """``near_groups`` with the signatures of each row's set (``node``) and component; null for rows without shingles."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = stored(set_rows(rows, width), "sets")
     frequent = (found.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("often").alias("often"))
@@ -412,11 +418,12 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str
     nodes = nodes.select("node", "least")
     grouped = nodes.join(parts, "node")
     least = grouped.groupBy("component").agg(F.min("least").alias("of_component"))
-    named = grouped.join(least, "component").select("node", "of_component")
-    by_node = nodes.join(named, "node", "left").select("node", F.coalesce("of_component", "least").alias("component_id"))
-    full = own.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(by_node, "node").drop("node")
+    named = grouped.join(least, "component").select("node", "component", "of_component")
+    by_node = nodes.join(named, "node", "left").select(
+        "node", F.coalesce("component", "node").alias("component"), F.coalesce("of_component", "least").alias("component_id"))
+    full = own.where("n_shingles > 0").select("doc_id", "n_shingles", "node").join(by_node, "node")
     empty = own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty)
+    return full.unionByName(empty, allowMissingColumns=True)
 
 
 def answers(rows: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -455,10 +462,39 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
                      text: str = "text") -> DataFrame:
     """The rows that stay, with all columns: of each component the document with the smallest id.
 
-    Ids are taken to be unique here; a row without an id stays.
+    Null ids come last, so a component without another id keeps one row of them. Rows that share an id are documents of
+    their own: each is told by id and set, the smallest set's signature stays, and rows that repeat both are reduced to
+    one. Rows without shingles (null, empty and blank texts) stay. An empty table gives no rows. Columns may have any names.
+
+    Only rows whose id a filter can't clear of dropped ones are cut into shingles again and shuffled with their text.
     """
-    groups = stored(near_groups(docs, width, percent, doc_id, text), "near-copies")
-    return without(docs, groups.where("doc_id <> component_id").select("doc_id"), doc_id)
+    groups = stored(_grouped(docs, width, percent, doc_id, text).where(F.col("node").isNotNull()), "near-copies")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("node").alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("first"))
+    keys = groups.join(first, "component").groupBy("doc_id", "node").agg(
+        F.first(stays).alias("stays"), F.count("*").alias("rows"))
+    marks = stored(keys.where("NOT stays OR rows > 1").select(
+        F.col("doc_id").alias("of"), F.col("node").alias("of_node"), "stays"), "near-marks")
+    # an id filter of fixed size: rows it clears stay as they are
+    named = docs.select(whole_row(docs)).select("row", F.col("row")[doc_id].cast("bigint").alias("doc_id"))
+    maybe = may_be_in(key_filter(marks, "of"), "doc_id") | F.col("doc_id").isNull()
+    marked = named.withColumn("maybe", maybe)
+    again = marked.where("maybe").withColumn("node", _signatures(F.col("row")[text], width))
+    joined = again.join(marks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("of_node")), "left")
+    alone, several = joined.where(F.col("stays").isNull()), joined.where("stays")
+    one = F.row_number().over(W.partitionBy("doc_id", "node").orderBy(F.col("row")[text]))
+    several = several.withColumn("nth", one).where("nth = 1")
+    kept = marked.where("NOT maybe").select("row").unionByName(alone.select("row")).unionByName(several.select("row"))
+    return kept.select("row.*")
+
+
+def _signatures(text: Column, width: int) -> Column:
+    """The signature of each text's set, null without shingles."""
+    @F.arrow_udf("binary")
+    def signed(texts: pa.Array) -> pa.Array:
+        return pa.array([signature(s) if len(s) else None for s in shingle_sets(texts, width)], pa.binary())
+
+    return signed(text)
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

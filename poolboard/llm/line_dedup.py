@@ -11,7 +11,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, read_documents, stored
+from .common import SPACES, read_documents, stored, whole_row
 
 MIN_DOCS, MIN_CHARS = 3, 20
 #: A line key with more than this share of the places of repeated lines is joined by broadcast: there are at most 1 / share.
@@ -25,9 +25,8 @@ def _hashes(value: str, names: tuple[str, str]) -> list[Column]:
 
 def _bodies(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """The whole row in one column, so its column names can't clash with those used here, and its key."""
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     body = F.coalesce(F.col("row")[text], F.lit(""))
-    return docs.select(row).select(
+    return docs.select(whole_row(docs)).select(
         "row", F.col("row")[doc_id].alias("id"), body.alias("body")).select(
         "row", "id", *_hashes("body", ("text_a", "text_b")))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_sql, map_rows, read_documents, share_of, stored
+from .common import crc32_sql, map_rows, read_documents, share_of, stored, whole_row
 
 ARITY = 3
 #: Levels from one kept level to the next: an aligned subtree has at most ``ARITY ** STRIDE`` kept nodes.
@@ -220,10 +220,9 @@ def build_manifest(leaves: DataFrame, source: str, digest: str, order: list[str]
     null first. An empty table has no root. Proofs return the columns of ``leaves`` in one column ``row``, so their
     names can't clash with others.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in leaves.columns])
     grp = F.when(F.col("row")[source].isNull(), "").otherwise(F.concat(F.lit("="), F.col("row")[source]))
     keys = [f"key{n}" for n in range(len(order))]
-    rows = stored(leaves.select(row.alias("row")).select(
+    rows = stored(leaves.select(whole_row(leaves)).select(
         grp.alias("grp"), F.col("row")[digest].alias("digest"), "row",
         *[F.col("row")[c].alias(k) for c, k in zip(order, keys, strict=True)],
         F.monotonically_increasing_id().alias("row_no")), "merkle-leaves")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import read_documents, stored
+from poolboard.llm.common import read_documents, stored, whole_row
 
 #: No source gives more than this many times its words.
 MOST = 3
@@ -129,44 +129,43 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
 
     The copy in which a source's target ends has the words still wanted, joined by single spaces (at most one row per
     source; its other columns are as they were). Documents that aren't taken, those without words among them, are
-    left out. Texts aren't shuffled but for the rows of the one key range per source in which its budget ends.
+    left out. Columns may have any names. Texts aren't shuffled but for the rows of the one key range per source in which its budget ends.
     """
-    columns = docs.columns
     named = renamed(docs, doc_id, text, source, weight)
     rows = stored(with_keys(named, seed, ranges).drop("text", "weight"), "mixing")
     plan = stored(range_plan(rows, most), "mixing-plan")
-    by_source = plan.groupBy(F.col("of_source").alias("__source")).agg(
-        F.first("epochs").alias("__epochs"), F.max(F.when(F.col("whole") == 1, F.col("of_range"))).alias("__upto"),
-        F.max(F.when(F.col("whole").isNull(), F.col("of_range"))).alias("__cut"))
+    by_source = plan.groupBy(F.col("of_source").alias("plan_source")).agg(
+        F.first("epochs").alias("epochs"), F.max(F.when(F.col("whole") == 1, F.col("of_range"))).alias("upto"),
+        F.max(F.when(F.col("whole").isNull(), F.col("of_range"))).alias("cut"))
     if by_source.count() <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
     weight_of = quality_weight(F.col(text)) if weight is None else F.col(weight) if isinstance(weight, str) else weight
     key = -F.ln(uniform(F.col(doc_id), F.col(text), seed)) / weight_of
-    found = (docs.withColumn("__key", key).withColumn("__size", word_count(F.col(text)))
-             .withColumn("__range", F.floor(F.log2("__key") * ranges))
-             .join(by_source, F.col(source).eqNullSafe(F.col("__source"))).where("__size > 0"))
-    inside = F.coalesce(F.col("__range") == F.col("__cut"), F.lit(False))
+    body = F.col("row")[text]
+    found = (docs.select(whole_row(docs), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), key.alias("key"),
+                         word_count(F.col(text)).alias("size"))
+             .withColumn("range", F.floor(F.log2("key") * ranges))
+             .join(by_source, F.col("source").eqNullSafe(F.col("plan_source"))).where("size > 0"))
+    inside = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
     easy = found.where(~inside).withColumn(
-        "__extra", F.when(F.col("__range") <= F.col("__upto"), F.col("__size")).otherwise(0).cast("bigint"))
+        "extra", F.when(F.col("range") <= F.col("upto"), F.col("size")).otherwise(0).cast("bigint"))
     same = ["source", "sampling_key", "doc_id", "size"]
     split = taken_of(rows, plan.where("whole IS NULL")).withColumn(
-        "__nth", F.row_number().over(W.partitionBy(same).orderBy("extra"))).select(
-        *[F.col(c).alias(f"__{c}_of") for c in same], F.col("__nth").alias("__nth_of"), F.col("extra").alias("__extra"))
+        "nth", F.row_number().over(W.partitionBy(same).orderBy("extra"))).select(
+        *[F.col(c).alias(f"{c}_of") for c in same], F.col("nth").alias("nth_of"), "extra")
     hard = found.where(inside).withColumn(
-        "__nth", F.row_number().over(W.partitionBy(source, "__key", doc_id, "__size").orderBy(text)))
-    hard = hard.join(split, F.col(source).eqNullSafe(F.col("__source_of"))
-                     & (F.col("__key") == F.col("__sampling_key_of"))
-                     & F.col(doc_id).eqNullSafe(F.col("__doc_id_of")) & (F.col("__size") == F.col("__size_of"))
-                     & (F.col("__nth") == F.col("__nth_of")))
-    both = easy.select(*columns, "__size", "__epochs", "__extra").unionByName(
-        hard.select(*columns, "__size", "__epochs", "__extra"))
-    copies = F.col("__epochs") + (F.col("__extra") > 0).cast("bigint")
-    repeated = (both.withColumn("__copies", copies).where("__copies > 0")
-                .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__copies"))))
-    words = F.split(F.trim(F.regexp_replace(F.col(text), SPACE_RUN, " ")), " ")
-    part = (F.col("__copy") > F.col("__epochs")) & (F.col("__extra") < F.col("__size"))
-    cut = F.when(part, F.concat_ws(" ", F.slice(words, 1, F.greatest(F.lit(1), F.col("__extra")).cast("int"))))
-    return repeated.withColumn(text, cut.otherwise(F.col(text))).select(*columns)
+        "nth", F.row_number().over(W.partitionBy("source", "key", "doc_id", "size").orderBy(body)))
+    hard = hard.join(split, F.col("source").eqNullSafe(F.col("source_of")) & (F.col("key") == F.col("sampling_key_of"))
+                     & F.col("doc_id").eqNullSafe(F.col("doc_id_of")) & (F.col("size") == F.col("size_of"))
+                     & (F.col("nth") == F.col("nth_of")))
+    wanted = ["row", "size", "epochs", "extra"]
+    copies = F.col("epochs") + (F.col("extra") > 0).cast("bigint")
+    repeated = (easy.select(wanted).unionByName(hard.select(wanted)).withColumn("copies", copies).where("copies > 0")
+                .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))))
+    words = F.split(F.trim(F.regexp_replace(body, SPACE_RUN, " ")), " ")
+    part = (F.col("copy") > F.col("epochs")) & (F.col("extra") < F.col("size"))
+    cut = F.when(part, F.concat_ws(" ", F.slice(words, 1, F.greatest(F.lit(1), F.col("extra")).cast("int")))).otherwise(body)
+    return repeated.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

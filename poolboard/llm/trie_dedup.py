@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import FILTER_BITS, SPACES, encoded, key_filter, map_rows, may_be_in, read_documents, stored
+from poolboard.llm.common import FILTER_BITS, SPACES, encoded, key_filter, map_rows, may_be_in, read_documents, stored, whole_row
 
 #: Bytes of labels that a task's trie holds before it spills its largest subtrees.
 TRIE_BYTES = 128 << 20
@@ -194,22 +194,24 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bu
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all columns. Rows that repeat id and text are reduced to one.
+    """The rows that stay, with all columns, which may have any names. Rows that repeat id and text are reduced to one.
 
-    Only rows whose id a filter can't clear of dropped copies are shuffled with their text.
+    Null counts as empty, and all empty texts are one group; null ids come last; of equal texts with equal ids one row
+    stays. An empty table gives no rows. Only rows whose id a filter can't clear of dropped copies are shuffled with
+    their text.
     """
     groups = stored(exact_groups(docs, doc_id, text), "copies")
     gone = key_filter(groups.where(~F.col("kept")).select("doc_id"), "doc_id")
-    marked = docs.withColumn("__maybe", may_be_in(gone, doc_id) | F.col(doc_id).isNull())
-    clear = marked.where(~F.col("__maybe")).drop("__maybe")
-    bare = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[ \\t\\n\\x0B\\f\\r]", "")
-    rest = marked.where("__maybe").drop("__maybe").withColumn("__sha256", F.sha2(bare.cast("binary"), 256))
-    kept = groups.where("kept").select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_sha256"))
-    rest = rest.join(kept, rest[doc_id].eqNullSafe(kept["__kept"]) & (rest["__sha256"] == kept["__kept_sha256"]),
-                     "left_semi")
-    most = W.partitionBy(doc_id, "__sha256").orderBy(F.desc(F.length(text)), F.col(text))
-    rest = rest.withColumn("__nth", F.row_number().over(most)).where("__nth = 1").drop("__nth", "__sha256")
-    return clear.unionByName(rest)
+    body = F.col("row")[text]
+    marked = docs.select(whole_row(docs)).select("row", F.col("row")[doc_id].alias("doc_id")).withColumn(
+        "maybe", may_be_in(gone, "doc_id") | F.col("doc_id").isNull())
+    bare = F.regexp_replace(F.coalesce(body, F.lit("")), "[ \\t\\n\\x0B\\f\\r]", "")
+    rest = marked.where("maybe").withColumn("sha256", F.sha2(bare.cast("binary"), 256))
+    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha256"))
+    rest = rest.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha256") == F.col("kept_sha256")), "left_semi")
+    most = W.partitionBy("doc_id", "sha256").orderBy(F.desc(F.length(body)), body)
+    rest = rest.withColumn("nth", F.row_number().over(most)).where("nth = 1")
+    return marked.where(~F.col("maybe")).select("row").unionByName(rest.select("row")).select("row.*")
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from poolboard.llm import jaccard, trie_dedup
 from poolboard.llm.components import components
 from poolboard.llm.trie_dedup import Patricia, better
 
+WORDS = [f"word{n}" for n in range(400)]
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "a b"), (5, "ab"), (6, "a  b"), (7, "a\x0bb\x0c"), (8, "a b"),
          (9, "x" * 50_000), (10, "x" * 25_000 + " " + "x" * 25_000), (4, "a b"), (None, "ab c"), (None, None), (11, "abc")]
 
@@ -178,3 +179,22 @@ def test_components(spark, links):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_near_copies_go_by_id_and_text(spark, texts):
+    """Rows that share an id are told apart; one of each group stays."""
+    rng = random.Random(8)
+
+    def words(n):
+        return " ".join(rng.choice(WORDS) for _ in range(n))
+    a, b, c = words(80), words(90), words(70)
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, b + " x"), (7, c), (7, c + " y"), (None, a), (None, c + " z"), (None, words(60)),
+            (8, None), (8, ""), (8, " "), (9, words(3)), (9, words(3))]
+    rows += [(None, d) for d in [words(50)] * 2]
+    kept = jaccard.drop_near_copies(texts(rows).withColumnsRenamed({"word": "node", "part": "maybe"}).repartition(4))
+    assert "node" in kept.columns and "maybe" in kept.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    ones = [r for r in found if r[1] in (c, c + " y")]
+    assert len(ones) == 1 and ones[0][0] == 7
+    wanted = [(3, a), (5, b), *ones, rows[9], *rows[10:15], rows[15]]
+    assert found == sorted(wanted, key=repr)
