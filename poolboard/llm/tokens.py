@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words of a generation; a worker remembers two of them, some 40 MB.
-MEMO_WORDS = 100_000
+#: Words that a worker remembers, in flat arrays of some 50 bytes a word; beyond them the less frequent half goes.
+MEMO_WORDS = 600_000
 #: Letters of the texts that are looked up together.
-LETTERS = 2 << 20
+LETTERS = 4 << 20
 #: Words of a library call; the library takes some hundred bytes for each letter of a call.
 CALL_WORDS = 8_000
 #: A longer run without white space is encoded but not remembered.
@@ -48,9 +48,10 @@ class WordEncoder:
     def __init__(self, path: str) -> None:
         self.library = load(path)
         self.separator = self.library.token_to_id(SEPARATOR)
-        #: Words met lately, and those before: who is met again moves up, the others go with their generation.
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        #: Ids of the remembered words one after the other; where each word's start, how many they are, how often it came.
+        self.pool = np.empty(0, dtype="<u4")
+        self.place, self.size, self.met = (np.empty(0, dtype=np.int32) for _ in range(3))
         self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), dtype=bool)
         self.ends[[n for token, n in self.library.get_vocab().items() if token.endswith("</w>")]] = True
 
@@ -103,33 +104,41 @@ class WordEncoder:
 
     def some(self, texts: list[str | None]) -> list[np.ndarray]:
         split = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.young) > MEMO_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        own = [young.get(w) for w in words]
-        for n in [n for n, ids in enumerate(own) if ids is None]:
-            ids = old.get(words[n])
-            if ids is not None:
-                own[n] = young[words[n]] = ids
-        new = [n for n, ids in enumerate(own) if ids is None]
-        if new:
-            unseen = [words[n] for n in new]
-            for n, w, ids in zip(new, unseen, self.ids(unseen), strict=True):
-                own[n] = ids
-                if len(w) <= MEMO_LENGTH:
-                    young[w] = ids
-        pool = np.frombuffer(b"".join(own), dtype="<u4")
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) >> 2
-        place = np.cumsum(sizes) - sizes
+        # the remembered words go first, so that a word's code is its place in memory, and new words come behind them
+        coded = pa.chunked_array([self.words, split.flatten()]).dictionary_encode().chunks[-1]
         at = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[at]
+        self.learn(coded.dictionary)
+        lengths = self.size[at]
         ends = np.cumsum(lengths)
-        flat = pool[np.repeat(place[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        total = int(ends[-1]) if len(ends) else 0
+        flat = self.pool[np.repeat((self.place[at] - ends + lengths).astype(np.int32), lengths) + np.arange(total, dtype=np.int32)]
         cuts = np.concatenate(([0], ends))[split.offsets.to_numpy()]
+        self.met += np.bincount(at, minlength=len(self.met)).astype(np.int32)
+        self.forget()
         return [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
+    def learn(self, words: pa.Array) -> None:
+        """Encode the words behind those remembered."""
+        raw = self.ids(words.slice(len(self.words)).to_pylist())
+        size = np.fromiter(map(len, raw), dtype=np.int32, count=len(raw)) >> 2
+        place = (len(self.pool) + np.cumsum(size) - size).astype(np.int32)
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(raw), dtype="<u4")])
+        self.place, self.size = np.concatenate([self.place, place]), np.concatenate([self.size, size])
+        self.met = np.concatenate([self.met, np.zeros(len(size), dtype=np.int32)])
+        self.words = words
+
+    def forget(self) -> None:
+        """Drop very long words, and of too many the half that came less often; then counts are halved, so new words get a chance."""
+        short = np.flatnonzero(pc.less_equal(pc.binary_length(self.words), MEMO_LENGTH).to_numpy(zero_copy_only=False))
+        if len(short) > MEMO_WORDS:
+            short = np.sort(short[np.argsort(self.met[short], kind="stable")[-(MEMO_WORDS // 2):]])
+            self.met >>= 1
+        if len(short) < len(self.words):
+            self.size, self.met, place = self.size[short], self.met[short], self.place[short]
+            starts = np.cumsum(self.size) - self.size
+            self.pool = self.pool[np.repeat(place - starts, self.size) + np.arange(self.size.sum())]
+            self.place, self.words = starts.astype(np.int32), self.words.take(pa.array(short))
+
 
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:

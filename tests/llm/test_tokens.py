@@ -60,6 +60,18 @@ def test_word_encoder_equals_the_library(library):
     assert encoder.encode([]) == []
 
 
+def test_word_encoder_forgets_and_learns_again(library, monkeypatch):
+    from poolboard.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 30)
+    monkeypatch.setattr(tokens, "LETTERS", 200)
+    encoder = WordEncoder(PATH)
+    for texts in (ODD, some_texts(6, 80), ["x" * 5000, "often often rare"], some_texts(6, 80), ODD, [None, ""]):
+        assert [a.tolist() for a in encoder.encode(texts)] == [ids(library, t) for t in texts]
+        assert len(encoder.words) <= 30 and len(encoder.pool) == encoder.size.sum()
+        assert max(map(len, encoder.words.to_pylist())) <= tokens.MEMO_LENGTH
+
+
 def test_token_count_rows(spark, texts, library):
     rows = [(n, t) for n, t in enumerate(ODD)] + [(3, ODD[3]), (None, "a b")]
     found = token_count.token_counts(texts(rows), PATH, limit=10).collect()
