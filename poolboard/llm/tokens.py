@@ -11,9 +11,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker remembers, in flat arrays of some 50 bytes a word; beyond them the less frequent half goes.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 #: Letters of the texts that are looked up together.
-LETTERS = 4 << 20
+LETTERS = 2 << 20
 #: Words of a library call; the library takes some hundred bytes for each letter of a call.
 CALL_WORDS = 8_000
 #: A longer run without white space is encoded but not remembered.
