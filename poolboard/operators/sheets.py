@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.text import fill, mark, trimmed
 from ..functions.wording import (
     CONTEST_SIZE, OUTCOMES, ROW_MANY_MARKS, ROW_NO_PICK, ROW_UNKNOWN_MATCH, SHEET_ERRORS_HEAD, SHEET_ERRORS_MORE,
-    SHEET_ERRORS_SHOWN, SHEET_WRONG_SIZE)
+    SHEET_ERRORS_SHOWN, SHEET_HEADER, SHEET_WRONG_SIZE)
 
 MARK_COLUMNS = ("gana_local", "empate", "gana_visitante")
-#: Header of an export, in order, and of the older form; fixed values.
-EXPORTED = ("#", "Fecha", "Hora", "Día", "Gana Local", "Local", "Empate", "Visitante", "Gana Visitante")
+#: Cells by the header of an export (``SHEET_HEADER``) and of the older form; fixed values.
 EXPORT_COLUMNS = {"#": "match_order", "Gana Local": "gana_local", "Empate": "empate",
                   "Gana Visitante": "gana_visitante", "Pronóstico (1/X/2)": "old_pick"}
 
@@ -38,7 +37,7 @@ def from_export(cells: DataFrame) -> DataFrame:
 
 def read_filled(spark: SparkSession, path: str, set_id_type: str = "string") -> DataFrame:
     """Filled-in exports below ``path``, a folder ``set_id=...`` for each set, as a sheet."""
-    columns = ", ".join(f"`{name}` string" for name in EXPORTED)
+    columns = ", ".join(f"`{name}` string" for name in SHEET_HEADER)
     cells = spark.read.schema(f"{columns}, set_id {set_id_type}").option("header", True).csv(path)
     return from_export(cells)
 
