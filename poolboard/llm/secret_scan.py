@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,19 +20,36 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
                     re.IGNORECASE | re.ASCII)
 #: A text without any of these has no assignment.
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Whole runs of the characters credentials are made of; a key id or a hex string lies inside one.
-RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: Symbols of credentials. Runs of the shortest assigned value's length and more are candidates; a key id or a hex string
+#: lies inside a longer one.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+LEAST = 6
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % LEAST)
+LONG = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{16,}"), re.compile(r"[0-9a-f]{24,}")
-#: Labelled strings of each kind (and ordinary runs) that an automaton is learned from, by smallest hash.
+#: What parts a run: ``NAME=value`` and ``path/value`` hold a value of their own.
+PARTED, PARTS = re.compile(r"[^=/]+"), re.compile("[=/]")
+#: Strings are learned and scored by their consecutive parts of so many symbols: the prefix tree has a bounded depth.
+DEPTH = 64
+#: Labelled parts of each kind that an automaton is learned from, by smallest hash.
 SAMPLE = 1000
 #: Confidence of the test that keeps two states apart, and the probability left for a symbol never seen in a state.
 ALPHA, UNSEEN = 0.05, 1e-4
 #: Bits by which a format must explain a run better than ordinary runs do.
 MARGIN = 4.0
-#: A format's own bound: bits per character of all but this share of its labelled strings, and this much less.
+#: A format's own bound: bits per symbol (the end is one) of all but this share of its labelled strings, and this much less.
 TAIL, SLACK = 0.01, 0.25
-FOUND = ("doc_id bigint, base array<struct<kind:int,start:bigint,end:bigint,value:string>>, "
-         "runs array<struct<start:bigint,value:string>>")
+#: Weight of the shorter context in the frequencies of ordinary runs.
+BLEND = 32.0
+#: Runs a task remembers the outcome of.
+REMEMBERED = 200_000
+#: Number of a symbol by its byte; 0 stands before and after a run.
+CODES = np.zeros(256, dtype=np.int64)
+CODES[list(SYMBOLS.encode())] = np.arange(1, len(SYMBOLS) + 1)
+BASE = len(SYMBOLS) + 1
+LEARNED = "kind int, value string, gram int, n bigint"
+SCANNED = ("doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, "
+           "n_format bigint")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -39,19 +58,44 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     small = text.lower()
     if any(name in small for name in NAMES):
         spans += [(0, m.start(), m.end(), m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
-    for run in RUN.finditer(text):
-        at, value = run.start(), run[0]
-        if len(value) >= 20:
-            spans += [(1, at + m.start(), at + m.end(), m[0]) for m in ACCESS.finditer(value)]
-        if len(value) >= 24:
-            spans += [(2, at + m.start(), at + m.end(), m[0]) for m in HEX.finditer(value)]
+    for run in LONG.finditer(text):
+        for kind, pattern in ((1, ACCESS), (2, HEX)):
+            spans += [(kind, run.start() + m.start(), run.start() + m.end(), m[0]) for m in pattern.finditer(run[0])]
     return spans
 
 
-def free_runs(text: str, spans: list[tuple]) -> list[tuple[int, str]]:
-    """Candidate runs that no base span touches."""
-    return [(m.start(), m[0]) for m in RUN.finditer(text)
-            if not any(start < m.end() and m.start() < end for _, start, end, _ in spans)]
+class Covered:
+    """What base spans cover, by bisection."""
+
+    def __init__(self, spans: list[tuple]) -> None:
+        order = sorted((start, end) for _, start, end, _ in spans)
+        self.starts, self.ends = [start for start, _ in order], []
+        for _, end in order:
+            self.ends.append(max(end, self.ends[-1] if self.ends else 0))
+
+    def touches(self, start: int, end: int) -> bool:
+        before = bisect.bisect_left(self.starts, end)
+        return before > 0 and self.ends[before - 1] > start
+
+
+def free_runs(text: str, spans: list[tuple]) -> list[str]:
+    """Runs that no base span touches."""
+    if not spans:
+        return RUN.findall(text)
+    covered = Covered(spans)
+    return [m[0] for m in RUN.finditer(text) if not covered.touches(m.start(), m.end())]
+
+
+def variants(run: str, start: int, end: int) -> list[tuple[int, int]]:
+    """A place in a run as it is and without signs at its ends, if long enough."""
+    part = run[start:end]
+    left = start + len(part) - len(part.lstrip("+/_.=-"))
+    places = [(start, end), (left, max(left, start + len(part.rstrip("+/_.=-"))))]
+    return [(a, b) for a, b in dict.fromkeys(places) if b - a >= LEAST]
+
+
+def parts(string: str) -> list[str]:
+    return [string[at:at + DEPTH] for at in range(0, len(string), DEPTH)]
 
 
 class Automaton:
@@ -77,7 +121,10 @@ class Automaton:
                 state = self.after[state][symbol]
             self.ended[state] += times
         self.merge_states()
-        own = sorted(self.bits(s) / max(1, len(s)) for s in strings)
+        self.steps = [{s: (math.log2(n / self.visits(r) * (1 - UNSEEN)), self.after[r][s])
+                       for s, n in self.passed[r].items()} for r in range(len(self.after))]
+        self.ends = [math.log2(max(UNSEEN, self.ended[r] / max(1, self.visits(r)))) for r in range(len(self.after))]
+        own = sorted(self.bits(s) / (len(s) + 1) for s in strings)
         self.least = own[int(len(own) * TAIL)] - SLACK if own else 0.0
 
     def visits(self, state: int) -> int:
@@ -122,15 +169,16 @@ class Automaton:
 
     def merge_states(self) -> None:
         """Red states stay; a blue one, next to a red one, is merged into the first red state like it, or stays too."""
-        red = [0]
+        red, kept = [0], {0}
         while True:
-            blue = next(((r, s, t) for r in red for s, t in sorted(self.after[r].items()) if t not in red), None)
+            blue = next(((r, s, t) for r in red for s, t in sorted(self.after[r].items()) if t not in kept), None)
             if blue is None:
                 break
             source, symbol, state = blue
             twin = next((r for r in red if self.alike(r, state)), None)
             if twin is None:
                 red.append(state)
+                kept.add(state)
             else:
                 self.after[source][symbol] = twin
                 self.fold(twin, state)
@@ -139,41 +187,137 @@ class Automaton:
         self.passed = [self.passed[r] for r in red]
         self.ended = [self.ended[r] for r in red]
 
-    def bits(self, string: str) -> float:
-        """log2 likelihood of a string; an unseen symbol costs much and leads back to the start."""
-        state, total = 0, 0.0
-        for symbol in string:
-            count = self.passed[state].get(symbol, 0)
-            n = self.visits(state)
-            total += math.log2(count / n * (1 - UNSEEN) if count else UNSEEN)
-            state = self.after[state][symbol] if count else 0
-        return total + math.log2(max(UNSEEN, self.ended[state] / max(1, self.visits(state))))
+    def bits(self, string: str, least: float = -math.inf) -> float:
+        """log2 likelihood of a string by its parts; an unseen symbol costs much and leads back to the start.
 
+        Likelihoods only fall, so reading ends where one is below ``least``.
+        """
+        total = 0.0
+        for part in parts(string):
+            state = 0
+            for symbol in part:
+                step = self.steps[state].get(symbol)
+                if step is None:
+                    total, state = total + math.log2(UNSEEN), 0
+                else:
+                    total, state = total + step[0], step[1]
+                if total < least:
+                    return -math.inf
+            total += self.ends[state]
+        return total if total >= least else -math.inf
 
-def is_secret(value: str, formats: list[Automaton], ordinary: Automaton | None, margin: float) -> bool:
-    """Whether a format explains a run as well as its own credentials, and better than ordinary text does.
 
-    Without ordinary runs to learn from, ordinary text is 64 even symbols.
-    """
-    usual = ordinary.bits(value) if ordinary else -6.0 * len(value)
-    found = ((f.bits(value), f.least) for f in formats)
-    return any(bits >= least * len(value) and bits >= usual + margin for bits, least in found)
+class Ordinary:
+    """Ordinary runs: a symbol's frequencies after the last two, blended with those after one and after none.
 
+    A run was counted itself, so its own grams are left out of the counts that judge it.
+    """
 
-def learn(found: DataFrame, sample: int) -> tuple[list[Automaton], Automaton | None]:
-    """One automaton per kind of credential and one of ordinary runs, each from at most ``sample`` distinct strings.
+    def __init__(self, grams: np.ndarray) -> None:
+        three = grams.reshape(BASE, BASE, BASE)
+        self.three, self.after_two = three, three.sum(axis=2)
+        self.two, self.after_one = three.sum(axis=0), three.sum(axis=(0, 2))
+        self.one, self.total = three.sum(axis=(0, 1)), int(three.sum())
 
-    Credentials count once each; ordinary runs as often as they occur, so that the few secrets among them weigh little.
+    def bits(self, string: str) -> float:
+        """log2 likelihood of a run and its end."""
+        numbers = gram_numbers([string])
+        before, last, symbol = np.unravel_index(numbers, self.three.shape)
+
+        def others(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+            _, place, own = np.unique(keys, return_inverse=True, return_counts=True)
+            return np.maximum(counts - own[place], 0)
+
+        share = (others(self.one[symbol], symbol) + 1) / (max(self.total - len(numbers), 0) + BASE)
+        share = ((others(self.two[last, symbol], last * BASE + symbol) + BLEND * share)
+                 / (others(self.after_one[last], last) + BLEND))
+        share = ((others(self.three[before, last, symbol], numbers) + BLEND * share)
+                 / (others(self.after_two[before, last], before * BASE + last) + BLEND))
+        return float(np.log2(share).sum())
+
+
+def gram_numbers(runs: list[str]) -> np.ndarray:
+    """Numbers of all runs of three symbols, each run between two ends before it and one behind it."""
+    codes = CODES[np.frombuffer(("\0\0" + "\0\0".join(runs) + "\0").encode(), dtype=np.uint8)]
+    numbers = (codes[:-2] * BASE + codes[1:-1]) * BASE + codes[2:]
+    # the second of two ends is no symbol to be expected
+    return numbers[~((codes[2:] == 0) & (codes[1:-1] == 0))]
+
+
+class Scorer:
+    """Places of secrets in a run, remembered for a bounded number of runs."""
+
+    def __init__(self, formats: list[Automaton], ordinary: Ordinary, margin: float) -> None:
+        self.formats, self.ordinary, self.margin = formats, ordinary, margin
+        self.known: dict[str, list[tuple[int, int]]] = {}
+
+    def gain(self, value: str) -> float:
+        """Bits by which a format explains a value better than ordinary runs do; minus infinity if it is no secret.
+
+        The format has to explain it as well as its own credentials, too, and the gain to reach the margin.
+        """
+        best = max((f.bits(value, f.least * (len(value) + 1)) for f in self.formats), default=-math.inf)
+        if best == -math.inf:
+            return best
+        gain = best - self.ordinary.bits(value)
+        return gain if gain >= self.margin else -math.inf
+
+    def best(self, run: str, start: int, end: int) -> tuple[float, int, int]:
+        """The better of a place's variants, the longer one of equals."""
+        found = [(self.gain(run[a:b]), a, b) for a, b in variants(run, start, end)]
+        return max(found, key=lambda f: f[0], default=(-math.inf, start, end))
+
+    def places(self, run: str) -> list[tuple[int, int]]:
+        """Secrets of a run: all of it, or its parts between ``=`` and ``/`` if one of them gains more than all of it."""
+        taken = self.known.get(run)
+        if taken is None:
+            whole = self.best(run, 0, len(run))
+            inner = [self.best(run, m.start(), m.end()) for m in PARTED.finditer(run)] if PARTS.search(run) else []
+            tried = inner if max(inner, default=whole)[0] > whole[0] else [whole]
+            taken = [(a, b) for gain, a, b in tried if gain > -math.inf]
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            if len(run) <= DEPTH:
+                self.known[run] = taken
+        return taken
+
+    def spans(self, text: str, base: list[tuple]) -> list[tuple[int, int, int]]:
+        """``format`` spans of a text beside its base spans."""
+        if not self.formats or not any(self.places(run) for run in RUN.findall(text)):
+            return []
+        covered = Covered(base)
+        return [(3, m.start() + a, m.start() + b) for m in RUN.finditer(text) for a, b in self.places(m[0])
+                if not covered.touches(m.start() + a, m.start() + b)]
+
+
+def learn(texts: DataFrame, sample: int) -> tuple[list[Automaton], Ordinary]:
+    """Of a frame of texts: one automaton per kind of credential, and the counts of all other runs.
+
+    An automaton is learned from at most ``sample`` distinct parts. Tasks cut credentials into parts of ``DEPTH`` symbols and count three-symbol grams of all other runs in an array; the
+    driver gets ``sample`` parts a kind and one number per gram (at most 69 to the third), however long the runs are.
     """
-    labelled = found.select(F.explode("base").alias("s")).select(F.col("s.kind").alias("kind"),
-                                                                 F.col("s.value").alias("value"))
-    others = found.select(F.explode("runs").alias("s")).select(F.lit(3).alias("kind"), F.col("s.value").alias("value"))
+    def search(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        grams = np.zeros(BASE ** 3, dtype=np.int64)
+        for rows in slices:
+            labelled, ordinary = set(), []
+            for text, in rows:
+                spans = base_spans(text or "")
+                labelled.update((kind, part) for kind, _, _, value in spans for part in parts(value))
+                ordinary += free_runs(text or "", spans)
+            if ordinary:
+                grams += np.bincount(gram_numbers(ordinary), minlength=BASE ** 3)
+            yield [(kind, part, None, 1) for kind, part in sorted(labelled)]
+        yield [(None, None, int(n), int(grams[n])) for n in grams.nonzero()[0]]
+
+    found = stored(map_rows(texts, search, LEARNED), "secrets")
     order = W.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
-    picked = (labelled.unionByName(others).groupBy("kind", "value").count()
+    picked = (found.where("kind is not null").select("kind", "value").distinct()
               .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).collect())
-    strings = [{r["value"]: r["count"] if kind == 3 else 1 for r in sorted(picked) if r["kind"] == kind}
-               for kind in range(4)]
-    return [Automaton(s) for s in strings[:3] if s], Automaton(strings[3]) if strings[3] else None
+    strings = [{r["value"]: 1 for r in sorted(picked) if r["kind"] == kind} for kind in range(3)]
+    grams = np.zeros(BASE ** 3, dtype=np.int64)
+    for gram, n in found.where("kind is null").groupBy("gram").agg(F.sum("n")).collect():
+        grams[gram] = n
+    return [Automaton(s) for s in strings if s], Ordinary(grams)
 
 
 def joined(spans: list[tuple]) -> str:
@@ -184,43 +328,34 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: in
          margin: float = MARGIN) -> DataFrame:
     """Secrets of every whole text: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format.
 
-    One scan writes each text's base spans and its other runs of 16 and more credential characters. Automata are learned
-    from a bounded sample of the distinct credentials found (and one from ordinary runs); every other run that mixes
-    letters and digits and that a format explains, ``margin`` bits better than ordinary, becomes a ``format`` span. Spans
-    are ``kind:start:end`` over whole matches in code points, end exclusive, by start, then kind.
+    A first scan gathers credentials and the frequencies of symbols in all other runs; automata are learned from a
+    bounded sample of the credentials. A second one scores every run of six and more credential symbols, letters alone
+    too: all of it or its parts between ``=`` and ``/``, with or without signs around, whichever gains most. What a
+    format explains, ``margin`` bits better than ordinary runs, becomes a ``format`` span unless a base span touches it.
+    Spans are ``kind:start:end`` over whole matches in code points, end exclusive, by start, then kind.
 
     Null counts as empty: no spans, the hash of the empty string. Repeated rows and null ids: each scanned for itself.
-    Without any credential in the table there are no automata and no ``format`` spans. An empty table gives no rows.
+    Very long runs are learned and scored by their consecutive parts of 64 symbols. Of equal gains the whole
+    and the longer one stay. Without any credential in the table there are no automata and no ``format`` spans. An
+    empty table gives no rows.
     """
-
-    def search(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
-        for rows in slices:
-            out = []
-            for key, value in rows:
-                spans = base_spans(value or "")
-                out.append((key, [dict(zip(("kind", "start", "end", "value"), s, strict=True)) for s in spans],
-                            [{"start": a, "value": v} for a, v in free_runs(value or "", spans)]))
-            yield out
-
-    found = stored(map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), search, FOUND),
-                   "secrets")
-    formats, ordinary = learn(found, sample)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    formats, ordinary = learn(docs.select("text"), sample)
 
     def score(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        scorer = Scorer(formats, ordinary, margin)
         for rows in slices:
             out = []
-            for key, base, runs in rows:
-                spans = [(s["kind"], s["start"], s["end"]) for s in base]
-                counts = [sum(k == kind for k, _, _ in spans) for kind in range(3)]
-                more = [(3, r["start"], r["start"] + len(r["value"])) for r in runs
-                        if re.search("[0-9]", r["value"]) and re.search("[A-Za-z]", r["value"])
-                        and is_secret(r["value"], formats, ordinary, margin)]
+            for key, value in rows:
+                found = base_spans(value or "")
+                spans = [span[:3] for span in found]
+                counts = [sum(kind == k for kind, _, _ in spans) for k in range(3)]
+                more = scorer.spans(value or "", found)
                 out.append((key, *counts, hashlib.sha256(joined(spans).encode()).hexdigest(), joined(spans + more),
                             len(more)))
             yield out
 
-    return map_rows(found, score, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, "
-                                  "base_sha256 string, spans string, n_format bigint")
+    return map_rows(docs, score, SCANNED)
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
