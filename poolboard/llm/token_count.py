@@ -8,7 +8,8 @@ States and transitions are made when first met and kept within a bound, as autom
 
 Words are separated by white space, which always leads back to the start state. The state map of a chunk of text is
 thus its unfinished head, the count between and its unfinished tail. These maps compose associatively: long texts are
-cut into chunks, and the maps of the chunks are folded as a balanced tree.
+cut into chunks, and the maps of the chunks are folded as a balanced tree. Chunks of very long texts are rows: tasks map
+them on their own, and each round of a parallel scan composes runs of neighbouring maps.
 """
 
 from __future__ import annotations
@@ -18,15 +19,21 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import encoded, map_rows, read_documents
+from poolboard.llm.common import arrow_schema, encoded, map_rows, read_documents, stored
 from poolboard.llm.tokens import tokenizer_path
 
 LIMIT = 2048
 #: Bytes of a chunk of a long text.
 CHUNK = 1 << 16
+#: Bytes beyond which the chunks of a text are rows of their own, and neighbouring maps that one call composes.
+LONG, FAN = 1 << 20, 64
+CHUNKS = "row bigint, doc_id bigint, n_bytes bigint, place bigint, bytes binary"
+MAPS = "row bigint, doc_id bigint, n_bytes bigint, place bigint, head binary, total bigint, tail binary"
+COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
 #: Transitions and words that a worker keeps before it drops them all.
 TRANSITIONS, WORDS = 1_000_000, 1_000_000
 #: A longer word is counted but not remembered.
@@ -188,10 +195,17 @@ class Transducer:
     def text(self, text: bytes) -> int:
         if len(text) <= CHUNK:
             return self.count(text.split())
-        maps = [self.chunk(text[at:at + CHUNK]) for at in range(0, len(text), CHUNK)]
+        return self.finished(self.folded([self.chunk(text[at:at + CHUNK]) for at in range(0, len(text), CHUNK)]))
+
+    def folded(self, maps: list[tuple]) -> tuple:
+        """The map of several chunks in a row, folded as a balanced tree."""
         while len(maps) > 1:
             maps = [self.compose(*maps[n:n + 2]) if n + 1 < len(maps) else maps[n] for n in range(0, len(maps), 2)]
-        head, total, tail = maps[0]
+        return maps[0]
+
+    def finished(self, whole: tuple) -> int:
+        """Tokens of a text with this map."""
+        head, total, tail = whole
         return total + self.count([w for w in (head, tail) if w])
 
 
@@ -201,13 +215,57 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id",
-                 text: str = "text") -> DataFrame:
-    """Bytes and tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit; one row per row, no shuffle.
+def long_counts(docs: DataFrame, tokenizer: str, limit: int, chunk: int, fan: int) -> DataFrame | None:
+    """The rows of ``token_counts`` for very long texts, (row, doc_id, text); None if there are none.
+
+    Chunks are dealt to tasks by row and place, so a text's chunks spread over all tasks. Each round groups ``fan``
+    neighbouring maps; rounds follow the logarithm of the longest text.
+    """
+    def cut(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        for rows in slices:
+            for row, key, text in rows:
+                raw = encoded(text)
+                for start in range(0, len(raw), fan * chunk):
+                    yield [(row, key, len(raw), at // chunk, raw[at:at + chunk])
+                           for at in range(start, min(start + fan * chunk, len(raw)), chunk)]
+
+    def mapped(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        machine = transducer(tokenizer)
+        for rows in slices:
+            yield [(*row[:4], *machine.chunk(row[4])) for row in rows]
+
+    schema = arrow_schema(MAPS)
+
+    def composed(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(c.to_pylist() for c in table.select(schema.names).columns), strict=True), key=lambda r: r[3])
+        whole = transducer(tokenizer).folded([row[4:] for row in rows])
+        return pa.Table.from_pylist([dict(zip(schema.names, (*rows[0][:3], rows[0][3] // fan, *whole), strict=True))], schema)
 
-    ``tokenizer`` is a byte-level BPE file with word ends whose splitter drops white space. Null counts as empty: no
-    bytes, no tokens. Repeated rows and null ids: counted each for itself. An empty table gives no rows. Other columns
-    are ignored.
+    def finished(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
+        machine = transducer(tokenizer)
+        for rows in slices:
+            counts = [machine.finished(row[4:]) for row in rows]
+            yield [(row[1], row[2], n, n > limit) for row, n in zip(rows, counts, strict=True)]
+
+    chunks = stored(map_rows(docs, cut, CHUNKS).repartition("row", "place"), "chunks")
+    last = chunks.agg(F.max("place")).first()[0]
+    if last is None:
+        return None
+    maps = map_rows(chunks, mapped, MAPS)
+    while last > 0:
+        maps = maps.groupBy("row", F.floor(F.col("place") / fan).alias("up")).applyInArrow(composed, MAPS)
+        last //= fan
+    return map_rows(maps, finished, COUNTS)
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
+                 long: int = LONG, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """Bytes and tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit; one row per row.
+
+    ``tokenizer`` is a byte-level BPE file with word ends whose splitter drops white space. Texts of up to ``long`` bytes
+    are counted where they are read; chunks of longer ones are shuffled and their maps composed. A run without white space
+    is one word however long, and stays whole. Null counts as empty: no bytes, no tokens. Repeated rows and null ids:
+    counted each for itself. An empty table gives no rows. Other columns are ignored.
     """
 
     def run(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
@@ -220,8 +278,13 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: st
                 out.append((key, len(raw), n, n > limit))
             yield out
 
-    return map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), run,
-                    "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    is_long = F.coalesce(F.octet_length("text") > long, F.lit(False))
+    counts = map_rows(rows.where(~is_long), run, COUNTS)
+    # the number of a row only has to tell rows apart until its chunks are written
+    numbered = rows.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    others = long_counts(numbered, tokenizer, limit, chunk, fan)
+    return counts if others is None else counts.unionByName(others)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
