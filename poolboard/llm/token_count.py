@@ -8,8 +8,8 @@ States and transitions are made when first met and kept within a bound, as autom
 
 Words are separated by white space, which always leads back to the start state. The state map of a chunk of text is
 thus its unfinished head, the count between and its unfinished tail. These maps compose associatively: long texts are
-cut into chunks, and the maps of the chunks are folded as a balanced tree. Chunks of very long texts are rows: tasks map
-them on their own, and each round of a parallel scan composes runs of neighbouring maps.
+cut into chunks, each a row that is mapped on its own, and each round of a parallel scan composes runs of neighbouring
+maps as a balanced tree.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from poolboard.llm.tokens import tokenizer_path
 LIMIT = 2048
 #: Bytes of a chunk of a long text.
 CHUNK = 1 << 16
-#: Bytes beyond which the chunks of a text are rows of their own, and neighbouring maps that one call composes.
-LONG, FAN = 1 << 20, 64
+#: Neighbouring maps that one call composes.
+FAN = 64
 CHUNKS = "row bigint, doc_id bigint, n_bytes bigint, place bigint, bytes binary"
 MAPS = "row bigint, doc_id bigint, n_bytes bigint, place bigint, head binary, total bigint, tail binary"
 COUNTS = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
@@ -216,7 +216,7 @@ def transducer(path: str) -> Transducer:
 
 
 def long_counts(docs: DataFrame, tokenizer: str, limit: int, chunk: int, fan: int) -> DataFrame | None:
-    """The rows of ``token_counts`` for very long texts, (row, doc_id, text); None if there are none.
+    """The rows of ``token_counts`` for texts of several chunks, (row, doc_id, text); None if there are none.
 
     Chunks are dealt to tasks by row and place, so a text's chunks spread over all tasks. Each round groups ``fan``
     neighbouring maps; rounds follow the logarithm of the longest text.
@@ -239,7 +239,8 @@ def long_counts(docs: DataFrame, tokenizer: str, limit: int, chunk: int, fan: in
     def composed(table: pa.Table) -> pa.Table:
         rows = sorted(zip(*(c.to_pylist() for c in table.select(schema.names).columns), strict=True), key=lambda r: r[3])
         whole = transducer(tokenizer).folded([row[4:] for row in rows])
-        return pa.Table.from_pylist([dict(zip(schema.names, (*rows[0][:3], rows[0][3] // fan, *whole), strict=True))], schema)
+        row = (*rows[0][:3], rows[0][3] // fan, *whole)
+        return pa.Table.from_pylist([dict(zip(schema.names, row, strict=True))], schema)
 
     def finished(slices: Iterator[list[tuple]]) -> Iterator[list[tuple]]:
         machine = transducer(tokenizer)
@@ -259,10 +260,10 @@ def long_counts(docs: DataFrame, tokenizer: str, limit: int, chunk: int, fan: in
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: str = "doc_id", text: str = "text",
-                 long: int = LONG, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+                 chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Bytes and tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit; one row per row.
 
-    ``tokenizer`` is a byte-level BPE file with word ends whose splitter drops white space. Texts of up to ``long`` bytes
+    ``tokenizer`` is a byte-level BPE file with word ends whose splitter drops white space. Texts of one ``chunk``
     are counted where they are read; chunks of longer ones are shuffled and their maps composed. A run without white space
     is one word however long, and stays whole. Null counts as empty: no bytes, no tokens. Repeated rows and null ids:
     counted each for itself. An empty table gives no rows. Other columns are ignored.
@@ -279,7 +280,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = LIMIT, doc_id: st
             yield out
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    is_long = F.coalesce(F.octet_length("text") > long, F.lit(False))
+    is_long = F.coalesce(F.octet_length("text") > chunk, F.lit(False))
     counts = map_rows(rows.where(~is_long), run, COUNTS)
     # the number of a row only has to tell rows apart until its chunks are written
     numbered = rows.where(is_long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")

@@ -73,10 +73,10 @@ def test_word_encoder_forgets_and_learns_again(library, monkeypatch):
 
 
 def test_chunks_of_long_texts_are_rows(spark, texts, library):
-    rows = [(n, t) for n, t in enumerate(ODD + some_texts(8, 30))] + [(3, ODD[3]), (13, ODD[13]), (13, ODD[13]), (None, ODD[13])]
+    rows = [(n, t) for n, t in enumerate(ODD + some_texts(8, 30))] + [(3, ODD[3])] + [(13, ODD[13])] * 2 + [(None, ODD[13])]
     expected = sorted(repr((i, len((t or "").encode()), len(ids(library, t)), len(ids(library, t)) > 10)) for i, t in rows)
-    for long, chunk, fan in ((40, 7, 3), (2000, 50, 4)):
-        found = token_count.token_counts(texts(rows).repartition(3), PATH, 10, long=long, chunk=chunk, fan=fan)
+    for chunk, fan in ((7, 3), (50, 4)):
+        found = token_count.token_counts(texts(rows).repartition(3), PATH, 10, chunk=chunk, fan=fan)
         assert sorted(repr(tuple(r)) for r in found.collect()) == expected
     plan = found._jdf.queryExecution().toString()
     assert "FlatMapGroupsInArrow" in plan
