@@ -185,6 +185,33 @@ def test_places_are_those_of_a_ranking_at_each_moment(spark, block):
     assert c.rows(got, "event_id", "user_id", "position") == sorted(wanted, key=repr)
 
 
+def test_blocks_of_one_contest_are_worked_on_by_several_tasks(spark):
+    """15,000 users at a moment: several blocks, a partition each, and lists taken apart by tasks of the product's size."""
+    users = spark.range(15_000).select(F.col("id").alias("user_id"), F.format_string("n%05d", "id").alias("username"))
+    start = users.select("user_id", (F.col("user_id") % 7).alias("points"))
+    moves = spark.createDataFrame([(3, datetime(2026, 6, 11), 1, 4)], "user_id long, ts timestamp, event_id long, delta long")
+    moments = moves.select("ts", "event_id")
+    named = order_statistics.by_name(users)
+    assert named.select("block").distinct().count() >= 7
+    asked = users.where("user_id % 5 = 0")
+    got = {r.user_id: r.position for r in order_statistics.places_at(named, start, moves, moments, asked).collect()}
+    points = {n: n % 7 + (4 if n == 3 else 0) for n in range(15_000)}
+    table = sorted(points, key=lambda n: (-points[n], n))
+    assert got == {n: place for place, n in enumerate(table, 1) if n % 5 == 0}
+
+
+def test_messages_of_a_moment_go_to_unranked_and_nameless_users_too(spark):
+    done = c.finished(spark, "1X").withColumn("event_id", F.col("match_id") + 1)
+    subs = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (3, 9, "c"), (4, None, "d")], "sub_id long, user_id long, endpoint string")
+    table = spark.createDataFrame(
+        [(11, 1, 5, None), (21, 1, 5, None)], "event_id long, user_id long, position long, prev_position long")
+    got = outbox.finish_outbox(done, subs, c.picks(spark, {1: "11"}), table, "event_id", table.select("user_id"))
+    lines = {(r.event_id, r.sub_id): r.body.split("\n")[2:] for r in got.collect()}
+    assert len(lines) == 8 and lines[11, 3] == lines[21, 4] == []
+    assert lines[11, 1] == lines[11, 2] and [len(lines[e, 1]) for e in (11, 21)] == [2, 2]
+    assert lines[11, 1][0] != lines[21, 1][0]
+
+
 def test_a_grid_follows_the_product():
     assert grid(1000, 72) == (1, 1)
     assert grid(10**8, 72) == (7200, 1)
