@@ -35,11 +35,21 @@ def from_export(cells: DataFrame) -> DataFrame:
                         *[cell(name).alias(column) for name, column in EXPORT_COLUMNS.items()])
 
 
-def read_filled(spark: SparkSession, path: str, set_id_type: str = "string") -> DataFrame:
-    """Filled-in exports below ``path``, a folder ``set_id=...`` for each set, as a sheet."""
-    columns = ", ".join(f"`{name}` string" for name in SHEET_HEADER)
-    cells = spark.read.schema(f"{columns}, set_id {set_id_type}").option("header", True).csv(path)
-    return from_export(cells)
+def write_filled(filled: DataFrame, path: str) -> None:
+    """Filled-in exports (set_id and the columns of the header), many sets to a file: files follow the bytes, not the sets.
+
+    A set's rows lie together in one file, ``set_id`` ahead of the header's columns.
+    """
+    (filled.select("set_id", *[F.col(f"`{name}`") for name in SHEET_HEADER]).repartition("set_id").write
+     .options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+
+
+def read_filled(spark: SparkSession, path: str, set_id_type: str = "string", together: bool = False) -> DataFrame:
+    """Filled-in exports below ``path`` as a sheet: a folder ``set_id=...`` for each set, or sets ``together`` in files
+    of ``write_filled``."""
+    columns, set_id = ", ".join(f"`{name}` string" for name in SHEET_HEADER), f"set_id {set_id_type}"
+    schema = f"{set_id}, {columns}" if together else f"{columns}, {set_id}"
+    return from_export(spark.read.schema(schema).option("header", True).csv(path))
 
 
 def sheet_rows(sheet: DataFrame, fixtures: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.wording import CONTEST_SIZE, OUTCOMES, SHEET_HEADER
+from ..functions.wording import CONTEST_SIZE, OUTCOMES
 from ..operators import admin, fixtures, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
 from ..session import fresh_path
 from ..sources import parted
@@ -134,9 +134,8 @@ def sheet_import(r):
     for name, outcome in zip(("Gana Local", "Empate", "Gana Visitante"), OUTCOMES, strict=True):
         filled = filled.withColumn(name, F.when(pick == outcome, "X").otherwise(""))
     path = fresh_path(r.spark, "filled")
-    (filled.select(F.col("user_id").alias("set_id"), *[F.col(f"`{c}`") for c in SHEET_HEADER])
-     .repartition("set_id").write.partitionBy("set_id").option("header", True).csv(path))
-    read = sheets.read_filled(r.spark, path, "bigint")
+    sheets.write_filled(filled.withColumn("set_id", F.col("user_id")), path)
+    read = sheets.read_filled(r.spark, path, "bigint", together=True)
     return sheets.sheet_normalise(sheets.sheet_rows(read, matches))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import contest as c
+from poolboard.functions import wording
 from poolboard.functions.ids import label_uuid
 from poolboard.operators import admin, fixtures, maintain, outbox, picks, policy, quality, ranking, scoring, sheets, social, stats
 
@@ -329,3 +330,18 @@ def test_write_gate_follows_owner_and_admin(spark):
          ("elsewhere", "insert", 1, 1, False)],
         "relation string, operation string, owner_id long, writer_id long, expected boolean")
     assert policy.write_gate(changes, who).where("allowed <> expected").count() == 0
+
+
+def test_files_of_an_import_follow_the_bytes_and_not_the_sets(spark, tmp_path):
+    import os
+
+    cells = [(s, str(i), "", "", "", " x" if i == s % 3 + 1 else "", "", "", "", "") for s in range(300) for i in (1, 2, 3)]
+    filled = spark.createDataFrame(cells, ["set_id", *wording.SHEET_HEADER])
+    path = str(tmp_path / "filled")
+    sheets.write_filled(filled, path)
+    found = [name for _, _, names in os.walk(path) for name in names if name.endswith(".csv")]
+    assert 0 < len(found) <= 8
+    read = sheets.read_filled(spark, path, "bigint", together=True)
+    assert read.count() == 900 and dict(read.dtypes)["set_id"] == "bigint"
+    got = sheets.sheet_normalise(sheets.sheet_rows(read, c.finished(spark, "1X2")))
+    assert c.rows(got) == sorted(((s, s % 3 + 1, (s % 3 + 1) * 10, "1") for s in range(300)), key=repr)
