@@ -211,6 +211,30 @@ def may_link(n: int, i: int, m: int, j: int, percent: int) -> bool:
     return 100 * min(n, m) >= percent * max(n, m) and 1 + min(n - i - 1, m - j - 1) >= needed(n, m, percent)
 
 
+def window_most(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The largest of ``values[start:end]`` for each start and end; -1 for an empty window."""
+    out = np.full(len(starts), -1, dtype=np.int64)
+    level = np.frexp(np.maximum(ends - starts, 0))[1] - 1
+    most, width = values, 1  # most[k]: the largest of values[k:k + width]
+    for k in range(int(level.max(initial=-1)) + 1):
+        asked = np.flatnonzero(level == k)
+        out[asked] = np.maximum(most[starts[asked]], most[ends[asked] - width])
+        if 2 * width <= len(values):
+            most, width = np.maximum(most[:-width], most[width:]), 2 * width
+    return out
+
+
+def with_partner(sizes: list[int], places: list[int], percent: int) -> np.ndarray:
+    """The entries of a list sorted by size that ``may_link`` pairs with another entry, as indices."""
+    n = np.array(sizes, dtype=np.int64)
+    most = (100 + percent) * (n - np.array(places)) // percent - n  # the largest partner that its place leaves possible
+    low = np.searchsorted(n, -(-percent * n // 100))
+    high = np.searchsorted(n, np.minimum(100 * n // percent, most), "right")
+    own = np.arange(len(n))
+    best = window_most(most, np.concatenate((low, np.maximum(low, own + 1))), np.concatenate((np.minimum(high, own), high)))
+    return np.flatnonzero(np.maximum(best[:len(n)], best[len(n):]) >= n)
+
+
 def leaders(sizes: list[int], percent: int) -> list[int]:
     """For each entry of a list sorted by size the entry in the middle of its run of similar sizes."""
     out, start = [], 0
@@ -232,7 +256,11 @@ def first_pairs(entries: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         known: set[tuple] = set()
-        for shingles, nodes, sizes, places in index_lists(batches, 4):
+        for rows in index_lists(batches, 4):
+            if len(rows[0]) > SHORT:  # an entry that no other one can link with needs no further look
+                keep = with_partner(rows[2], rows[3], percent).tolist()
+                rows = rows if len(keep) == len(rows[0]) else [[c[k] for k in keep] for c in rows]
+            shingles, nodes, sizes, places = rows
             heads = leaders(sizes, percent)
             short = len(nodes) <= SHORT
             for k, head in enumerate(heads):
@@ -403,10 +431,11 @@ def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str)
     parts = components(links)
     known = nodes.join(parts, "node", "left").select(
         "node", "parity", F.coalesce("component", "node").alias("component"))
-    marked = (entries.join(known, "node")
-              .withColumn("x", F.least("node", "leader")).withColumn("y", F.greatest("node", "leader"))
-              .join(first.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), ["x", "y"], "left")
-              .withColumn("apart", F.when(F.col("node") == F.col("leader"), F.lit(0)).otherwise(F.col("apart"))))
+    # parities come last: they are the longest column
+    marked = (entries.withColumn("x", F.least("node", "leader")).withColumn("y", F.greatest("node", "leader"))
+              .join(first.select(F.col("a").alias("x"), F.col("b").alias("y"), "apart"), ["x", "y"], "left").drop("x", "y")
+              .withColumn("apart", F.when(F.col("node") == F.col("leader"), F.lit(0)).otherwise(F.col("apart")))
+              .join(known, "node"))
     more = second_pairs(marked, percent).groupBy("a", "b").agg(F.max("sure").alias("sure"))
     more = stored(more.join(asked, ["a", "b"], "left_anti"), "open-pairs")
     second = answers(rows, more.where("NOT sure"), nodes, width, percent)

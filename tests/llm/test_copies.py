@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from poolboard.llm import jaccard, trie_dedup
@@ -159,6 +160,27 @@ def test_blocks_of_long_lists_lose_nothing(monkeypatch):
                 and jaccard.may_link(sizes[x], places[x], sizes[y], places[y], 80)}
 
 
+def test_list_entries_without_a_partner_go_no_further(spark):
+    """Round two carries an entry, with its parity, only if another one of its list can link with it."""
+    shape = "shingle long, node binary, n int, place int"
+    apart = [(1, b"%02d" % k, 20 << k, 0) for k in range(10)]  # sizes too far apart
+    late = [(2, b"%02d" % k, 100, 9) for k in range(10)]  # nothing shared before the tenth place
+    near = [(3, b"%02d" % k, 100 + k, 0) for k in range(10)] + [(3, b"far", 900, 0)]
+    found = jaccard.first_pairs(spark.createDataFrame(apart + late + near, shape), 90).collect()
+    assert {(r.shingle, r.node) for r in found if r.a is None} == {(3, bytes(x[1])) for x in near[:-1]}
+
+
+def test_entries_with_a_partner_are_those_that_may_link():
+    rng = np.random.default_rng(11)
+    for size in [2, 3, 7, 20, 90] * 30:
+        percent = int(rng.choice([50, 80, 90, 100]))
+        n = np.sort(rng.integers(1, int(rng.choice([5, 60, 3000])), size)).tolist()
+        places = [int(rng.integers(0, jaccard.prefix_length(x, percent))) for x in n]
+        assert jaccard.with_partner(n, places, percent).tolist() == [
+            x for x in range(size)
+            if any(y != x and jaccard.may_link(n[x], places[x], n[y], places[y], percent) for y in range(size))]
+
+
 def test_near_copies_leave_the_smallest_id(spark, texts):
     rows = variants(7, 3, 12, 60, 2) + [(500, "a b c d e f"), (501, "A b c d e f")]
     kept = {r.doc_id for r in jaccard.drop_near_copies(texts(rows)).collect()}
