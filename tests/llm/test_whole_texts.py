@@ -6,10 +6,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from poolboard.llm import context_tree
+from poolboard.llm import common, context_tree
 
 from test_models import SAMPLE, tokens
 
@@ -102,3 +103,22 @@ def test_split_subtrees_are_the_same(monkeypatch):
     monkeypatch.setattr(context_tree, "GROWN", 4)
     split = context_tree.split_subtree(grams, counts)
     assert split[0] == pytest.approx(whole[0], rel=1e-5) and split[1] == pytest.approx(whole[1], rel=1e-5, nan_ok=True)
+
+
+def test_long_texts_reach_workers_in_small_batches(spark):
+    """While a frame is written, an Arrow batch holds some megabytes of texts at most, not 10,000 of them."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes], "rows": [batch.num_rows]})
+
+    texts = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 5000) AS text")
+    found = common.stored(texts.mapInArrow(sizes, "bytes bigint, rows bigint"), "sizes").collect()
+    assert sum(r.rows for r in found) == 4000
+    assert max(r.bytes for r in found) < 2 * common.BATCH_BYTES < 4000 * 5000
+    assert spark.conf.get(common.BATCH_SETTING, None) is None
+    spark.conf.set(common.BATCH_SETTING, str(1 << 20))
+    try:
+        common.stored(texts.mapInArrow(sizes, "bytes bigint, rows bigint"), "sizes")
+        assert spark.conf.get(common.BATCH_SETTING) == str(1 << 20)
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
