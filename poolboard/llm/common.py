@@ -100,6 +100,18 @@ def batch_slices(batches: Iterator[pa.RecordBatch], size: int | None = None) ->
         give_back()
 
 
+def filled_slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """``batch_slices`` with small batches put together, so that a slice doesn't shrink with the batches."""
+    held = []
+    for part in batch_slices(batches, size):
+        held.append(part)
+        if 4 * sum(p.nbytes for p in held) >= 3 * size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def lower_words(texts: pa.Array) -> pa.ListArray:
     """Words of texts in lower case (A-Z alone); the ends of a text may give empty words.
 

@@ -25,7 +25,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolboard.llm.common import SLICE_BYTES, arrow_schema, batch_slices, give_back, lower_words, read_documents, stored
+from poolboard.llm.common import (
+    SLICE_BYTES, arrow_schema, batch_slices, filled_slices, give_back, lower_words, read_documents, stored,
+)
 
 #: Bytes of context; a gram's context and symbol fit into seven bytes of a long.
 DEPTH = 6
@@ -35,6 +37,8 @@ HOT = 2e-5
 PART_WORDS = 200_000
 #: Bytes of texts whose grams are counted, and asked for, at once.
 GRAM_BYTES = 8 << 20
+#: Bytes of a slice whose grams are held at once, repeated ones too: eight bytes each.
+PIECE_BYTES = 1 << 20
 #: Grams whose subtree grows at once; a larger group is split by one more byte of context.
 GROWN = 30_000
 END, SPACE = "\n", 32
@@ -88,23 +92,54 @@ def closed_texts(lists: pa.ListArray) -> tuple[bytes, np.ndarray]:
     return b"".join(whole.cast(pa.binary()).to_pylist()), pc.binary_length(whole).to_numpy().astype(np.int64)
 
 
-def text_grams(raw: bytes, sizes: np.ndarray) -> np.ndarray:
-    """The gram of every byte of closed texts, packed as in ``positions``; contexts reach back to the space before the
-    text, past it they are zeros."""
-    flat = b"\0" * DEPTH + b" " + raw
-    grams = np.ndarray((len(raw),), "<i8", flat, 0, (1,)).copy()  # seven bytes and, highest, the symbol
+def text_grams(raw: bytes, sizes: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The gram of every byte of closed texts, or of those from ``first`` to before ``last``, packed as in ``positions``;
+    contexts reach back to the space before the text, past it they are zeros."""
+    last = len(raw) if last is None else min(last, len(raw))
+    before = (b"\0" * DEPTH + b" " + raw[max(0, first - DEPTH - 1):first])[-DEPTH - 1:]
+    flat = before + raw[first:last]
+    grams = np.ndarray((last - first,), "<i8", flat, 0, (1,)).copy()  # seven bytes and, highest, the symbol
     grams &= 0xFFFFFFFFFFFF00
-    grams |= np.frombuffer(raw, dtype=np.uint8)
+    grams |= np.frombuffer(flat, dtype=np.uint8, offset=DEPTH + 1)
     starts = np.cumsum(sizes) - sizes
     for k in range(DEPTH - 1):
-        grams[starts[sizes > k] + k] &= ~((1 << 8 * (DEPTH - k)) - 256)
+        at = starts[sizes > k] + k - first
+        grams[at[(at >= 0) & (at < len(grams))]] &= ~((1 << 8 * (DEPTH - k)) - 256)
     return grams
 
 
-def distinct_grams(grams: np.ndarray) -> np.ndarray:
-    """The grams sorted, each once; numpy's own ``unique`` goes by a hash table here, which is slower."""
-    grams = np.sort(grams)
-    return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
+def gram_pieces(raw: bytes, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """``text_grams`` in pieces of ``PIECE_BYTES`` bytes."""
+    return (text_grams(raw, sizes, at, at + PIECE_BYTES) for at in range(0, len(raw), PIECE_BYTES))
+
+
+def run_starts(grams: np.ndarray) -> np.ndarray:
+    """Where each of the sorted grams comes first."""
+    fresh = np.empty(len(grams), dtype=bool)
+    fresh[:1] = True
+    np.not_equal(grams[1:], grams[:-1], out=fresh[1:])
+    return np.flatnonzero(fresh)
+
+
+def distinct_grams(pieces: Iterator[np.ndarray]) -> np.ndarray:
+    """The grams of all pieces sorted, each once; pieces are sorted in place, only their distinct grams are kept."""
+    found = []
+    for grams in pieces:
+        grams.sort()
+        found.append(grams[run_starts(grams)])
+        del grams
+    whole = np.concatenate(found)
+    found.clear()
+    whole.sort()
+    return whole[run_starts(whole)]
+
+
+def counted_grams(raw: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of closed texts sorted, each once, and how often each comes."""
+    grams = text_grams(raw, sizes)
+    grams.sort()
+    first = run_starts(grams)
+    return grams[first], np.diff(first, append=len(grams))
 
 
 def homes(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,15 +150,14 @@ def homes(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(home[order], np.arange(parts + 1))
 
 
-def places_of(asked: np.ndarray, grams: np.ndarray) -> Iterator[np.ndarray]:
-    """Where each gram is in the sorted ``asked``, in pieces: by a table of hashes, by search where hashes collide."""
+def places_of(asked: np.ndarray, pieces: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Where each gram is in the sorted ``asked``, piece by piece: by a table of hashes, by search where hashes collide."""
     def slots(x: np.ndarray) -> np.ndarray:
         return x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)
 
     table = np.zeros(1 << 22, dtype=np.int32)
     table[slots(asked)] = np.arange(len(asked))
-    for start in range(0, len(grams), 1 << 19):
-        piece = grams[start:start + (1 << 19)]
+    for piece in pieces:
         at = table[slots(piece)]
         missed = np.flatnonzero(asked[at] != piece)
         at[missed] = np.searchsorted(asked, piece[missed])
@@ -290,12 +324,12 @@ def text_gram_counts(docs: DataFrame, parts: int) -> DataFrame:
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batch_slices(batches, GRAM_BYTES):
+        for batch in filled_slices(batches, GRAM_BYTES):
             for held in (False, True):
                 texts = batch.column(1).filter(pc.equal(batch.column(0), held))
                 if not len(texts):
                     continue
-                grams, counts = np.unique(text_grams(*closed_texts(lower_words(texts))), return_counts=True)
+                grams, counts = counted_grams(*closed_texts(lower_words(texts)))
                 order, cuts = homes(grams, parts)
                 grams, counts = grams[order], counts[order] * (not held)
                 some = np.flatnonzero(cuts[1:] > cuts[:-1])
@@ -446,7 +480,7 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         schema = arrow_schema_of
-        for batch in batch_slices(batches, GRAM_BYTES if whole else SLICE_BYTES):
+        for batch in filled_slices(batches, GRAM_BYTES) if whole else batch_slices(batches, SLICE_BYTES):
             if not batch.num_rows:
                 continue
             name, n = f"{task}-{n}", n + 1
@@ -486,7 +520,8 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
             if whole:
                 raw, sizes = closed_texts(lists)
                 out[0]["texts"] = pa.Codec("zstd", compression_level=7).compress(raw, asbytes=True)
-                grams = distinct_grams(text_grams(raw, sizes))
+                del lists, coded, distinct_words, hashes, code, row, live, chosen, ask, wanted, at
+                grams = distinct_grams(gram_pieces(raw, sizes))
                 order, cuts = homes(grams, parts)
                 out += [{"home": p, "slice": name, "grams": packed(grams[order[cuts[p]:cuts[p + 1]]])}
                         for p in range(parts) if cuts[p] < cuts[p + 1]]
@@ -501,7 +536,8 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
             keys = held.column("h").to_numpy()
             order = np.argsort(keys)
             keys = keys[order]
-            mixed = np.frombuffer(b"".join(held.column("estimates").to_pylist()), dtype="<f4").reshape(-1, 8)[order]
+            raw = held.column("estimates").combine_chunks().cast(pa.binary(32))
+            mixed = np.frombuffer(raw.buffers()[1], dtype="<f4").reshape(-1, 8)[raw.offset + order]
             found = [top.bits(keys[k:k + GROWN], mixed[k:k + GROWN].astype(np.float64))
                      for k in range(0, len(keys), GROWN)]
             gram_values = np.concatenate([*found, np.zeros(0)]).astype("<f4")
@@ -541,13 +577,13 @@ def document_scores(docs: DataFrame, scored: DataFrame, tokens: int, distinct: i
         known, base, score = sums[:3] + ends[:, None]
         if whole:
             sizes = np.rint(sums[4]).astype(np.int64)
-            grams = text_grams(pa.decompress(home["texts"], int(sizes.sum()), codec="zstd", asbytes=True), sizes)
-            asked = distinct_grams(grams)
+            raw = pa.decompress(home["texts"], int(sizes.sum()), codec="zstd", asbytes=True)
+            asked = distinct_grams(gram_pieces(raw, sizes))
             order, _ = homes(asked, parts)
             found = np.empty(len(asked), dtype="<f4")
             found[order] = np.concatenate([unpacked(r["grams"], "<f4") for r in sorted(
                 (r for r in rows if r["grams"] is not None), key=lambda r: r["home"])])
-            along = np.concatenate([found[at] for at in places_of(asked, grams)])
+            along = np.concatenate([found[at] for at in places_of(asked, gram_pieces(raw, sizes))])
             score = np.add.reduceat(along, np.cumsum(sizes) - sizes, dtype=np.float64) * np.log10(2)
             give_back()
         return pa.Table.from_arrays([
@@ -596,14 +632,14 @@ def score_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: st
 def score_whole_texts(docs: DataFrame, held_out: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns and rows of ``score_texts``, with contexts that reach across words: their order counts.
 
-    Every byte of every text is counted and scored in its ``DEPTH`` bytes of context. Word counts, grams and trees are
-    written to the shared folder.
+    Every byte of every text is counted and scored in its ``DEPTH`` bytes of context. Word counts, grams, trees and the
+    result are written to the shared folder, so that the Arrow batches of all stages are bounded.
     """
     rows, vocab, (tokens, distinct, _), parts = rows_and_words(docs, held_out, doc_id, text)
     grams = stored(text_gram_counts(rows, parts), "grams")
     trees = stored(grown(grams), "context-trees")
     counted = stored(word_counts(vocab), "word-counts")
-    return document_scores(rows, counted, tokens, distinct, parts, trees, crown(grams, trees))
+    return stored(document_scores(rows, counted, tokens, distinct, parts, trees, crown(grams, trees)), "scores")
 
 
 #: Rows of the registered query that are not learned from.

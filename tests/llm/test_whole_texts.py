@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -122,3 +123,44 @@ def test_long_texts_reach_workers_in_small_batches(spark):
         assert spark.conf.get(common.BATCH_SETTING) == str(1 << 20)
     finally:
         spark.conf.unset(common.BATCH_SETTING)
+
+
+def test_grams_are_held_in_pieces(monkeypatch):
+    """Pieces give the grams of the whole, wherever texts end, in less memory than all grams of a slice take."""
+    rng = random.Random(4)
+    ends = [" ".join(rng.choices(["a", "bc", "def"], k=rng.randrange(4))).encode() for _ in range(60)]
+    texts = [t + b"\n " if not t else t + b" \n " for t in ends]
+    raw, sizes = b"".join(texts), np.array([len(t) for t in texts])
+    whole = context_tree.text_grams(raw, sizes)
+    alone = [context_tree.text_grams(t, np.array([len(t)])) for t in texts]
+    assert (whole == np.concatenate(alone)).all()
+    for size in (1, 3, 7, 8, 50):
+        monkeypatch.setattr(context_tree, "PIECE_BYTES", size)
+        assert (np.concatenate(list(context_tree.gram_pieces(raw, sizes))) == whole).all()
+        assert (context_tree.distinct_grams(context_tree.gram_pieces(raw, sizes)) == np.unique(whole)).all()
+    counted = context_tree.counted_grams(raw, sizes)
+    assert all((a == b).all() for a, b in zip(counted, np.unique(whole, return_counts=True), strict=True))
+    monkeypatch.undo()
+    raw = (" ".join(rng.choices(["tree", "leaf", "root"], k=1000)) + " \n ").encode() * 1000
+    sizes = np.full(1000, len(raw) // 1000)
+    tracemalloc.start()
+    context_tree.distinct_grams(context_tree.gram_pieces(raw, sizes))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * context_tree.PIECE_BYTES * 8 < 8 * len(raw)
+
+
+def test_small_batches_fill_a_slice():
+    batches = [pa.RecordBatch.from_pydict({"t": ["x" * 1000] * n}) for n in (30, 1, 30, 30, 200, 5)]
+    slices = list(common.filled_slices(iter(batches), 60_000))
+    assert sum(s.num_rows for s in slices) == 296
+    assert all(45_000 <= s.nbytes <= 120_000 for s in slices[:-1])
+    assert list(common.filled_slices(iter([]), 10)) == []
+
+
+def test_the_scores_are_written_in_small_batches(spark, texts, monkeypatch):
+    written = []
+    keep = common.stored
+    monkeypatch.setattr(context_tree, "stored", lambda df, name: written.append(name) or keep(df, name))
+    assert context_tree.score_whole_texts(texts(SAMPLE), "false").count() == len(SAMPLE)
+    assert written[-1] == "scores"
