@@ -495,7 +495,8 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     their own: each is told by id and set, the smallest set's signature stays, and rows that repeat both are reduced to
     one. Rows without shingles (null, empty and blank texts) stay. An empty table gives no rows. Columns may have any names.
 
-    Only rows whose id a filter can't clear of dropped ones are cut into shingles again and shuffled with their text.
+    Only rows whose id a filter can't clear of dropped ones are written to the shared folder, cut into shingles again and
+    shuffled with their text.
     """
     groups = stored(_grouped(docs, width, percent, doc_id, text).where(F.col("node").isNotNull()), "near-copies")
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("node").alias("first"))
@@ -508,7 +509,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     named = docs.select(whole_row(docs)).select("row", F.col("row")[doc_id].cast("bigint").alias("doc_id"))
     maybe = may_be_in(key_filter(marks, "of"), "doc_id") | F.col("doc_id").isNull()
     marked = named.withColumn("maybe", maybe)
-    again = marked.where("maybe").withColumn("node", _signatures(F.col("row")[text], width))
+    # written first: filter and signatures in one stage would take two Python workers a core, which live on after it
+    again = stored(marked.where("maybe").drop("maybe"), "near-again").withColumn(
+        "node", _signatures(F.col("row")[text], width))
     joined = again.join(marks, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("of_node")), "left")
     alone, several = joined.where(F.col("stays").isNull()), joined.where("stays")
     one = F.row_number().over(W.partitionBy("doc_id", "node").orderBy(F.col("row")[text]))
@@ -518,12 +521,12 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
 
 
 def _signatures(text: Column, width: int) -> Column:
-    """The signature of each text's set, null without shingles."""
+    """The signature of each text's set, null without shingles. Marked so that a filter on it doesn't compute it twice."""
     @F.arrow_udf("binary")
     def signed(texts: pa.Array) -> pa.Array:
         return pa.array([signature(s) if len(s) else None for s in shingle_sets(texts, width)], pa.binary())
 
-    return signed(text)
+    return signed.asNondeterministic()(text)
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

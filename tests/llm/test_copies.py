@@ -187,6 +187,17 @@ def test_near_copies_leave_the_smallest_id(spark, texts):
     assert {int(r.split(",")[0][1:]) for r in near(rows, 5, 80) if r.split(",")[0][1:] == r.split(", ")[2][:-1]} == kept
 
 
+def test_near_copies_take_one_python_worker_a_task(spark, texts):
+    """No branch of the kept rows' plan evaluates Python twice: each evaluation in a stage has a worker of its own."""
+    kept = jaccard.drop_near_copies(texts(variants(7, 3, 12, 60, 2)))
+    branches, found = [0], kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    for line in found:
+        branches[-1] += "ArrowEvalPython" in line
+        if "Relation" in line or "LogicalRDD" in line or "LocalRelation" in line:
+            branches.append(0)
+    assert max(branches) == 1, "\n".join(x[:150] for x in found)
+
+
 @pytest.mark.parametrize("links", [[(n, n + 1) for n in range(60)], [(0, n) for n in range(1, 50)],
                                    [(n, n + 7) for n in range(40)], [(1, 2), (3, 4), (2, 3), (8, 9)]])
 def test_components(spark, links):
