@@ -275,3 +275,41 @@ def test_the_outbox_needs_no_frame_of_users_and_turns(spark, game, monkeypatch):
     job = FinishOutboxJob(people, spark.createDataFrame(picks, PICKS), matches, subs)
     job.on_batch(spark.createDataFrame(edits, EDITS), 0)
     assert asked == [["block"], ["sub_id", "user_id", "endpoint"]]
+
+
+def test_messages_to_more_subscriptions_than_ten_thousand_need_no_shuffle_of_the_product(spark):
+    """15,000 subscriptions and turns of two matches: sides of the product go to every task whole, nothing of it is sorted."""
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = c.finished(spark, "1X").withColumn("event_id", F.col("match_id") + 1)
+        subs = spark.range(15_000).select("id", (F.col("id") % 7_500).alias("user_id"), F.lit("e").alias("endpoint")).withColumnRenamed("id", "sub_id")
+        users = spark.range(7_500).withColumnRenamed("id", "user_id")
+        table = users.crossJoin(done.select("event_id")).select(
+            "event_id", "user_id", (F.col("user_id") + 1).alias("position"), F.lit(None).cast("long").alias("prev_position"))
+        got = outbox.finish_outbox(done, subs, c.picks(spark, {1: "11"}), table, "event_id", users)
+        joins = re.findall(r"SortMergeJoin.*", got._jdf.queryExecution().executedPlan().toString())
+        assert all(re.search("LeftAnti|LeftSemi", join) for join in joins)
+        rows = got.select("event_id", "sub_id", F.substring_index("body", "\n", -1).alias("line")).collect()
+        assert len(rows) == 30_000 and {r.line for r in rows if r.sub_id in (4, 7_504)} == {"📊 Posición: 5°"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("wide", [1, 10**6])
+def test_a_report_has_the_histogram_and_the_place_in_it(wide):
+    import numpy as np
+
+    points, here = np.array([3, -2, 3, 9, -2, 3, 0]) * wide, np.array([True, True, True, False, True, True, False])
+    found = order_statistics._report(points, here, np.array([1, 4, 5]))
+    assert [a.tolist() for a in found] == [[-2 * wide, 3 * wide], [2, 3], [0, 0, 1], [0, 1, 2]]
+    assert [a.tolist() for a in order_statistics._report(points, here & False, np.array([], dtype=int))] == [[], [], [], []]
+
+
+def test_reports_of_a_batch_go_when_its_messages_are_written(spark, game):
+    people, matches, edits, picks = game
+    subs = spark.createDataFrame([(1, 1, "e")], "sub_id long, user_id long, endpoint string")
+    job = FinishOutboxJob(people, spark.createDataFrame(picks, PICKS), matches, subs)
+    job.on_batch(spark.createDataFrame(edits, EDITS), 0)
+    assert job.outbox.last() == 0 and job.reports.last() is None
